@@ -6,6 +6,7 @@ them; the order inside the array is part of the result because ties and redactio
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -15,9 +16,8 @@ from pyspark.sql import functions as F
 from screenwright.catalogue import FINDINGS
 from screenwright.functions.text import literals
 
-DETECTIONS_TYPE = (
-    "array<struct<detector:string,risk_type:string,score:int,description:string,matched_value:string>>"
-)
+DETECTION_TYPE = "struct<detector:string,risk_type:string,score:int,description:string,matched_value:string>"
+DETECTIONS_TYPE = f"array<{DETECTION_TYPE}>"
 
 
 @dataclass(frozen=True)
@@ -32,14 +32,16 @@ class Tier:
 def finding(detector: str, key: str, matched: Column | None = None, detail: Column | None = None) -> Column:
     """A detection from the catalogue; ``detail`` is appended to its description."""
     risk_type, score, description, message = FINDINGS[detector, key]
-    text = F.lit(description)
-    return F.struct(
-        F.lit(detector).alias("detector"),
-        F.lit(risk_type).alias("risk_type"),
-        F.lit(score).alias("score"),
-        (text if detail is None else F.concat(text, detail)).alias("description"),
-        (F.lit(message) if message is not None else matched).alias("matched_value"),
-    )
+    values = (f"'detector', {text_literal(detector)}, 'risk_type', {text_literal(risk_type)}, 'score', {score}, "
+              f"'description', {text_literal(description)}, 'matched_value', {text_literal(message or '')}")
+    fixed = F.expr(f"named_struct({values})")
+    if detail is not None:
+        fixed = fixed.withField("description", F.concat(F.lit(description), detail))
+    return fixed if message is not None else fixed.withField("matched_value", matched)
+
+
+def text_literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def no_detections() -> Column:
@@ -90,24 +92,24 @@ def tiered_keywords(
 
     ``as_written`` is a second text in which the keyword is looked for unchanged.
     """
-    entries = []
-    for tier in tiers:
-        risk_type, score, description, _ = FINDINGS[detector, tier.finding]
-        for word in tier.words:
-            entries.append(F.struct(
-                F.lit(needle(word, tier.strip, mode)).alias("needle"),
-                F.lit(word).alias("word"),
-                F.struct(
-                    F.lit(detector).alias("detector"),
-                    F.lit(risk_type).alias("risk_type"),
-                    F.lit(score).alias("score"),
-                    F.lit(description + word).alias("description"),
-                    F.lit(word).alias("matched_value"),
-                ).alias("found"),
-            ))
+    entries = [
+        {
+            "needle": needle(word, tier.strip, mode),
+            "word": word,
+            "found": {
+                "detector": detector, "risk_type": risk_type, "score": score, "description": description + word,
+                "matched_value": word,
+            },
+        }
+        for tier in tiers
+        for risk_type, score, description, _ in [FINDINGS[detector, tier.finding]]
+        for word in tier.words
+    ]
+    # One literal instead of hundreds: the optimiser folds the parsed array to a constant.
+    listed = F.from_json(F.lit(json.dumps(entries)), f"array<struct<needle:string,word:string,found:{DETECTION_TYPE}>>")
 
     def occurs(entry: Column) -> Column:
         hit = F.contains(text, entry["needle"])
         return hit if as_written is None else F.contains(as_written, entry["word"]) | hit
 
-    return F.transform(F.slice(F.filter(F.array(*entries), occurs), 1, 1), lambda e: e["found"])
+    return F.transform(F.slice(F.filter(listed, occurs), 1, 1), lambda e: e["found"])

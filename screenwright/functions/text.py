@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 # separators that normalising deletes.
 BLANK_CLASS = r"[\t-\r\x{1c}-\x{20}\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{2028}\x{2029}\x{205f}\x{3000}]"
 SEPARATORS = r"[.\-_*/|\\+=\[\]{}()]+"
-# A run of two or more, or a single one that is not already a plain space: a lone space needs no rewriting.
-WHITESPACE = r"[\t-\r ]{2,}|[\t-\r]"
-CONTROL_EDGES = r"^[\x{00}-\x{20}]+|[\x{00}-\x{20}]+$"
+OTHER_SPACES = ("\t", "\n", "\x0b", "\f", "\r")
+TRIMMED = "".join(chr(c) for c in range(0x21))
 
 
 def regex(pattern: str) -> str:
@@ -37,9 +36,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def settled(column: Column) -> Column:
+    """Mark an expensive column, so that a filter on it is not pushed below the projection that computes it.
+
+    The optimiser pushes a filter through a projection by repeating the expression in the filter, which here would
+    screen every prompt twice. It does not do so for expressions that depend on the partition; the condition is always
+    true.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 def java_trim(text: Column) -> Column:
     """Strip every character up to U+0020 from both ends, not only spaces."""
-    return F.regexp_replace(text, CONTROL_EDGES, "")
+    return F.btrim(text, F.lit(TRIMMED))
 
 
 def is_blank(text: Column) -> Column:
@@ -49,8 +58,13 @@ def is_blank(text: Column) -> Column:
 
 def normalise(text: Column) -> Column:
     """Lower-case, delete separators, collapse white space, trim. Null becomes the empty string."""
-    stripped = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, "")
-    return java_trim(F.regexp_replace(stripped, WHITESPACE, " "))
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, "")
+    for space in OTHER_SPACES:
+        spaced = F.replace(spaced, F.lit(space), F.lit(" "))
+    # Single spaces need no rewriting, so the pattern runs only where two meet.
+    collapsed = let(spaced, lambda s: F.when(
+        F.contains(s, F.lit("  ")), F.regexp_replace(s, " {2,}", " ")).otherwise(s))
+    return java_trim(collapsed)
 
 
 def utf16_length(text: Column) -> Column:
@@ -59,7 +73,8 @@ def utf16_length(text: Column) -> Column:
 
 
 def literals(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """Array of fixed strings. The optimiser folds it to one literal."""
+    return F.split(F.lit("\x01".join(values)), "\x01")
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:
@@ -67,11 +82,8 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
     return F.exists(literals(words), lambda w: F.contains(text, w))
 
 
-def matches(text: Column, pattern: str, gate: str | None = None, gate_text: Column | None = None) -> Column:
-    hit = text.rlike(regex(pattern))
-    if gate is None:
-        return hit
-    return F.contains(text if gate_text is None else gate_text, F.lit(gate)) & hit
+def matches(text: Column, pattern: str) -> Column:
+    return text.rlike(regex(pattern))
 
 
 def first_match(
@@ -92,6 +104,6 @@ def first_match(
     return F.when(present, found).otherwise(F.lit(""))
 
 
-def is_inquiry(lower_text: Column, normalised: Column, pattern: str) -> Column:
-    """A question: a question mark anywhere, or one of the asking phrases as whole words."""
-    return F.contains(lower_text, F.lit("?")) | normalised.rlike(regex(pattern))
+def whole_words(text: Column, words: Iterable[str], pattern: str) -> Column:
+    """Pattern of words with word boundaries, run only where one of the words occurs at all."""
+    return contains_any(text, words) & matches(text, pattern)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenwright.functions.text import is_blank, java_trim
+from screenwright.functions.text import is_blank, java_trim, settled
 from screenwright.functions.tokens import cost, count_tokens, response_tokens
 from screenwright.schemas import AUDIT_COLUMNS
 
@@ -48,7 +48,8 @@ def with_usage(df: DataFrame, prompt: str = "prompt") -> DataFrame:
     tokens_used, tokens_saved = split("_tokens", "_tokens_red", F.lit(0))
     cost_used, cost_saved = split("_cost", "_cost_red", F.lit(0.0))
     return df.withColumns({
-        "tokens_used": tokens_used, "tokens_saved": tokens_saved, "cost_used": cost_used, "cost_saved": cost_saved,
+        "tokens_used": settled(tokens_used), "tokens_saved": settled(tokens_saved),
+        "cost_used": settled(cost_used), "cost_saved": settled(cost_saved),
     }).drop("_in", "_out", "_in_red", "_out_red", "_tokens", "_cost", "_tokens_red", "_cost_red")
 
 

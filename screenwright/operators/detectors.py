@@ -31,13 +31,13 @@ from screenwright.functions.text import (
     contains_any,
     first_match,
     is_blank,
-    is_inquiry,
     java_trim,
     let,
     literals,
     matches,
     normalise,
     regex,
+    whole_words,
 )
 
 TEXT_COLUMNS = ("_lower", "_norm", "_inquiry", "_personal_inquiry")
@@ -113,23 +113,23 @@ def secret_intent(t: Text, _direct: Column) -> Column:
 
 
 def personal_direct(t: Text) -> Column:
-    # All but mail addresses and card numbers contain four digits in a row.
-    digits = matches(t.prompt, r"[0-9]{4}")
-
-    def candidates(has_digits: Column) -> Column:
-        def numeric(pattern: str) -> Column:
+    def candidates(digits: Column) -> Column:
+        def numeric(has_digits: Column, pattern: str) -> Column:
             return F.when(has_digits, first_match(t.prompt, pattern)).otherwise(F.lit(""))
 
+        # A card number may have a separator after every digit; the others contain four digits in a row.
         return with_values([
             finding("personal", "EMAIL", first_match(t.prompt, C.EMAIL_PATTERN, ("@",))),
-            finding("personal", "PHONE", numeric(C.PHONE_PATTERN)),
-            finding("personal", "AADHAAR", numeric(C.AADHAAR_PATTERN)),
-            finding("personal", "PAN", numeric(C.PAN_PATTERN)),
-            finding("personal", "SSN", numeric(C.SSN_PATTERN)),
-            finding("personal", "CREDIT_CARD", first_match(t.prompt, C.CREDIT_CARD_PATTERN)),
+            finding("personal", "PHONE", numeric(digits["four"], C.PHONE_PATTERN)),
+            finding("personal", "AADHAAR", numeric(digits["four"], C.AADHAAR_PATTERN)),
+            finding("personal", "PAN", numeric(digits["four"], C.PAN_PATTERN)),
+            finding("personal", "SSN", numeric(digits["four"], C.SSN_PATTERN)),
+            finding("personal", "CREDIT_CARD", numeric(digits["any"], C.CREDIT_CARD_PATTERN)),
         ])
 
-    return let(digits, candidates)
+    some = matches(t.prompt, "[0-9]")
+    return let(let(some, lambda d: F.struct(
+        d.alias("any"), (d & matches(t.prompt, "[0-9]{4}")).alias("four"))), candidates)
 
 
 def personal_intent(t: Text, direct: Column) -> Column:
@@ -153,7 +153,8 @@ def health_direct(t: Text) -> Column:
     record_words = ("mrn", "medical record", "patient id", "patient#", "record number")
     return with_values([
         finding("health", "MRN", first_match(t.prompt, C.MRN_PATTERN, record_words, t.lower)),
-        finding("health", "ICD10", first_match(t.prompt, C.ICD10_PATTERN)),
+        finding("health", "ICD10",
+                F.when(matches(t.prompt, "[0-9]{2}"), first_match(t.prompt, C.ICD10_PATTERN)).otherwise(F.lit(""))),
         finding("health", "NPI", first_match(t.prompt, C.NPI_PATTERN, ("npi",), t.lower)),
         finding("health", "DOB", first_match(t.prompt, C.DOB_PATTERN, ("dob", "date of birth", "born on"), t.lower)),
     ])
@@ -353,15 +354,21 @@ EXTRA = ("code", "crypto", "network", "jwt", "database", "cloud")
 
 
 def add_text_columns(df: DataFrame, prompt: str = "prompt") -> DataFrame:
-    """Add the lowered and normalised text and the two inquiry tests, each computed once."""
+    """Add the lowered and normalised text and the two inquiry tests, each computed once.
+
+    An inquiry has a question mark, or one of the asking phrases as whole words. The general list is the personal one
+    and one more phrase, so its own pattern runs only where that phrase occurs.
+    """
     df = df.withColumns({
         "_lower": F.lower(F.coalesce(F.col(prompt), F.lit(""))),
         "_norm": normalise(F.col(prompt)),
     })
-    return df.withColumns({
-        "_inquiry": is_inquiry(F.col("_lower"), F.col("_norm"), C.INQUIRY),
-        "_personal_inquiry": is_inquiry(F.col("_lower"), F.col("_norm"), C.PERSONAL_INQUIRY_PATTERN),
-    })
+    norm = F.col("_norm")
+    asked = F.contains(F.col("_lower"), F.lit("?"))
+    df = df.withColumn(
+        "_personal_inquiry", asked | whole_words(norm, C.INQUIRY_PHRASES, C.PERSONAL_INQUIRY_PATTERN))
+    return df.withColumn(
+        "_inquiry", F.col("_personal_inquiry") | whole_words(norm, (C.INQUIRY_EXTRA_PHRASE,), C.INQUIRY_PATTERN))
 
 
 def run_detectors(df: DataFrame, names: tuple[str, ...], prompt: str = "prompt", mode: str = "compact") -> DataFrame:

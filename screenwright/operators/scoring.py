@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from screenwright import catalogue as C
 from screenwright.functions.detections import no_detections
-from screenwright.functions.text import is_blank, let
+from screenwright.functions.text import is_blank, let, settled
 
 
 def total_score(detections: Column) -> Column:
@@ -70,7 +70,8 @@ def redact(prompt: Column, detections: Column) -> Column:
 def combine(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """One ordered ``detections`` array from the columns of the single detectors."""
     columns = [f"_found_{n}" for n in names]
-    return df.withColumn("detections", F.concat(*[F.coalesce(F.col(c), no_detections()) for c in columns])).drop(*columns)
+    found = F.concat(*[F.coalesce(F.col(c), no_detections()) for c in columns])
+    return df.withColumn("detections", settled(found)).drop(*columns)
 
 
 def explode_detections(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -90,8 +91,8 @@ def with_decision(df: DataFrame, prompt: str = "prompt") -> DataFrame:
     })
     return df.withColumns({
         "action_reason": reason(F.col("action"), F.col("highest_risk_type"), F.col("risk_score")),
-        "redacted_prompt": F.when(F.col("action") == "REDACT", redact(F.col(prompt), F.col("detections")))
-        .otherwise(F.col(prompt)),
+        "redacted_prompt": settled(
+            F.when(F.col("action") == "REDACT", redact(F.col(prompt), F.col("detections"))).otherwise(F.col(prompt))),
     })
 
 

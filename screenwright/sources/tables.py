@@ -14,6 +14,12 @@ def read_prompts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return spark.read.schema(schemas.PROMPTS).format(fmt).load(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a small input that lies in few files to all cores. Inputs with enough splits are left where they are."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
+
+
 def read_prompts_stream(spark: SparkSession, path: str, fmt: str = "json", files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schemas.PROMPTS).format(fmt)
     if files_per_batch:

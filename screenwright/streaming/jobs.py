@@ -35,7 +35,7 @@ def screen_stream(
     return (
         rows.writeStream.format("parquet").outputMode("append").partitionBy("audit_date")
         .option("path", path).option("checkpointLocation", checkpoint_dir(requests.sparkSession, name, checkpoint))
-        .queryName(name).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+        .trigger(**(trigger or {"processingTime": "10 seconds"})).start()
     )
 
 

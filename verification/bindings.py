@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from screenwright.plans.screening import Dimensions
+from screenwright.sources.tables import spread
 from verification.golden import EDGE_PROMPTS, GOLDEN_PROMPTS
 
 TOOLS = ("ChatGPT", "Claude", "Gemini", "Grok", "DeepSeek", "Copilot", "DashboardTest", "dashboardtest", None)
@@ -162,7 +163,8 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     """All documents, all user turns of conversations and the golden and edge cases."""
     documents = read(spark, sf, "documents").selectExpr(*document_requests(False))
     turns = read(spark, sf, "conversations").filter("role = 'user'").selectExpr(*turn_requests(False))
-    return documents.unionByName(turns).unionByName(case_rows(spark).selectExpr(*case_requests(False)))
+    rows = documents.unionByName(turns).unionByName(case_rows(spark).selectExpr(*case_requests(False)))
+    return spread(rows, "request_id")
 
 
 def users(spark: SparkSession, sf: str) -> DataFrame:

@@ -225,7 +225,7 @@ NORM = trim(r"regexp_replace(regexp_replace(lower(coalesce(prompt, '')), '[.\-_*
 def texts(origin: str) -> str:
     """Text columns beside every column of ``origin``."""
     return f"""
-SELECT *, contains(lowered, '?') OR {is_match(C.INQUIRY, 'folded_norm')} AS inquiry,
+SELECT *, contains(lowered, '?') OR {is_match(C.INQUIRY_PATTERN, 'folded_norm')} AS inquiry,
   contains(lowered, '?') OR {is_match(C.PERSONAL_INQUIRY_PATTERN, 'folded_norm')} AS personal_inquiry
 FROM (SELECT *, {fold('norm')} AS folded_norm, {fold('prompt')} AS folded
       FROM (SELECT *, lower(coalesce(prompt, '')) AS lowered, {NORM} AS norm, {blank('prompt')} AS blank FROM {origin}))"""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenwright import catalogue as C
-from screenwright.functions.text import contains_any, first_match, is_blank, is_inquiry, normalise, regex
+from screenwright.functions.text import contains_any, first_match, is_blank, normalise, regex
 from screenwright.functions.detections import first_keyword
 from screenwright.functions.tokens import cost, count_tokens, response_tokens
 from screenwright.operators import analytics as A
@@ -88,6 +88,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+AUDIT_TABLES: dict[tuple[str, str], str] = {}
+
+
+def audit_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit rows of all requests as a written table, as reports find it. Written once per session and data set."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in AUDIT_TABLES:
+        path = shared_folder(spark, "audit")
+        write_audit(audited(spark, sf), path)
+        AUDIT_TABLES[key] = path
+    return read_audit(spark, AUDIT_TABLES[key])
+
+
 # Sources and sinks.
 
 @query("s1_prompt_ingest", over(BASE, f"""
@@ -507,7 +520,7 @@ def audit_row(spark, sf):
 # Reports.
 
 def report_query(name: str, sql: str, run: Callable[[DataFrame], DataFrame]) -> None:
-    query(name, over(AUDIT, sql))(lambda spark, sf: run(audited(spark, sf)))
+    query(name, over(AUDIT, sql))(lambda spark, sf: run(audit_table(spark, sf)))
 
 
 def sum_sql(column: str) -> str:
@@ -772,7 +785,7 @@ def backfill_usage(spark, sf):
 SELECT id, CASE WHEN user_id IN ('telecomm-user', 'Telecomm') THEN '101' WHEN user_id IN ('software-user', 'Software')
   THEN '102' ELSE user_id END AS user_id FROM audit"""))
 def rekey_audit(spark, sf):
-    return M.rekey_audit(audited(spark, sf)).select("id", "user_id")
+    return M.rekey_audit(audit_table(spark, sf)).select("id", "user_id")
 
 
 @query("m11_rekey_policies", over(BASE, """
@@ -830,7 +843,7 @@ SELECT id, user_id, risk_score, action, tokens_used, tokens_saved FROM audit""")
 def stream_screening(spark, sf):
     path = shared_folder(spark, "stream")
     R.screen_stream(stream_of_documents(spark, sf), B.dims(spark, sf), f"{path}/audit", checkpoint=f"{path}/checkpoint",
-                    name=None, availableNow=True).awaitTermination()
+                    availableNow=True).awaitTermination()
     return read_audit(spark, f"{path}/audit").select(
         "id", "user_id", "risk_score", "action", "tokens_used", "tokens_saved")
 
@@ -852,7 +865,7 @@ SELECT user_id, count(*) AS total, count(*) FILTER (WHERE action = 'BLOCK') AS b
   count(*) FILTER (WHERE action = 'REDACT') AS redacted, count(*) FILTER (WHERE action = 'ALERT') AS alerted,
   count(*) FILTER (WHERE action NOT IN ('BLOCK', 'REDACT', 'ALERT')) AS allowed FROM audit GROUP BY user_id"""))
 def running_counters(spark, sf):
-    return R.running_counters(audited(spark, sf))
+    return R.running_counters(audit_table(spark, sf))
 
 
 NOW = "2024-01-30 23:00:00"
@@ -869,5 +882,5 @@ def liveness(spark, sf):
 SELECT {stamp_sql('w')} AS window_start, {stamp_sql('w + INTERVAL 5 MINUTES')} AS window_end, action, count(*) AS prompts
 FROM (SELECT time_bucket(INTERVAL '5 minutes', created_at) AS w, action FROM audit) GROUP BY ALL"""))
 def windowed_actions(spark, sf):
-    return R.windowed_actions(audited(spark, sf)).withColumns({
+    return R.windowed_actions(audit_table(spark, sf)).withColumns({
         "window_start": stamp("window_start"), "window_end": stamp("window_end")})
