@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenwright import catalogue as C
-from screenwright.functions.text import is_blank, java_trim
+from screenwright.functions.text import is_blank, java_trim, settled
 from screenwright.operators.lookups import lookup_join
 
 
@@ -124,9 +124,12 @@ def with_display_label(df: DataFrame, organizations: DataFrame, user_id: str = "
 
 
 def prepare_requests(df: DataFrame, aliases=None) -> DataFrame:
-    """Apply the sub-user default, then the canonical user id, which looks at the defaulted sub-user."""
+    """Apply the sub-user default, then the canonical user id, which looks at the defaulted sub-user.
+
+    Filters on request columns belong before this step: from here on they are not pushed to the reader.
+    """
     df = df.withColumn("sub_user", default_sub_user(F.col("sub_user")))
-    return df.withColumn("user_id", canonical_user(F.col("user_id"), F.col("sub_user"), aliases))
+    return df.withColumn("user_id", settled(canonical_user(F.col("user_id"), F.col("sub_user"), aliases)))
 
 
 def with_org_key(

@@ -12,7 +12,8 @@ from screenwright.functions.text import is_blank, let, settled
 
 def total_score(detections: Column) -> Column:
     highest = F.array_max(F.transform(detections, lambda d: d["score"]))
-    return F.coalesce(F.least(highest, F.lit(100)), F.lit(0))
+    # No detections give no highest score; ``least`` would skip the null and answer with the cap.
+    return F.least(F.coalesce(highest, F.lit(0)), F.lit(100))
 
 
 def top_risk_type(detections: Column) -> Column:

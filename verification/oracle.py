@@ -355,7 +355,7 @@ found_all AS ({found(names)}),
 found_org_too AS ({org_found('found_all')}),
 combined AS (SELECT *, {' || '.join(f'found_{n}' for n in ordered)} AS detections FROM found_org_too),
 totals AS (
-  SELECT *, coalesce(least(list_max(list_transform(detections, lambda d: d.s)), 100), 0) AS risk_score FROM combined),
+  SELECT *, least(coalesce(list_max(list_transform(detections, lambda d: d.s)), 0), 100) AS risk_score FROM combined),
 typed AS (
   SELECT *, coalesce(list_filter(detections, lambda d: d.s = list_max(list_transform(detections, lambda e: e.s)))[1].t, 'NONE')
     AS highest_risk_type, {band(1, 'NONE')} AS risk_level, {band(2, 'ALLOW')} AS action FROM totals),
