@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from screenwright.catalogue import FINDINGS
-from screenwright.functions.text import literals
+from screenwright.functions.text import contains_any, literals
 
 DETECTION_TYPE = "struct<detector:string,risk_type:string,score:int,description:string,matched_value:string>"
 DETECTIONS_TYPE = f"array<{DETECTION_TYPE}>"
@@ -77,7 +77,7 @@ def needle(word: str, strip: str, mode: str) -> str:
 
 
 def any_needle(text: Column, words: Iterable[str], strip: str, mode: str) -> Column:
-    return F.exists(literals([needle(w, strip, mode) for w in words]), lambda w: F.contains(text, w))
+    return contains_any(text, [needle(w, strip, mode) for w in words])
 
 
 def first_keyword(text: Column, words: Iterable[str]) -> Column:
@@ -95,6 +95,7 @@ def tiered_keywords(
     entries = [
         {
             "needle": needle(word, tier.strip, mode),
+            "head": needle(word, "", "spaced").split()[0],
             "word": word,
             "found": {
                 "detector": detector, "risk_type": risk_type, "score": score, "description": description + word,
@@ -106,10 +107,13 @@ def tiered_keywords(
         for word in tier.words
     ]
     # One literal instead of hundreds: the optimiser folds the parsed array to a constant.
-    listed = F.from_json(F.lit(json.dumps(entries)), f"array<struct<needle:string,word:string,found:{DETECTION_TYPE}>>")
+    listed = F.from_json(F.lit(json.dumps(entries)), f"array<struct<needle:string,head:string,word:string,found:{DETECTION_TYPE}>>")
 
     def occurs(entry: Column) -> Column:
         hit = F.contains(text, entry["needle"])
-        return hit if as_written is None else F.contains(as_written, entry["word"]) | hit
+        if as_written is None:
+            return hit
+        # Written either way, the first part of the keyword is in the normalised text; mostly that settles it.
+        return F.contains(text, entry["head"]) & (hit | F.contains(as_written, entry["word"]))
 
     return F.transform(F.slice(F.filter(listed, occurs), 1, 1), lambda e: e["found"])

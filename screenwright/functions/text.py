@@ -78,8 +78,13 @@ def literals(values: Iterable[str]) -> Column:
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:
-    """Plain substring test against a list; stops at the first word found."""
-    return F.exists(literals(words), lambda w: F.contains(text, w))
+    """Plain substring test against a list; stops at the first word found.
+
+    A word that contains another one of the list cannot change the answer and is not looked for.
+    """
+    words = list(dict.fromkeys(words))
+    needed = [w for w in words if not any(other != w and other in w for other in words)]
+    return F.exists(literals(needed), lambda w: F.contains(text, w))
 
 
 def matches(text: Column, pattern: str) -> Column:
