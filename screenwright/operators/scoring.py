@@ -116,7 +116,15 @@ def enforce(df: DataFrame, prompt: str = "prompt") -> DataFrame:
 
 
 def hits_per_detector(df: DataFrame) -> DataFrame:
-    """How often each detector reported something: detections and prompts."""
-    hits = df.select(F.explode("detections").alias("d"), "request_id").groupBy("d.detector", "request_id").count()
-    return hits.groupBy("detector").agg(
-        F.sum("count").alias("detections"), F.count(F.lit(1)).alias("prompts"))
+    """How often each detector reported something: detections and prompts.
+
+    Counted inside the row first, so that only one small record per detector leaves a partition.
+    """
+    per_prompt = F.transform(
+        F.array_distinct(F.transform("detections", lambda d: d["detector"])),
+        lambda name: F.struct(
+            name.alias("detector"),
+            F.size(F.filter("detections", lambda d: d["detector"] == name)).cast("bigint").alias("n")),
+    )
+    return df.select(F.explode(per_prompt).alias("h")).groupBy("h.detector").agg(
+        F.sum("h.n").alias("detections"), F.count(F.lit(1)).alias("prompts"))
