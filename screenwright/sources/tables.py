@@ -59,5 +59,6 @@ def write_audit(audit: DataFrame, path: str, mode: str = "append") -> None:
     with_audit_date(audit).write.mode(mode).partitionBy("audit_date").parquet(path)
 
 
-def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.AUDIT + ", audit_date date").parquet(path)
+def read_audit(spark: SparkSession, path: str, schema: str = schemas.AUDIT) -> DataFrame:
+    """The audit table. Pass a schema where it was written with times that have no zone."""
+    return spark.read.schema(f"{schema}, audit_date date").parquet(path)

@@ -30,6 +30,7 @@ from screenwright.operators.scoring import (
 )
 from screenwright.plans.screening import Options, audit, screen
 from screenwright.plans.upkeep import maintain
+from screenwright.schemas import AUDIT as AUDIT_SCHEMA
 from screenwright.schemas import conform_audit, conform_policies
 from screenwright.sources.tables import read_audit, read_prompts_stream, write_audit
 from screenwright.streaming import jobs as R
@@ -88,6 +89,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# The test data has times without a zone.
+LOCAL_AUDIT = AUDIT_SCHEMA.replace("created_at timestamp", "created_at timestamp_ntz")
 AUDIT_TABLES: dict[tuple[str, str], str] = {}
 
 
@@ -98,7 +101,7 @@ def audit_table(spark: SparkSession, sf: str) -> DataFrame:
         path = shared_folder(spark, "audit")
         write_audit(audited(spark, sf), path)
         AUDIT_TABLES[key] = path
-    return read_audit(spark, AUDIT_TABLES[key])
+    return read_audit(spark, AUDIT_TABLES[key], LOCAL_AUDIT)
 
 
 # Sources and sinks.
@@ -118,7 +121,7 @@ FROM audit GROUP BY ALL"""))
 def audit_sink(spark, sf):
     path = shared_folder(spark, "audit")
     write_audit(audited(spark, sf), path)
-    return read_audit(spark, path).groupBy(F.col("audit_date").cast("string").alias("audit_date"), "action").agg(
+    return read_audit(spark, path, LOCAL_AUDIT).groupBy(F.col("audit_date").cast("string").alias("audit_date"), "action").agg(
         F.count(F.lit(1)).alias("n"), F.sum("tokens_used").alias("tokens"))
 
 
@@ -844,7 +847,7 @@ def stream_screening(spark, sf):
     path = shared_folder(spark, "stream")
     R.screen_stream(stream_of_documents(spark, sf), B.dims(spark, sf), f"{path}/audit", checkpoint=f"{path}/checkpoint",
                     availableNow=True).awaitTermination()
-    return read_audit(spark, f"{path}/audit").select(
+    return read_audit(spark, f"{path}/audit", LOCAL_AUDIT).select(
         "id", "user_id", "risk_score", "action", "tokens_used", "tokens_saved")
 
 
