@@ -33,7 +33,7 @@ ERROR = 0.01
 LEAST_DOCS = 200
 FENCE = 4.0
 #: Rates, and the smallest distance from the upper quartile that counts as out of line.
-GAP = {"symbols": 0.2, "dup_lines": 0.2, "repeats": 0.2, "word_length": 1.5}
+GAP = {"symbols": 0.2, "dup_lines": 0.4, "repeats": 0.3, "word_length": 1.5}
 _GAMMA = (1 + ERROR) / (1 - ERROR)
 #: Rates below this are bucket null of the sketch (zero).
 _LEAST = 1e-4

@@ -68,10 +68,10 @@ _OP5 = r"""
 WITH docs AS (
     SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 windows AS (
-    SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS window FROM docs, range(1, len(w) - 18) r(i)),
+    SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS words FROM docs, range(1, len(w) - 18) r(i)),
 later AS (
     SELECT doc_id, i FROM (
-        SELECT doc_id, i, row_number() OVER (PARTITION BY window ORDER BY doc_id, i) AS place FROM windows)
+        SELECT doc_id, i, row_number() OVER (PARTITION BY words ORDER BY doc_id, i) AS place FROM windows)
     WHERE place > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
 lost AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM gone GROUP BY doc_id),
@@ -97,8 +97,9 @@ stops AS (
     FROM sources
     WINDOW o AS (ORDER BY 2 * source_size / CAST(weight AS DOUBLE), source ROWS UNBOUNDED PRECEDING)),
 level AS (
-    SELECT min((3 * everything - 2 * stopped) / CAST(2 * (weights - gone) AS DOUBLE)) AS level FROM stops
-    WHERE weight * ((3 * everything - 2 * stopped) / CAST(2 * (weights - gone) AS DOUBLE)) <= 2 * source_size),
+    SELECT (3 * everything - 2 * stopped) / CAST(2 * (weights - gone) AS DOUBLE) AS level FROM stops
+    WHERE weight * ((3 * everything - 2 * stopped) / CAST(2 * (weights - gone) AS DOUBLE)) <= 2 * source_size
+    ORDER BY 2 * source_size / CAST(weight AS DOUBLE), source LIMIT 1),
 targets AS (
     SELECT source, source_size, least(weight * coalesce(level, 0), CAST(2 * source_size AS DOUBLE)) AS target
     FROM sources, level),
