@@ -31,7 +31,7 @@ from .hashing import Stretches, word_bounds
 
 WINDOW = 20
 #: Words of the parts whose smallest hash is the minimiser.
-PART = 4
+PART = 3
 #: Windows of a super-k-mer at most, so that the answer for one is a number of 32 bits.
 LONGEST = 31
 #: Characters of text that a task packs at a time, and of input for each bucket.
@@ -60,6 +60,18 @@ def minimisers(data: bytes, start: np.ndarray, end: np.ndarray, window: int, par
     return h
 
 
+def hashes(data: bytes, a: np.ndarray, b: np.ndarray, block: int = 500_000) -> np.ndarray:
+    """Hashes of stretches in ascending order of their starts, from blocks of the data, to keep memory low."""
+    h = np.empty(len(a), np.uint64)
+    lo = 0
+    while lo < len(a):
+        hi = int(np.searchsorted(a, a[lo] + block, "right"))
+        base, stop = int(a[lo]), int(b[lo:hi].max())
+        h[lo:hi] = Stretches(data[base:stop]).of(a[lo:hi] - base, b[lo:hi] - base)
+        lo = hi
+    return h
+
+
 def super_kmers(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First windows and numbers of windows of runs of equal minimisers, cut at ``LONGEST``."""
     change = np.flatnonzero(low[1:] != low[:-1]) + 1
@@ -78,7 +90,7 @@ def _pack(buckets: int, window: int, part: int):
     """Task: super-k-mers of its documents, by bucket: (bucket, places, strings)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
+        packer, tight = zstandard.ZstdCompressor(level=3), zstandard.ZstdCompressor(level=6)
         found: dict[bytes, tuple[int, int, int]] = {}
         bucket_of: dict[bytes, int] = {}
 
@@ -94,7 +106,7 @@ def _pack(buckets: int, window: int, part: int):
                 names = [strings[i] for i in own.tolist()]
                 numbers.append(int(where[own[0]]))
                 places.append(packer.compress(np.array([found[s] for s in names], np.int64).T.tobytes()))
-                packed.append(packer.compress(b"\n".join(names)))
+                packed.append(tight.compress(b"\n".join(names)))
             found.clear()
             bucket_of.clear()
             for at in range(0, len(numbers), 64):
@@ -148,15 +160,15 @@ def _judge(window: int):
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         first = base[of] + step
         a, b = start[first], end[first + window - 1]
-        h = Stretches(data).of(a, b)
+        h = hashes(data, a, b)
         places = np.array(list(found.values()), np.int64)
         doc, at, tag = places[of, 0], places[of, 1] + step, places[of, 2]
         order = np.lexsort((tag, at, doc, h))
         same = h[order][1:] == h[order][:-1]
         # Equal hashes: compare the words themselves.
         left, right = order[:-1][same], order[1:][same]
-        equal = [data[i:j] == data[k:l] for i, j, k, l in zip(a[left].tolist(), b[left].tolist(), a[right].tolist(), b[right].tolist(), strict=True)]
-        if not all(equal):  # two windows with one hash: sort by their words
+        pairs = zip(a[left].tolist(), b[left].tolist(), a[right].tolist(), b[right].tolist(), strict=True)
+        if not all(data[i:j] == data[k:l] for i, j, k, l in pairs):  # two windows with one hash: sort by their words
             words = [data[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
             order = np.array(sorted(range(len(words)), key=lambda i: (words[i], doc[i], at[i], tag[i])), np.int64)
             same = np.array([words[i] == words[j] for i, j in zip(order[:-1], order[1:], strict=True)], bool)
@@ -165,8 +177,8 @@ def _judge(window: int):
         bits = np.bincount(of, weights=is_first * np.exp2(step), minlength=len(strings)).astype(np.int64)
         own = np.flatnonzero(bits)
         return pa.RecordBatch.from_arrays(
-            [pa.array(places[own, 0]), pa.array(places[own, 2]), pa.array(places[own, 1].astype(np.int32)),
-             pa.array(bits[own].astype(np.int32))], ["doc", "tag", "at", "first"])
+            [pa.array(places[own, 0]), pa.array(places[own, 2]), pa.array(places[own, 1] << LONGEST | bits[own])],
+            ["doc", "tag", "first"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
@@ -197,7 +209,8 @@ def _without(text: str | None, firsts: list | None, window: int) -> tuple[int, i
     if n < window:
         return n, 0, b" ".join(words)
     repeated = np.ones(n - window + 1, bool)
-    for at, bits in firsts or ():
+    for place in firsts or ():
+        at, bits = place >> LONGEST, place & ((1 << LONGEST) - 1)
         while bits:
             low = bits & -bits
             repeated[at + low.bit_length() - 1] = False
@@ -222,9 +235,10 @@ def drop_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     packed = mapped(rows, _pack(buckets, window, part), "bucket long, places binary, strings binary")
     packed = packed.repartition(max(parts, buckets // 4), "bucket").sortWithinPartitions("bucket")
-    first = mapped(packed, _judge(window), "doc long, tag long, at int, first int")
+    first = mapped(packed, _judge(window), "doc long, tag long, first long")
 
-    grouped = first.groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "first")).alias("firsts"))
+    # A document's answers come from many buckets, so they move first and are gathered where the join needs them.
+    grouped = first.repartition("doc", "tag").groupBy("doc", "tag").agg(F.collect_list("first").alias("firsts"))
     # The texts meet their answers packed as well: the join moves them once.
     squeezed = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("_row"),
                            F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
@@ -253,7 +267,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
                 for small, firsts in zip(batch.column(1).slice(at, 200).to_pylist(),
                                          batch.column(2).slice(at, 200).to_pylist(), strict=True):
                     t = None if small is None else unpacker.decompress(small).decode()
-                    n, gone, kept = _without(t, [(x["at"], x["first"]) for x in firsts] if firsts else None, window)
+                    n, gone, kept = _without(t, firsts, window)
                     out.append((n, gone, hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text else None))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, 200),
