@@ -115,7 +115,10 @@ def step(p: dict[str, np.ndarray], around: np.ndarray, own: np.ndarray, rate: fl
     p["bias"] -= rate * z.sum(axis=0)
     p["mix"] -= rate * (x.T @ dh)
     p["lean"] -= rate * dh.sum(axis=0)
-    np.subtract.at(p["embed"], around, rate * dx)
+    flat = around.ravel()
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    p["embed"][flat[order][first]] -= rate * np.add.reduceat(dx.reshape(-1, SIZE)[order], first, axis=0)
 
 
 def train_round(docs: DataFrame, text: str, common: dict[bytes, int], p: dict[str, np.ndarray], number: int) -> dict[str, np.ndarray]:
@@ -135,9 +138,13 @@ def train_round(docs: DataFrame, text: str, common: dict[bytes, int], p: dict[st
                     pos = np.arange((number * 7 + len(w)) % STRIDE, len(w), STRIDE)
                     if not len(pos):
                         continue
-                    ids = symbols(w, words)
-                    around.append(sides(ids, pos))
-                    targets.append(ids[pos])
+                    # Only these positions and their sides need symbols.
+                    at_side = pos[:, None] + np.arange(-REACH, REACH + 1)[None, :]
+                    inside = (at_side >= 0) & (at_side < len(w))
+                    ids = np.zeros(at_side.shape, np.int64)
+                    ids[inside] = symbols([w[k] for k in at_side[inside].tolist()], words)
+                    around.append(np.delete(ids, REACH, axis=1))
+                    targets.append(ids[:, REACH])
                     waiting += len(pos)
                     if waiting >= BATCH:
                         step(own, np.concatenate(around), np.concatenate(targets), RATE)
