@@ -119,7 +119,7 @@ def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source")
     fallback = overall["of_all"].asDict() if overall else {k: 0.0 for k in GAP}
     enough = F.col("docs") >= LEAST_DOCS
     picked = [F.when(enough, F.col(k)).when(F.col("of_lang.docs") >= LEAST_DOCS, F.col(f"of_lang.{k}"))
-              .otherwise(F.lit(float(fallback[k]))).alias(k) for k in GAP]
+              .otherwise(F.lit(float(fallback[k] or 0.0))).alias(k) for k in GAP]
     return keep(out.select("_lang", "_source", F.struct(*picked).alias("_limits")), "thresholds")
 
 
