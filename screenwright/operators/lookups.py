@@ -37,17 +37,18 @@ def lookup_join(
 
     A small dimension is broadcast and ``df`` is not moved. A large one is shuffled; because one key may hold a large
     part of ``df``, its rows are spread over ``SALTS`` buckets by ``salt_by`` and the dimension is repeated per bucket.
+    Without ``salt_by``, and where it is null, rows are spread by a digest of their plain columns.
     """
     if small is None:
         small = is_small(dim)
     if small:
         return df.join(F.broadcast(dim), keys, how)
-    if salt_by is None:
-        return df.join(dim, keys, how)
-    salted = df.withColumn("_salt", salt(F.col(salt_by)))
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct", "variant")]
+    by = plain if salt_by is None else [salt_by, *(c for c in plain if c != salt_by)]
+    salted = df.withColumn("_salt", salt(*(F.col(f"`{c}`") for c in by)))
     repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def salt(column: Column, buckets: int = SALTS) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
+def salt(*columns: Column, buckets: int = SALTS) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")

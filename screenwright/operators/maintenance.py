@@ -44,10 +44,27 @@ def upsert_organizations(organizations: DataFrame, changes: DataFrame) -> DataFr
     return upsert(organizations, changes, "org_id", "seq")
 
 
-def insert_absent(target: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """Add candidates whose key the target does not have; existing rows are never changed."""
-    new = candidates.dropDuplicates(keys).join(target.select(*keys).distinct(), keys, "left_anti")
-    return target.unionByName(new, allowMissingColumns=True).select(*target.columns)
+def insert_absent(target: DataFrame, candidates: DataFrame, keys: list[str], seq: str | None = None,
+                  number: str | None = None) -> DataFrame:
+    """Add candidates whose key the target does not have; existing rows are never changed.
+
+    Of candidates with one key the first by ``seq`` wins; without it, or in a tie, the smallest by all columns. With
+    ``number``, that column of new rows follows the target's highest in the order of ``seq``, as ``append_policies`` does.
+    """
+    others = [c for c in candidates.columns if c not in keys and c != seq]
+    order = F.struct(*([F.col(seq).alias("_seq")] if seq else []), *others)
+    first = candidates.groupBy(*keys).agg(F.min(order).alias("_first")).select(*keys, "_first.*")
+    new = first.join(target.select(*keys).distinct(), keys, "left_anti")
+    if number:
+        new = append_numbers(target, new.drop(number), number, "_seq")
+    return target.unionByName(new.drop("_seq"), allowMissingColumns=True).select(*target.columns)
+
+
+def append_numbers(target: DataFrame, new: DataFrame, number: str, seq: str) -> DataFrame:
+    """Number ``new`` after the highest of ``target``; two numbers are fetched, and no row has to see another one."""
+    highest = target.agg(F.max(number)).first()[0] or 0
+    first = new.agg(F.min(seq)).first()[0] or 0
+    return new.withColumn(number, (F.lit(highest - first + 1) + F.col(seq)).cast("int"))
 
 
 def append_policies(policies: DataFrame, new: DataFrame, seq: str = "seq") -> DataFrame:
@@ -56,12 +73,7 @@ def append_policies(policies: DataFrame, new: DataFrame, seq: str = "seq") -> Da
     ``seq`` is the arrival number of a row. Ids grow with it and are unique; like those of a database sequence they
     have gaps where it has. Only two numbers are fetched, and no row has to see another one.
     """
-    highest = policies.agg(F.max("id")).first()[0] or 0
-    first = new.agg(F.min(seq)).first()[0]
-    if first is None:
-        return policies
-    numbered = new.withColumn("id", (F.lit(highest - first + 1) + F.col(seq)).cast("int"))
-    return policies.unionByName(numbered.select(*policies.columns))
+    return policies.unionByName(append_numbers(policies, new, "id", seq).select(*policies.columns))
 
 
 def delete_policies(policies: DataFrame, ids: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ Policies of an organisation are looked at in id order. A policy applies to all s
 of its keywords found in the prompt decides: an allow policy stops the search and discards what would follow, others
 report the keyword. Without a report, or after a stop, the intent layer runs.
 
-Two plans give the same result. If the policy table is below a measured bound it is folded to one row per
-organisation and broadcast, and prompts are not moved. Above the bound, keywords are joined to prompts on the
-organisation, spread over salted buckets; only the hits are kept and brought back by request.
+The policy table is folded to one row per organisation and looked up. Below a measured bound that is a broadcast and
+prompts are not moved; above it, prompts meet the folded rows in one salted join. Either way every prompt is judged by
+the same expressions in its own row, so the plans agree, need no request id and run in streams as well. The policies of
+one organisation travel in one row.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from screenwright.functions.detections import (
     no_detections,
 )
 from screenwright.functions.text import is_blank, java_trim, let
-from screenwright.operators.lookups import SALTS, is_small, salt
+from screenwright.operators.lookups import BROADCAST_BYTES, is_small, lookup_join
 
 POLICY_ROWS = 100_000
+# A folded keyword stands in its row as written, lowered and as a needle.
+POLICY_BYTES = BROADCAST_BYTES // 4
 
 
 def effect(allow: Column, block: Column, critical: Column, redact: Column) -> Column:
@@ -73,8 +76,8 @@ def org_intent(prompt: Column, norm: Column, inquiry: Column, mode: str) -> Colu
     )))
 
 
-def with_direct_hits(df: DataFrame, policies: DataFrame) -> DataFrame:
-    """Add ``_hits`` (detections before any stop) and ``_stopped``, with the policies broadcast per organisation."""
+def with_direct_hits(df: DataFrame, policies: DataFrame, small: bool) -> DataFrame:
+    """Add ``_hits`` (detections before any stop) and ``_stopped``; ``small`` policies are broadcast."""
     folded = clean_policies(policies).groupBy("org_key").agg(
         F.array_sort(F.collect_list(F.struct("id", "policy_sub_user", "effect", "words"))).alias("_policies"))
     lower, norm, sub = F.col("_lower"), F.col("_norm"), F.lower("sub_user")
@@ -86,7 +89,7 @@ def with_direct_hits(df: DataFrame, policies: DataFrame) -> DataFrame:
         )),
         lambda m: m["word"].isNotNull(),
     )
-    joined = df.join(F.broadcast(folded), "org_key", "left").withColumn("_matched", matched).drop("_policies")
+    joined = lookup_join(df, folded, ["org_key"], small=small).withColumn("_matched", matched).drop("_policies")
     stop = F.array_position(F.transform("_matched", lambda m: m["effect"]), "allow")
     return joined.withColumn("_stop", F.coalesce(stop, F.lit(0))).withColumns({
         "_stopped": F.col("_stop") > 0,
@@ -98,41 +101,6 @@ def with_direct_hits(df: DataFrame, policies: DataFrame) -> DataFrame:
     }).drop("_matched", "_stop")
 
 
-def with_direct_hits_by_join(df: DataFrame, policies: DataFrame, request_id: str = "request_id") -> DataFrame:
-    """The same columns as ``with_direct_hits`` without broadcasting: keywords meet prompts in a salted equi-join.
-
-    ``request_id`` has to be unique. Only hits leave the join; the texts are not carried beyond it.
-    """
-    words = clean_policies(policies).select(
-        "org_key", "id", "policy_sub_user", "effect", F.posexplode("words").alias("pos", "word"))
-    words = words.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    texts = df.select(
-        F.col(request_id).alias("_rid"), "org_key", F.lower("sub_user").alias("_sub"), "_lower", "_norm",
-        salt(F.col(request_id)).alias("_salt"))
-    hits = texts.join(words, ["org_key", "_salt"]).where(
-        ((F.col("policy_sub_user") == "*") | (F.col("policy_sub_user") == F.col("_sub")))
-        & word_hit(F.col("word"), F.col("_lower"), F.col("_norm"))
-    ).select("_rid", "org_key", "id", "effect", "pos", "word.word")
-    # First keyword per policy, then everything a request needs, each with partial aggregation before the shuffle.
-    first = hits.groupBy("_rid", "org_key", "id", "effect").agg(F.min_by("word", "pos").alias("word"))
-    per_request = first.groupBy("_rid").agg(
-        F.min(F.when(F.col("effect") == "allow", F.col("id"))).alias("_stop"),
-        F.array_sort(F.collect_list(F.struct("id", "effect", "word", "org_key"))).alias("_matched"),
-    )
-    reported = F.filter("_matched", lambda m: F.col("_stop").isNull() | (m["id"] < F.col("_stop")))
-    per_request = per_request.select(
-        "_rid",
-        F.col("_stop").isNotNull().alias("_stopped"),
-        F.flatten(F.transform(
-            reported, lambda m: hit_detection(m["effect"], m["word"], m["org_key"]))).alias("_hits"),
-    )
-    joined = df.join(per_request, df[request_id] == per_request["_rid"], "left").drop("_rid")
-    return joined.withColumns({
-        "_stopped": F.coalesce("_stopped", F.lit(False)),
-        "_hits": F.coalesce("_hits", no_detections()),
-    })
-
-
 def detect_org_keywords(
     df: DataFrame,
     policies: DataFrame,
@@ -140,10 +108,15 @@ def detect_org_keywords(
     mode: str = "compact",
     plan: str = "auto",
 ) -> DataFrame:
-    """Add ``_found_org`` to a frame with ``org_key``, ``sub_user`` and the text columns."""
-    if plan == "auto":
-        plan = "broadcast" if is_small(policies, POLICY_ROWS) else "join"
-    applied = {"broadcast": with_direct_hits, "join": with_direct_hits_by_join}[plan](df, policies)
+    """Add ``_found_org`` to a frame with ``org_key``, ``sub_user`` and the text columns.
+
+    ``plan``: ``auto`` picks by the measured size of the policies, ``broadcast`` refuses those above the bound, ``join``
+    never broadcasts.
+    """
+    small = plan != "join" and is_small(policies, POLICY_ROWS, POLICY_BYTES)
+    if plan == "broadcast" and not small:
+        raise ValueError("the policies are too large to be broadcast; use plan='join'")
+    applied = with_direct_hits(df, policies, small)
     nobody = F.col("org_key").isNull() | F.col("sub_user").isNull() | is_blank(F.col(prompt))
     intent = org_intent(F.col(prompt), F.col("_norm"), F.col("_inquiry"), mode)
     found = F.when(nobody, no_detections()).when(

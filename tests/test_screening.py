@@ -84,6 +84,25 @@ def test_policies_need_an_organisation_and_a_sub_user(spark):
         assert [r._found_org for r in rows] == [[], []]
 
 
+@pytest.mark.parametrize("plan", ["broadcast", "join"])
+def test_policies_need_no_request_id(spark, plan):
+    """Null and repeated ids: every request is judged by its own text."""
+    df = spark.createDataFrame([(None, "1", "u", "alpha"), (None, "1", "u", "calm"), ("a", "1", "u", "alpha"), ("a", "1", "u", "calm")],
+                               "request_id string, org_key string, sub_user string, prompt string")
+    table = spark.createDataFrame([(1, "1", "*", "alpha", False, False, False, True, "")], P)
+    rows = detect_org_keywords(add_text_columns(df), table, plan=plan).collect()
+    assert sorted((r.prompt, len(r._found_org)) for r in rows) == [("alpha", 1), ("alpha", 1), ("calm", 0), ("calm", 0)]
+
+
+def test_broadcast_refuses_large_policies(spark, monkeypatch):
+    monkeypatch.setattr("screenwright.operators.org_policy.POLICY_ROWS", 0)
+    df = spark.createDataFrame([("a", "1", "u", "alpha")], "request_id string, org_key string, sub_user string, prompt string")
+    table = spark.createDataFrame([(1, "1", "*", "alpha", False, False, False, True, "")], P)
+    with pytest.raises(ValueError, match="too large"):
+        detect_org_keywords(add_text_columns(df), table, plan="broadcast")
+    assert len(detect_org_keywords(add_text_columns(df), table).first()._found_org) == 1
+
+
 def test_large_lookup_is_salted_and_gives_the_same_rows(spark, monkeypatch):
     df = spark.range(500).select(F.col("id").cast("string").alias("rid"), F.when(F.col("id") % 3 == 0, "hot").otherwise(
         F.col("id").cast("string")).alias("k"))

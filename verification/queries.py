@@ -84,8 +84,13 @@ def audited(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one of the session, or a temporary one where none is set, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
+    """A new folder below the shared one of the session; a temporary one only on a local master, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="run-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -688,32 +693,38 @@ def upsert_organizations(spark, sf):
 SEEDS = [*B.POLICIES]
 SEEDS[2] = "CASE WHEN s_suppkey % 3 = 0 THEN 'seeded' ELSE " + B.POLICIES[2].rsplit(" AS ", 1)[0] + " END AS sub_user"
 SEEDS[0] = "CAST(s_suppkey + 1000000 AS INT) AS id"
-SEEDS[8] = "'seed' AS prompt_col"
+SEEDS[8] = "'seed ' || CAST(s_suppkey % 5 AS STRING) AS prompt_col"
+SEEDS.append("s_suppkey AS seq")
 
 
-@query("m3_insert_absent_policies", over(f"{BASE}, seeds AS (SELECT {', '.join(SEEDS)} FROM supplier)", """
-SELECT user_id, sub_user, keyword_list, prompt_col FROM policies UNION ALL
-SELECT DISTINCT user_id, sub_user, keyword_list, prompt_col FROM seeds s WHERE NOT EXISTS (SELECT 1 FROM policies p
-  WHERE p.user_id = s.user_id AND p.sub_user = s.sub_user AND p.keyword_list = s.keyword_list)"""))
+@query("m3_insert_absent_policies", over(f"""{BASE}, seeds AS (SELECT {', '.join(SEEDS)} FROM supplier),
+  new AS (SELECT * FROM seeds s WHERE NOT EXISTS (SELECT 1 FROM policies p
+      WHERE p.user_id = s.user_id AND p.sub_user = s.sub_user AND p.keyword_list = s.keyword_list)
+    QUALIFY row_number() OVER (PARTITION BY user_id, sub_user, keyword_list ORDER BY seq) = 1)""", """
+SELECT id, user_id, sub_user, keyword_list, allow_col, redacted_col, critical_col, block_col, prompt_col FROM policies
+UNION ALL SELECT CAST((SELECT max(id) FROM policies) + seq - (SELECT min(seq) FROM new) + 1 AS INT), user_id, sub_user,
+  keyword_list, allow_col, redacted_col, critical_col, block_col, prompt_col FROM new"""))
 def insert_absent_policies(spark, sf):
-    merged = M.insert_absent(B.policies(spark, sf), B.read(spark, sf, "supplier").selectExpr(*SEEDS),
-                             ["user_id", "sub_user", "keyword_list"])
-    return merged.select("user_id", "sub_user", "keyword_list", "prompt_col")
+    return M.insert_absent(B.policies(spark, sf), B.read(spark, sf, "supplier").selectExpr(*SEEDS),
+                           ["user_id", "sub_user", "keyword_list"], "seq", "id")
 
 
-@query("m4_insert_absent_users", over(f"{BASE}, changes AS (SELECT {', '.join(USER_CHANGES)} FROM customer)", """
-SELECT user_id, role = 'USER' OR role = 'ADMIN' OR role = 'admin' AS original FROM users
-UNION ALL SELECT DISTINCT user_id, false FROM changes WHERE user_id NOT IN (SELECT user_id FROM users)"""))
+@query("m4_insert_absent_users", over(f"""{BASE}, changes AS (SELECT {', '.join(USER_CHANGES)} FROM customer),
+  first AS (SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq) = 1)""", """
+SELECT user_id, display_name, role, org_id FROM users
+UNION ALL SELECT user_id, display_name, role, org_id FROM first WHERE user_id NOT IN (SELECT user_id FROM users)"""))
 def insert_absent_users(spark, sf):
-    merged = M.insert_absent(B.users(spark, sf), B.read(spark, sf, "customer").selectExpr(*USER_CHANGES), ["user_id"])
-    return merged.select("user_id", F.col("role").isin("USER", "ADMIN", "admin").alias("original"))
+    changes = B.read(spark, sf, "customer").selectExpr(*USER_CHANGES)
+    return M.insert_absent(B.users(spark, sf), changes, ["user_id"], "seq")
 
 
-@query("m4_insert_absent_organizations", over(f"{BASE}, changes AS (SELECT {', '.join(ORG_CHANGES)} FROM supplier)", """
-SELECT org_id FROM organizations UNION SELECT org_id FROM changes"""))
+@query("m4_insert_absent_organizations", over(f"""{BASE}, changes AS (SELECT {', '.join(ORG_CHANGES)} FROM supplier),
+  first AS (SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY org_id ORDER BY seq) = 1)""", """
+SELECT org_id, org_name FROM organizations
+UNION ALL SELECT org_id, org_name FROM first WHERE org_id NOT IN (SELECT org_id FROM organizations)"""))
 def insert_absent_organizations(spark, sf):
     return M.insert_absent(B.organizations(spark, sf), B.read(spark, sf, "supplier").selectExpr(*ORG_CHANGES),
-                           ["org_id"]).select("org_id")
+                           ["org_id"], "seq")
 
 
 @query("m5_append_policies", over(f"{BASE}, good AS ({GOOD_POLICIES_SQL})", """
