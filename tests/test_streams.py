@@ -44,6 +44,17 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, folder, dims):
     assert streamed == batch and len(batch) == 60
 
 
+def test_stream_with_a_large_policy_table(spark, folder, dims, monkeypatch):
+    """Above the broadcast bound the stream starts as well and gives the same rows."""
+    source = str(folder / "in")
+    batch = sorted(map(str, audit(read_prompts(spark, source, "json"), dims).select("id", "action", "risk_score").collect()))
+    monkeypatch.setattr("screenwright.operators.org_policy.POLICY_ROWS", 0)
+    R.screen_stream(read_prompts_stream(spark, source, files_per_batch=1), dims, str(folder / "out-large"),
+                    checkpoint=str(folder / "cp-large"), availableNow=True).awaitTermination()
+    got = read_audit(spark, str(folder / "out-large")).select("id", "action", "risk_score").collect()
+    assert sorted(map(str, got)) == batch
+
+
 def run_to_memory(df, name, mode, checkpoint):
     df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start().awaitTermination()
