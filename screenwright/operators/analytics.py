@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenwright.functions.tokens import exact_sum
 from screenwright.operators.lookups import lookup_join
-from screenwright.operators.prepare import DEFAULT_ALIASES
 
 ACTIONS = (("blockedPrompts", "BLOCK"), ("redactedPrompts", "REDACT"), ("alertedPrompts", "ALERT"),
            ("allowedPrompts", "ALLOW"))
@@ -68,16 +69,16 @@ def risk_summary(audit: DataFrame) -> DataFrame:
         F.when(F.col("totalPrompts") > 0, F.concat(percent.cast("bigint").cast("string"), F.lit("%"))).otherwise("0%"))
 
 
-def report_ids(user_id: str | None, aliases=None) -> list[str] | None:
+def report_ids(user_id: str | None, aliases=()) -> list[str] | None:
     """Ids a report for ``user_id`` matches: its canonical name and the alternate id. None stands for everyone."""
     if user_id is None:
         return None
     resolved = alternate = user_id
-    for org_id, name, slug in aliases or DEFAULT_ALIASES:
+    for org_id, name, slug in aliases:
         if user_id == org_id or user_id.lower() in (name.lower(), slug.lower()):
             resolved = name
             break
-    for org_id, name, _slug in aliases or DEFAULT_ALIASES:
+    for org_id, name, _slug in aliases:
         if resolved.lower() == name.lower():
             alternate = org_id
             break
@@ -86,7 +87,7 @@ def report_ids(user_id: str | None, aliases=None) -> list[str] | None:
     return [resolved] if resolved == alternate else [resolved, alternate]
 
 
-def required_ids(user_id: str | None, aliases=None) -> list[str]:
+def required_ids(user_id: str | None, aliases=()) -> list[str]:
     if user_id is None or not user_id.strip():
         raise ValueError("userId is required")
     return report_ids(user_id, aliases)
@@ -96,7 +97,7 @@ def of_user(audit: DataFrame, ids: list[str]) -> DataFrame:
     return audit.filter(F.col("user_id").isin(ids))
 
 
-def user_stats(audit: DataFrame, user_id: str | None, aliases=None) -> DataFrame:
+def user_stats(audit: DataFrame, user_id: str | None, aliases=()) -> DataFrame:
     return summary(of_user(audit, required_ids(user_id, aliases)))
 
 
@@ -121,7 +122,7 @@ def token_logs(audit: DataFrame, kind: str, ids: list[str] | None = None) -> Dat
     return newest_first(log_projection(rows, TOKEN_LOG_FIELDS))
 
 
-def token_report(audit: DataFrame, user_id: str | None = None, aliases=None) -> dict[str, DataFrame]:
+def token_report(audit: DataFrame, user_id: str | None = None, aliases=()) -> dict[str, DataFrame]:
     """Totals and both logs, for everyone (no id, an empty one or ``ALL``) or one user."""
     ids = None if not user_id or user_id == "ALL" else report_ids(user_id, aliases)
     scope = audit if ids is None else of_user(audit, ids)
@@ -131,7 +132,7 @@ def token_report(audit: DataFrame, user_id: str | None = None, aliases=None) ->
     return {"totals": totals, "usedLogs": token_logs(audit, "used", ids), "savedLogs": token_logs(audit, "saved", ids)}
 
 
-def my_prompts(audit: DataFrame, user_id: str | None, aliases=None) -> DataFrame:
+def my_prompts(audit: DataFrame, user_id: str | None, aliases=()) -> DataFrame:
     return recent_logs(of_user(audit, required_ids(user_id, aliases)))
 
 
@@ -150,11 +151,22 @@ def organization_list(organizations: DataFrame, org_id: int | None = None) -> Da
     return rows.select("org_id", "org_name").orderBy("org_id")
 
 
-def policy_list(policies: DataFrame, org_key: str | None = None) -> DataFrame:
-    """All policies, or those of one organisation key."""
-    if org_key is None:
+def policy_list(policies: DataFrame, user_id: str | None = None, users: DataFrame | None = None) -> DataFrame:
+    """All policies, or those of one organisation key or, given ``users``, of an account's organisation.
+
+    An all-digit id is an organisation. An account that is unknown or has no organisation stands for itself. Should an
+    account occur more than once, its lowest organisation counts.
+    """
+    if user_id is None or not user_id.strip():
         return policies.orderBy("user_id", "sub_user", "id")
-    return policies.filter(F.col("user_id") == org_key).orderBy("sub_user", "id")
+    key = F.lit(user_id)
+    if users is not None and not re.fullmatch(r"[0-9]+", user_id):
+        org = users.filter(F.col("user_id") == user_id).agg(F.min("org_id").cast("string").alias("_org"))
+        # One row, so the join repeats nothing.
+        policies = policies.join(F.broadcast(org), F.col("user_id") == F.coalesce("_org", key)).drop("_org")
+    else:
+        policies = policies.filter(F.col("user_id") == key)
+    return policies.orderBy("sub_user", "id")
 
 
 def role_lookup(ids: DataFrame, users: DataFrame, user_id: str = "user_id") -> DataFrame:

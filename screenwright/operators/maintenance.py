@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenwright.operators.lookups import lookup_join
-from screenwright.operators.prepare import DEFAULT_ALIASES
 
 # Fixed values of the backfill: tokens assumed for an answer and the blended price of a token in US dollars.
 LEGACY_RESPONSE_TOKENS = 300
@@ -128,11 +127,10 @@ def backfill_usage(audit: DataFrame) -> DataFrame:
 
 def rekey(df: DataFrame, mapping: list[tuple[str, str]], column: str = "user_id") -> DataFrame:
     """Replace old ids by new ones; ids not in the mapping stay."""
-    chain = None
-    for old, new in mapping:
-        hit = F.col(column) == old
-        chain = F.when(hit, new) if chain is None else chain.when(hit, new)
-    return df.withColumn(column, chain.otherwise(F.col(column)))
+    chain = F.col(column)
+    for old, new in reversed(mapping):
+        chain = F.when(F.col(column) == old, new).otherwise(chain)
+    return df.withColumn(column, chain)
 
 
 def rekey_by_table(df: DataFrame, aliases: DataFrame, column: str = "user_id") -> DataFrame:
@@ -142,19 +140,18 @@ def rekey_by_table(df: DataFrame, aliases: DataFrame, column: str = "user_id") -
     return out.withColumn(column, F.coalesce("_new", column)).select(*df.columns)
 
 
-def rekey_audit(audit: DataFrame, aliases=None) -> DataFrame:
+def rekey_audit(audit: DataFrame, aliases=()) -> DataFrame:
     """Account slugs and organisation names become organisation ids."""
-    return rekey(audit, [(old, org) for org, name, slug in aliases or DEFAULT_ALIASES for old in (slug, name)])
+    return rekey(audit, [(old, org) for org, name, slug in aliases for old in (slug, name)])
 
 
-def rekey_policies(policies: DataFrame, aliases=None) -> DataFrame:
+def rekey_policies(policies: DataFrame, aliases=()) -> DataFrame:
     """Account slugs become organisation ids."""
-    return rekey(policies, [(slug, org) for org, _name, slug in aliases or DEFAULT_ALIASES])
+    return rekey(policies, [(slug, org) for org, _name, slug in aliases])
 
 
-def repair_users(users: DataFrame, aliases=None) -> DataFrame:
+def repair_users(users: DataFrame, aliases=()) -> DataFrame:
     """Remove users whose id is an organisation id; name known accounts after their organisation and attach them."""
-    aliases = aliases or DEFAULT_ALIASES
     name, org = F.col("display_name"), F.col("org_id")
     for org_id, org_name, slug in aliases:
         known = F.col("user_id") == slug

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenwright import catalogue as C
-from screenwright.functions.text import is_blank, java_trim, settled
+from screenwright.functions.text import is_blank, java_trim
 from screenwright.operators.lookups import lookup_join
 
 
@@ -61,7 +63,7 @@ def default_sub_user(sub_user: Column) -> Column:
     return F.when(trimmed_empty | (sub_user == "anonymous-sub"), "unknown").otherwise(sub_user)
 
 
-def alias_expression(value: Column, aliases: list[tuple[str, str, str]], kinds: dict[str, str]) -> Column:
+def alias_expression(value: Column, aliases: Sequence[tuple[str, str, str]], kinds: dict[str, str]) -> Column:
     """Name of the organisation an id stands for, null if it stands for none.
 
     ``aliases`` holds (organisation id, name, account slug). ``kinds`` says per field whether it is compared exactly
@@ -78,40 +80,35 @@ def alias_expression(value: Column, aliases: list[tuple[str, str, str]], kinds:
     return chain
 
 
-# Organisation ids with their name and the account slug that stands for them. A deployment passes its own list.
-DEFAULT_ALIASES = [("101", "Telecomm", "telecomm-user"), ("102", "Software", "software-user")]
-
-
-def canonical_user(user_id: Column, sub_user: Column, aliases=None) -> Column:
+def canonical_user(user_id: Column, sub_user: Column, aliases=()) -> Column:
     """User id under which a request is stored: the organisation name where id or sub-user stands for one."""
-    chain = None
-    for org_id, name, slug in aliases or DEFAULT_ALIASES:
+    unnamed = user_id.isNull() | (java_trim(user_id) == "") | (user_id == "anonymous-user")
+    chain = F.when(unnamed, "anonymous-user").otherwise(user_id)
+    for org_id, name, slug in reversed(aliases):
         hit = (F.coalesce(user_id == org_id, F.lit(False))
                | F.coalesce(F.lower(user_id).isin(name.lower(), slug.lower()), F.lit(False))
                | F.coalesce(F.lower(sub_user) == slug.lower(), F.lit(False)))
-        chain = F.when(hit, name) if chain is None else chain.when(hit, name)
-    unnamed = user_id.isNull() | (java_trim(user_id) == "") | (user_id == "anonymous-user")
-    return chain.when(unnamed, "anonymous-user").otherwise(user_id)
+        chain = F.when(hit, name).otherwise(chain)
+    return chain
 
 
-def heartbeat_label(user_id: Column, sub_user: Column, aliases=None) -> Column:
+def heartbeat_label(user_id: Column, sub_user: Column, aliases=()) -> Column:
     """Label of a heartbeat. The account slug is compared exactly here, and the sub-user's slug overrides, last first."""
-    aliases = aliases or DEFAULT_ALIASES
     by_user = alias_expression(user_id, aliases, {"id": "exact", "name": "ignore", "slug": "exact"})
     by_sub = alias_expression(sub_user, aliases, {"slug": "ignore"})
     return F.coalesce(by_sub, by_user, user_id)
 
 
-def analytics_id(user_id: Column, aliases=None) -> Column:
+def analytics_id(user_id: Column, aliases=()) -> Column:
     """Canonical id for report filters; null stays null."""
     kinds = {"id": "exact", "name": "ignore", "slug": "ignore"}
-    return F.coalesce(alias_expression(user_id, aliases or DEFAULT_ALIASES, kinds), user_id)
+    return F.coalesce(alias_expression(user_id, aliases, kinds), user_id)
 
 
-def alternate_id(user_id: Column, aliases=None) -> Column:
+def alternate_id(user_id: Column, aliases=()) -> Column:
     """Organisation id for an organisation name, otherwise the id itself; reports match either."""
     chain = user_id
-    for org_id, name, _slug in reversed(aliases or DEFAULT_ALIASES):
+    for org_id, name, _slug in reversed(aliases):
         chain = F.when(F.lower(user_id) == name.lower(), org_id).otherwise(chain)
     return chain
 
@@ -123,13 +120,13 @@ def with_display_label(df: DataFrame, organizations: DataFrame, user_id: str = "
     return joined.withColumn("display_label", F.coalesce("_label", user_id)).drop("_label")
 
 
-def prepare_requests(df: DataFrame, aliases=None) -> DataFrame:
+def prepare_requests(df: DataFrame, aliases=()) -> DataFrame:
     """Apply the sub-user default, then the canonical user id, which looks at the defaulted sub-user.
 
-    Filters on request columns belong before this step: from here on they are not pushed to the reader.
+    ``aliases`` are (organisation id, name, account slug); none are built in.
     """
     df = df.withColumn("sub_user", default_sub_user(F.col("sub_user")))
-    return df.withColumn("user_id", settled(canonical_user(F.col("user_id"), F.col("sub_user"), aliases)))
+    return df.withColumn("user_id", canonical_user(F.col("user_id"), F.col("sub_user"), aliases))
 
 
 def with_org_key(

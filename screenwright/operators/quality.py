@@ -86,7 +86,7 @@ def normalize_alerts(df: DataFrame) -> DataFrame:
     return df.select(*rest, *[F.coalesce(present[n], F.lit(d)).alias(n) for n, d in defaults.items()])
 
 
-def normalize_heartbeats(df: DataFrame, aliases=None) -> DataFrame:
+def normalize_heartbeats(df: DataFrame, aliases=()) -> DataFrame:
     """Defaults for heartbeats, and the organisation label they are shown under."""
     sub = F.when(F.col("subUser").isNull() | (java_trim(F.col("subUser")) == ""), "unknown").otherwise(F.col("subUser"))
     df = df.withColumns({

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenwright.operators.audit import audit_rows
@@ -30,7 +30,7 @@ class Options:
     match_mode: str = "compact"
     org_key_mode: str = "by_user"
     policy_plan: str = "auto"
-    aliases: tuple[tuple[str, str, str], ...] | None = None
+    aliases: tuple[tuple[str, str, str], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -49,14 +49,19 @@ def find(df: DataFrame, policies: DataFrame, options: Options) -> DataFrame:
     return combine(df, ordered).drop(*TEXT_COLUMNS)
 
 
-def screen(requests: DataFrame, dims: Dimensions, options: Options | None = None, reuse: bool = False) -> DataFrame:
+def screen(requests: DataFrame, dims: Dimensions, options: Options | None = None, reuse: bool = False,
+           where: Column | str | None = None) -> DataFrame:
     """Requests with detections, score, decision and redacted prompt.
 
+    ``where`` is a condition on columns of the requests as they come. It is applied before anything else and so reaches
+    the reader; a filter on the result does not.
+
     Without ``reuse`` this is one pass over the requests that moves no prompt between executors, provided the
     dimensions are small. ``reuse`` screens each distinct (organisation, sub-user, prompt) once; it pays where many
     requests repeat a prompt, at the price of moving the prompts.
     """
     options = options or Options()
+    requests = requests if where is None else requests.where(where)
     prepared = prepare_requests(requests, options.aliases)
     keyed = with_org_key(prepared, dims.users, dims.organizations, options.org_key_mode, salt_by="request_id")
     found = reuse_detections(keyed, dims.policies, options) if reuse else find(keyed, dims.policies, options)
@@ -86,6 +91,7 @@ def reuse_detections(keyed: DataFrame, policies: DataFrame, options: Options) ->
     return requests.join(found, ["_key", "_salt"], "left").drop("_key", "_salt")
 
 
-def audit(requests: DataFrame, dims: Dimensions, options: Options | None = None, reuse: bool = False) -> DataFrame:
-    """Audit rows of requests."""
-    return audit_rows(screen(requests, dims, options, reuse))
+def audit(requests: DataFrame, dims: Dimensions, options: Options | None = None, reuse: bool = False,
+          where: Column | str | None = None) -> DataFrame:
+    """Audit rows of requests; ``where`` as in ``screen``."""
+    return audit_rows(screen(requests, dims, options, reuse, where))

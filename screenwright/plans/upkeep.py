@@ -14,7 +14,7 @@ def maintain(
     organizations: DataFrame,
     policies: DataFrame,
     seeds: dict[str, DataFrame] | None = None,
-    aliases=None,
+    aliases=(),
 ) -> dict[str, DataFrame]:
     """Next version of all four tables.
 

@@ -14,12 +14,6 @@ def read_prompts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return spark.read.schema(schemas.PROMPTS).format(fmt).load(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a small input that lies in few files to all cores. Inputs with enough splits are left where they are."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
-
-
 def read_prompts_stream(spark: SparkSession, path: str, fmt: str = "json", files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schemas.PROMPTS).format(fmt)
     if files_per_batch:
@@ -54,9 +48,46 @@ def with_audit_date(audit: DataFrame) -> DataFrame:
     return audit.withColumn("audit_date", F.to_date("created_at"))
 
 
-def write_audit(audit: DataFrame, path: str, mode: str = "append") -> None:
-    """Append to the audit table, partitioned by day so that reports over a period read only its days."""
-    with_audit_date(audit).write.mode(mode).partitionBy("audit_date").parquet(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
+def absent(rows: DataFrame, path: str) -> DataFrame:
+    """Those of ``rows`` whose id the audit table does not hold on the same day.
+
+    Of the table, only ids of days between the first and the last of ``rows`` are read; the two dates are all that is
+    fetched. Nothing is joined where the table has no rows in that period.
+    """
+    spark = rows.sparkSession
+    first, last = rows.agg(F.min("audit_date"), F.max("audit_date")).first()
+    period = F.col("audit_date").isNull()
+    if first is not None:
+        period = period | F.col("audit_date").between(F.lit(first), F.lit(last))
+    held = spark.read.schema("id string, audit_date date").parquet(path).where(period)
+    if held.isEmpty():
+        return rows
+    held = held.select(F.col("id").alias("_id"), F.col("audit_date").alias("_date"))
+    same = (F.col("id") == F.col("_id")) & F.col("audit_date").eqNullSafe(F.col("_date"))
+    return rows.join(held, same, "left_anti")
+
+
+def write_audit(audit: DataFrame, path: str, mode: str = "append", check: bool = True) -> None:
+    """Append to the audit table, partitioned by day so that reports over a period read only its days.
+
+    Rows are gathered by day, and adaptive execution splits large days, so a day gets few files. A row whose id the
+    table already holds is left out, so that repeating a write adds nothing; ``check=False`` skips that comparison for
+    rows known to be new. Rows that share an id within one write are all kept. A folder written by a file stream is
+    refused, because its own log hides what others append.
+    """
+    spark = audit.sparkSession
+    rows = with_audit_date(audit)
+    if mode == "append" and exists(spark, path):
+        if exists(spark, f"{path.rstrip('/')}/_spark_metadata"):
+            raise ValueError(f"{path} belongs to a file stream; append to another folder")
+        if check:
+            rows = absent(rows, path)
+    rows.hint("rebalance", "audit_date").write.mode(mode).partitionBy("audit_date").parquet(path)
 
 
 def read_audit(spark: SparkSession, path: str, schema: str = schemas.AUDIT) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+from functools import partial
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from screenwright.operators.analytics import count_if
 from screenwright.plans.screening import Dimensions, Options, audit
-from screenwright.sources.tables import with_audit_date
+from screenwright.sources.tables import write_audit
 
 HEARTBEAT_SECONDS = 30
 
@@ -27,26 +32,70 @@ def screen_stream(
     requests: DataFrame, dims: Dimensions, path: str, name: str = "screening", checkpoint: str | None = None,
     options: Options | None = None, **trigger,
 ) -> StreamingQuery:
-    """Screen requests as they arrive and append audit rows.
+    """Screen requests as they arrive and append audit rows to the same table as batch jobs.
 
-    The file sink commits each batch once, so a restart neither loses nor repeats rows.
+    Only the first batch after a start can be one that was written before; its rows are compared with the ids of the
+    table, so a restart neither loses nor repeats rows. Later batches are appended as they are.
     """
-    rows = with_audit_date(audit(requests, dims, options))
+    started = []
+
+    def append(rows: DataFrame, _batch: int) -> None:
+        if started:
+            return write_audit(rows, path, check=False)
+        rows.persist()
+        write_audit(rows, path)
+        rows.unpersist()
+        started.append(True)
+
     return (
-        rows.writeStream.format("parquet").outputMode("append").partitionBy("audit_date")
-        .option("path", path).option("checkpointLocation", checkpoint_dir(requests.sparkSession, name, checkpoint))
+        audit(requests, dims, options).writeStream.outputMode("append").foreachBatch(append)
+        .option("checkpointLocation", checkpoint_dir(requests.sparkSession, name, checkpoint))
         .trigger(**(trigger or {"processingTime": "10 seconds"})).start()
     )
 
 
-def suppress_repeats(requests: DataFrame, window: str = "5 minutes") -> DataFrame:
+def pass_apart(key, batches: Iterator[pd.DataFrame], state, window: int, late: int) -> Iterator[pd.DataFrame]:
+    """Rows of one key whose times are at least ``window`` from those that passed before (microseconds)."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    passed, arrived = sorted(state.get[0]) if state.exists else [], 0
+    for batch in batches:
+        if batch.empty:
+            continue
+        chosen, arrived = [], max(arrived, int(batch["_arrived_ms"].max()))
+        for row, at in batch.sort_values(["_at", "request_id"], na_position="first")["_at"].items():
+            if at != at:  # without a time nothing tells a repeat
+                chosen.append(row)
+                continue
+            i = bisect.bisect_left(passed, at)
+            if (i == 0 or at - passed[i - 1] >= window) and (i == len(passed) or passed[i] - at >= window):
+                passed.insert(i, int(at))
+                chosen.append(row)
+        yield batch.loc[chosen].drop(columns=["_key", "_at", "_arrived", "_arrived_ms"])
+    if passed:
+        state.update(([at for at in passed if at >= passed[-1] - late - window],))
+        state.setTimeoutTimestamp(arrived + (late + window) // 1000)
+
+
+def suppress_repeats(requests: DataFrame, window: str = "5 minutes", late: str = "1 hour") -> DataFrame:
     """Let a request through once per user, sub-user and prompt within the window.
 
-    This drops requests, so it is not part of screening by default. The state holds a digest, not the prompt.
+    This drops requests, so it is not part of screening by default. A request passes if none of its key has passed at a
+    time less than ``window`` from its own, whatever order they arrive in; what arrives together is taken by time. The
+    watermark is one of arrival, so a late request that is no repeat passes too. Per key, the times that passed are remembered until
+    they lie ``late`` and a window before the newest, or nothing has come for as long; a repeat later than that passes.
+    Rows without a time pass. The state holds a digest and times, no prompt, and rows go by in Arrow batches, so a key
+    of many rows is never held whole.
     """
     parts = [F.coalesce(F.sha2(F.col(c), 256), F.lit("-")) for c in ("user_id", "sub_user", "prompt")]
-    keyed = requests.withColumn("_key", F.sha2(F.concat_ws("|", *parts), 256))
-    return keyed.withWatermark("ts", window).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+    keyed = requests.withColumns({
+        "_key": F.sha2(F.concat_ws("|", *parts), 256), "_at": F.unix_micros(F.col("ts").cast("timestamp")),
+        "_arrived": F.current_timestamp(), "_arrived_ms": F.unix_millis(F.current_timestamp())}).withWatermark("_arrived", "1 minute")
+    apart = partial(pass_apart, window=pd.Timedelta(window) // pd.Timedelta("1us"), late=pd.Timedelta(late) // pd.Timedelta("1us"))
+    return keyed.groupBy("_key").applyInPandasWithState(
+        lambda key, batches, state: apart(key, batches, state), requests.schema, "passed array<bigint>", "append",
+        "EventTimeTimeout")
 
 
 def running_counters(actions: DataFrame, user_id: str = "user_id", action: str = "action") -> DataFrame:

@@ -16,6 +16,8 @@ from screenwright.operators.prepare import with_org_key
 from screenwright.plans import screening
 from screenwright.plans.screening import Dimensions, Options, audit, screen
 from screenwright.schemas import AUDIT_COLUMNS, POLICIES, PROMPTS, USERS
+from screenwright.sources.tables import read_prompts
+from verification.bindings import ALIASES
 
 P = "id int, user_id string, sub_user string, keyword_list string, allow_col boolean, redacted_col boolean, critical_col boolean, block_col boolean, prompt_col string"
 
@@ -207,14 +209,14 @@ def tables(spark):
 
 
 def test_screening_end_to_end(spark, tables):
-    rows = {r.request_id: r for r in screen(*tables).collect()}
+    rows = {r.request_id: r for r in screen(*tables, Options(aliases=ALIASES)).collect()}
     assert rows["1"].user_id == "Telecomm" and rows["1"].action == "REDACT"
     assert rows["1"].redacted_prompt == "my ssn [REDACTED-PII] mail [REDACTED-PII]"
     assert (rows["2"].action, rows["2"].highest_risk_type, rows["2"].redacted_prompt) == (
         "REDACT", "ORG_KEYWORD", "the [REDACTED-ORG] plan")
     assert rows["3"].user_id == "anonymous-user" and rows["3"].sub_user == "unknown"
     assert (rows["5"].user_id, rows["5"].action, rows["5"].detections) == ("Software", "ALLOW", [])
-    by_name = {r.request_id: r for r in screen(*tables, Options(org_key_mode="by_name")).collect()}
+    by_name = {r.request_id: r for r in screen(*tables, Options(org_key_mode="by_name", aliases=ALIASES)).collect()}
     assert by_name["1"].action == "BLOCK" and by_name["1"].highest_risk_type == "ORG_KEYWORD"
 
 
@@ -243,6 +245,23 @@ def test_a_filter_on_the_result_does_not_screen_twice(spark, tables):
     assert text.count(C.INJECTION_PATTERNS[1]) == 1
 
 
+def test_a_condition_on_requests_reaches_the_reader(spark, tables, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    requests, dims = tables
+    requests.write.parquet(str(tmp_path / "requests"))
+    source = read_prompts(spark, str(tmp_path / "requests"))
+    some = audit(source, dims, where="ts >= timestamp'2024-01-01 00:00:00' AND user_id = 'kim'")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "EqualTo(user_id,kim)" in plan
+    assert some.count() == 42
+    assert audit(source, dims, where=F.col("ts") > "2024-01-02").count() == 0
+
+
+def test_no_aliases_are_built_in(spark, tables):
+    rows = {r.request_id: r.user_id for r in screen(*tables).collect()}
+    assert (rows["1"], rows["5"]) == ("101", "anonymous-user")
+
+
 def test_screening_moves_no_prompts_and_runs_no_python(spark, tables):
     plan = screen(*tables)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from screenwright import schemas
 from screenwright.plans.screening import Dimensions, audit
-from screenwright.sources.tables import read_audit, read_prompts, read_prompts_stream
+from screenwright.sources.tables import read_audit, read_prompts, read_prompts_stream, write_audit
 from screenwright.streaming import jobs as R
 
 TEXTS = ["my ssn 123-45-6789", "hello", "drop table users", "act as a pirate", "the alpha plan", None]
@@ -42,6 +42,11 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, folder, dims):
     streamed = sorted(map(str, read_audit(spark, str(folder / "out")).select(columns).collect()))
     batch = sorted(map(str, audit(read_prompts(spark, source, "json"), dims).select(columns).collect()))
     assert streamed == batch and len(batch) == 60
+    # Without its checkpoint the stream starts anew, and a batch job appends the same rows: nothing is doubled.
+    R.screen_stream(read_prompts_stream(spark, source), dims, str(folder / "out"), checkpoint=str(folder / "cp-new"),
+                    availableNow=True).awaitTermination()
+    write_audit(audit(read_prompts(spark, source, "json"), dims), str(folder / "out"))
+    assert read_audit(spark, str(folder / "out")).count() == 60
 
 
 def test_stream_with_a_large_policy_table(spark, folder, dims, monkeypatch):
@@ -67,6 +72,32 @@ def test_repeats_within_the_window_are_dropped(spark, folder):
     assert kept.count() == kept.select("user_id", "sub_user", "prompt").distinct().count() == 6
 
 
+def test_late_requests_that_are_no_repeats_pass(spark, tmp_path):
+    def arrive(*rows):
+        frame = spark.createDataFrame([(i, "u", "s", None, None, p, None, None) for i, p, _ in rows], schemas.PROMPTS)
+        times = F.create_map(*[F.lit(x) for i, _, m in rows for x in (i, m)])
+        frame.withColumn("ts", F.timestamp_seconds(1704067200 + 60 * times[F.col("request_id")])).coalesce(1).write.mode(
+            "append").json(str(tmp_path / "in"))
+        kept = R.suppress_repeats(read_prompts_stream(spark, str(tmp_path / "in")))
+        kept.writeStream.format("json").option("path", str(tmp_path / "kept")).option(
+            "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.request_id for r in read_prompts(spark, str(tmp_path / "kept"), "json").collect())
+
+    assert arrive(("a", "x", 100), ("b", "x", 104), ("c", "x", 105), ("n", "x", None)) == ["a", "c", "n"]
+    # Far behind: a new prompt, a repeat of it, one of the known prompt outside and one inside its window.
+    assert arrive(("d", "y", 1), ("e", "y", 2), ("f", "x", 95), ("g", "x", 97)) == ["a", "c", "d", "f", "n"]
+
+
+def test_last_seen_as_a_stream(spark, tmp_path):
+    beats = spark.range(6).selectExpr("CAST(id % 2 AS STRING) AS org_label", "'s' AS subUser", "'b' AS browserName",
+                                      "timestamp_seconds(1704067200 + id * 60) AS ts")
+    beats.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(beats.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen = run_to_memory(R.last_seen(stream), "seen", "complete", str(tmp_path / "cp"))
+    got = R.with_liveness(seen, "2024-01-01 00:06:00").orderBy("org_label").collect()
+    assert [(r.org_label, r.stale) for r in got] == [("0", True), ("1", False)]
+
+
 def test_running_counters_equal_batch(spark, folder, dims):
     screened = audit(read_prompts(spark, str(folder / "in"), "json"), dims)
     screened.write.parquet(str(folder / "audit"))

@@ -10,6 +10,7 @@ from screenwright.operators import quality as Q
 from screenwright.operators import prepare as P
 from screenwright.plans.upkeep import maintain
 from screenwright.sources import tables as S
+from verification.bindings import ALIASES
 
 POLICY = schemas.POLICIES
 AUDIT = schemas.AUDIT
@@ -79,13 +80,13 @@ def test_maintenance_twice_changes_nothing_more(spark, policies):
              "users": spark.createDataFrame([("admin-user", "Admin", "ADMIN", None, None)], schemas.USERS),
              "policies": policies.filter("id = 6")}
     old = policies.withColumnRenamed("critical_col", "critial_col")
-    once = maintain(audit, users, orgs, old, seeds)
+    once = maintain(audit, users, orgs, old, seeds, ALIASES)
     assert rows(once["organizations"]) == [(101, "Telecomm"), (102, "Software")]
     assert {r.user_id: (r.display_name, r.org_id) for r in once["users"].collect()} == {
         "software-user": ("Software", 102), "admin-user": ("Admin", None)}
     assert sorted(r.id for r in once["policies"].collect()) == [1, 3, 4, 6, 7]
     assert once["audit"].select("user_id", "browser_name").collect() == [("101", "Unknown")]
-    twice = maintain(once["audit"], once["users"], once["organizations"], once["policies"], seeds)
+    twice = maintain(once["audit"], once["users"], once["organizations"], once["policies"], seeds, ALIASES)
     for name in once:
         columns = sorted(once[name].columns)
         assert rows(once[name].select(columns)) == rows(twice[name].select(columns)), name
@@ -104,9 +105,9 @@ def test_block_rate_rounds_half_up(spark):
 
 
 def test_report_ids():
-    assert A.report_ids("telecomm-user") == ["Telecomm", "101"]
-    assert A.report_ids("102") == ["Software", "102"]
-    assert A.report_ids("other") == ["other"]
+    assert A.report_ids("telecomm-user", ALIASES) == ["Telecomm", "101"]
+    assert A.report_ids("102", ALIASES) == ["Software", "102"]
+    assert A.report_ids("other", ALIASES) == ["other"] and A.report_ids("102") == ["102"]
     for missing in (None, "", "  "):
         with pytest.raises(ValueError):
             A.required_ids(missing)
@@ -154,7 +155,14 @@ def test_dimensions_and_audit_round_trip(spark, tmp_path, policies):
     for _ in range(2):
         S.write_audit(audit, str(tmp_path / "audit"))
     again = S.read_audit(spark, str(tmp_path / "audit"))
-    assert again.count() == 2
+    assert again.count() == 1  # repeating a write adds nothing
+    later = audit.withColumn("id", F.lit("2")).withColumn("created_at", F.lit("2024-01-03 00:00:00").cast("timestamp"))
+    undated = later.withColumns({"id": F.lit("3"), "created_at": F.lit(None).cast("timestamp")})
+    for _ in range(2):
+        S.write_audit(audit.unionByName(later).unionByName(undated), str(tmp_path / "audit"))
+    assert sorted(r.id for r in again.sparkSession.read.schema("id string").parquet(str(tmp_path / "audit")).collect()) == [
+        "1", "2", "3"]
+    assert len(list((tmp_path / "audit" / "audit_date=2024-01-02").glob("*.parquet"))) == 1
     plan = again.filter("audit_date = date'2024-01-02'").select("action")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(audit_date" in plan and "original_prompt" not in plan
 
@@ -163,3 +171,19 @@ def test_prompts_from_json_lines(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"request_id": "1", "prompt": "hi", "testing": true}\n{"request_id": "2"}\n')
     got = S.read_prompts(spark, str(tmp_path), "json").orderBy("request_id").collect()
     assert [(r.request_id, r.prompt, r.testing) for r in got] == [("1", "hi", True), ("2", None, None)]
+
+
+def test_audit_folder_of_a_file_stream_is_refused(spark, tmp_path):
+    audit = spark.createDataFrame([audit_row("1", "x", "ALLOW")], AUDIT)
+    (tmp_path / "audit" / "_spark_metadata").mkdir(parents=True)
+    with pytest.raises(ValueError, match="file stream"):
+        S.write_audit(audit, str(tmp_path / "audit"))
+
+
+def test_policies_of_an_account(spark, policies):
+    users = spark.createDataFrame([("kim", "K", "USER", 9, None), ("lee", "L", "USER", None, None)], schemas.USERS)
+    assert [r.id for r in A.policy_list(policies, "kim", users).collect()] == [1, 2, 3, 4, 5, 6]
+    assert [r.id for r in A.policy_list(policies, "9", users).collect()] == [1, 2, 3, 4, 5, 6]
+    assert A.policy_list(policies, "lee", users).count() == A.policy_list(policies, "none", users).count() == 0
+    assert [r.id for r in A.policy_list(policies, "telecomm-user", users).collect()] == [7]
+    assert A.policy_list(policies, " ", users).count() == 7

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from screenwright.plans.screening import Dimensions
-from screenwright.sources.tables import spread
 from verification.golden import EDGE_PROMPTS, GOLDEN_PROMPTS
 
 TOOLS = ("ChatGPT", "Claude", "Gemini", "Grok", "DeepSeek", "Copilot", "DashboardTest", "dashboardtest", None)
@@ -33,6 +32,10 @@ AGENTS = (
 )
 
 
+# Organisation ids with their name and the account slug that stands for them, as the fixed cases have them.
+ALIASES = (("101", "Telecomm", "telecomm-user"), ("102", "Software", "software-user"))
+
+
 def quote(text: str | None) -> str:
     return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
 
@@ -160,11 +163,15 @@ def case_rows(spark: SparkSession) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
-    """All documents, all user turns of conversations and the golden and edge cases."""
+    """All documents, all user turns of conversations and the golden and edge cases.
+
+    The test tables are one file each, which one task would read; only such small inputs are dealt out to all cores.
+    """
     documents = read(spark, sf, "documents").selectExpr(*document_requests(False))
     turns = read(spark, sf, "conversations").filter("role = 'user'").selectExpr(*turn_requests(False))
     rows = documents.unionByName(turns).unionByName(case_rows(spark).selectExpr(*case_requests(False)))
-    return spread(rows, "request_id")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def users(spark: SparkSession, sf: str) -> DataFrame:

@@ -32,7 +32,7 @@ from screenwright.plans.screening import Options, audit, screen
 from screenwright.plans.upkeep import maintain
 from screenwright.schemas import AUDIT as AUDIT_SCHEMA
 from screenwright.schemas import conform_audit, conform_policies
-from screenwright.sources.tables import read_audit, read_prompts_stream, write_audit
+from screenwright.sources.tables import read_audit, read_dims, read_prompts, read_prompts_stream, write_audit, write_dims
 from screenwright.streaming import jobs as R
 from verification import bindings as B
 from verification import oracle as O
@@ -76,11 +76,11 @@ def shown(detections: str | Column) -> Column:
 
 
 def scored(spark: SparkSession, sf: str, profile: str = "core", **options) -> DataFrame:
-    return screen(B.requests(spark, sf), B.dims(spark, sf), Options(profile=profile, **options))
+    return screen(B.requests(spark, sf), B.dims(spark, sf), Options(profile=profile, aliases=B.ALIASES, **options))
 
 
 def audited(spark: SparkSession, sf: str) -> DataFrame:
-    return audit(B.requests(spark, sf), B.dims(spark, sf))
+    return audit(B.requests(spark, sf), B.dims(spark, sf), Options(aliases=B.ALIASES))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -109,13 +109,33 @@ def audit_table(spark: SparkSession, sf: str) -> DataFrame:
     return read_audit(spark, AUDIT_TABLES[key], LOCAL_AUDIT)
 
 
+def written_requests(spark: SparkSession, sf: str, fmt: str = "parquet") -> str:
+    """All requests as files of the documented schema, for the registered readers."""
+    path = shared_folder(spark, "requests")
+    B.requests(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).write.format(fmt).save(path)
+    return path
+
+
 # Sources and sinks.
 
 @query("s1_prompt_ingest", over(BASE, f"""
 SELECT request_id, user_id, sub_user, tool, browser_name, testing, CAST(length(prompt) AS INT) AS chars,
   {stamp_sql('ts')} AS ts FROM requests"""))
 def prompt_ingest(spark, sf):
-    return B.requests(spark, sf).select(
+    return read_prompts(spark, written_requests(spark, sf)).select(
+        "request_id", "user_id", "sub_user", "tool", "browser_name", "testing", F.length("prompt").alias("chars"),
+        stamp("ts").alias("ts"))
+
+
+@query("s2_stream_ingest", over(BASE, f"""
+SELECT request_id, user_id, sub_user, tool, browser_name, testing, CAST(length(prompt) AS INT) AS chars,
+  {stamp_sql('ts')} AS ts FROM requests"""))
+def stream_ingest(spark, sf):
+    path = shared_folder(spark, "ingested")
+    read_prompts_stream(spark, written_requests(spark, sf, "json"), files_per_batch=4).writeStream.format("parquet").option(
+        "path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(
+        availableNow=True).start().awaitTermination()
+    return read_prompts(spark, f"{path}/rows").select(
         "request_id", "user_id", "sub_user", "tool", "browser_name", "testing", F.length("prompt").alias("chars"),
         stamp("ts").alias("ts"))
 
@@ -124,8 +144,10 @@ def prompt_ingest(spark, sf):
 SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS audit_date, action, count(*) AS n, CAST(sum(tokens_used) AS BIGINT) AS tokens
 FROM audit GROUP BY ALL"""))
 def audit_sink(spark, sf):
-    path = shared_folder(spark, "audit")
-    write_audit(audited(spark, sf), path)
+    # Written twice: the second time adds nothing.
+    path, rows = shared_folder(spark, "audit"), audit_table(spark, sf).drop("audit_date")
+    for _ in range(2):
+        write_audit(rows, path)
     return read_audit(spark, path, LOCAL_AUDIT).groupBy(F.col("audit_date").cast("string").alias("audit_date"), "action").agg(
         F.count(F.lit(1)).alias("n"), F.sum("tokens_used").alias("tokens"))
 
@@ -135,7 +157,9 @@ SELECT 'user' AS kind, user_id AS key, display_name AS label, CAST(org_id AS VAR
 UNION ALL SELECT 'organization', CAST(org_id AS VARCHAR), org_name, NULL FROM organizations
 UNION ALL SELECT 'policy', CAST(id AS VARCHAR), keyword_list, user_id || '/' || sub_user FROM policies"""))
 def dimensions(spark, sf):
-    d = B.dims(spark, sf)
+    path = shared_folder(spark, "dims")
+    write_dims(B.dims(spark, sf), path)
+    d = read_dims(spark, path)
     return d.users.select(
         F.lit("user").alias("kind"), F.col("user_id").alias("key"), F.col("display_name").alias("label"),
         F.col("org_id").cast("string").alias("extra"),
@@ -163,7 +187,7 @@ BEATS_SQL = f"""{BASE}, beats AS (
 
 
 def beats(spark, sf):
-    return Q.normalize_heartbeats(B.read(spark, sf, "events").selectExpr(*B.HEARTBEATS))
+    return Q.normalize_heartbeats(B.read(spark, sf, "events").selectExpr(*B.HEARTBEATS), B.ALIASES)
 
 
 @query("s6_heartbeat_ingest", over(BEATS_SQL, f"SELECT * REPLACE ({stamp_sql('ts')} AS ts) FROM beats"))
@@ -217,7 +241,7 @@ def sub_user(spark, sf):
 
 @query("p5a_canonical_user", over(BASE, f"SELECT request_id, {O.canonical(O.SUB)} AS user_id FROM requests"))
 def canonical_user(spark, sf):
-    return P.prepare_requests(B.requests(spark, sf)).select("request_id", "user_id")
+    return P.prepare_requests(B.requests(spark, sf), B.ALIASES).select("request_id", "user_id")
 
 
 @query("p5b_heartbeat_label", over(BEATS_SQL, "SELECT event_id, org_label FROM beats"))
@@ -231,14 +255,14 @@ ANALYTICS_SQL = """CASE WHEN user_id = '101' OR lower(user_id) IN ('telecomm', '
 
 @query("p5c_analytics_id", over(BASE, f"SELECT request_id, {ANALYTICS_SQL} AS resolved FROM requests"))
 def analytics_id(spark, sf):
-    return B.requests(spark, sf).select("request_id", P.analytics_id(F.col("user_id")).alias("resolved"))
+    return B.requests(spark, sf).select("request_id", P.analytics_id(F.col("user_id"), B.ALIASES).alias("resolved"))
 
 
 @query("p5d_alternate_id", over(BASE, """
 SELECT request_id, CASE lower(user_id) WHEN 'software' THEN '102' WHEN 'telecomm' THEN '101' ELSE user_id END AS alternate
 FROM requests"""))
 def alternate_id(spark, sf):
-    return B.requests(spark, sf).select("request_id", P.alternate_id(F.col("user_id")).alias("alternate"))
+    return B.requests(spark, sf).select("request_id", P.alternate_id(F.col("user_id"), B.ALIASES).alias("alternate"))
 
 
 @query("p5e_display_label", over(BASE, """
@@ -267,7 +291,7 @@ def admin_org_key(spark, sf):
 
 @query("p7_score_once", over(SCORED, f"SELECT request_id, risk_score, action, {O.shown('detections')} AS detections FROM scored"))
 def score_once(spark, sf):
-    reused = screen(B.requests(spark, sf), B.dims(spark, sf), reuse=True)
+    reused = screen(B.requests(spark, sf), B.dims(spark, sf), Options(aliases=B.ALIASES), reuse=True)
     return reused.select("request_id", "risk_score", "action", shown("detections").alias("detections"))
 
 
@@ -432,7 +456,7 @@ def claims(spark, sf):
 
 def org_query(plan: str) -> Query:
     def run(spark, sf):
-        keyed = P.with_org_key(P.prepare_requests(B.requests(spark, sf)), B.users(spark, sf), salt_by="request_id")
+        keyed = P.with_org_key(P.prepare_requests(B.requests(spark, sf), B.ALIASES), B.users(spark, sf), salt_by="request_id")
         found = detect_org_keywords(add_text_columns(keyed), B.policies(spark, sf), plan=plan)
         return found.select("request_id", "org_key", shown("_found_org").alias("detections"))
 
@@ -566,25 +590,25 @@ report_query("a7_risk_summary", f"""
 SELECT *, CASE WHEN "totalPrompts" > 0 THEN CAST(CAST(floor("blockedPrompts" / "totalPrompts" * 100 + 0.5) AS BIGINT) AS VARCHAR)
   || '%' ELSE '0%' END AS "blockRate" FROM (SELECT {SUMMARY_SQL} FROM audit)""", A.risk_summary)
 report_query("a8_user_stats", f"SELECT {SUMMARY_SQL} FROM audit WHERE user_id IN ('Telecomm', '101')",
-             lambda a: A.user_stats(a, "telecomm-user"))
+             lambda a: A.user_stats(a, "telecomm-user", B.ALIASES))
 report_query("a9_recent_logs", f"SELECT {log_sql()} FROM audit", lambda a: stamped(A.recent_logs(a)))
 report_query("a10_used_logs", f"SELECT {log_sql(A.TOKEN_LOG_FIELDS)} FROM audit WHERE tokens_used > 0",
              lambda a: stamped(A.token_logs(a, "used")))
 report_query("a11_used_logs_by_user", f"""
 SELECT {log_sql(A.TOKEN_LOG_FIELDS)} FROM audit WHERE tokens_used > 0 AND user_id IN ('Software', '102')""",
-             lambda a: stamped(A.token_logs(a, "used", A.report_ids("software"))))
+             lambda a: stamped(A.token_logs(a, "used", A.report_ids("software", B.ALIASES))))
 report_query("a12_saved_logs", f"SELECT {log_sql(A.TOKEN_LOG_FIELDS)} FROM audit WHERE tokens_saved > 0",
              lambda a: stamped(A.token_logs(a, "saved")))
 report_query("a13_saved_logs_by_user", f"""
 SELECT {log_sql(A.TOKEN_LOG_FIELDS)} FROM audit WHERE tokens_saved > 0 AND user_id IN ('Software', '102')""",
-             lambda a: stamped(A.token_logs(a, "saved", A.report_ids("102"))))
+             lambda a: stamped(A.token_logs(a, "saved", A.report_ids("102", B.ALIASES))))
 TOTALS_SQL = """SELECT "tokensUsed" AS "totalTokensUsed", "costUsed" AS "totalCostUsed", "tokensSaved" AS "totalTokensSaved",
   "costSaved" AS "totalCostSaved" FROM (SELECT {0} FROM audit{1})"""
 report_query("a14_token_report", TOTALS_SQL.format(SUMMARY_SQL, ""), lambda a: A.token_report(a, "ALL")["totals"])
 report_query("a14_token_report_by_user", TOTALS_SQL.format(SUMMARY_SQL, " WHERE user_id IN ('Telecomm', '101')"),
-             lambda a: A.token_report(a, "101")["totals"])
+             lambda a: A.token_report(a, "101", B.ALIASES)["totals"])
 report_query("a15_my_prompts", f"SELECT {log_sql()} FROM audit WHERE user_id IN ('Telecomm', '101')",
-             lambda a: stamped(A.my_prompts(a, "telecomm")))
+             lambda a: stamped(A.my_prompts(a, "telecomm", B.ALIASES)))
 
 
 @query("a16_user_list", over(BASE, "SELECT user_id, display_name, role FROM users"))
@@ -612,6 +636,12 @@ def policies_of_org(spark, sf):
     return A.policy_list(B.policies(spark, sf), "102")
 
 
+@query("a18_policies_of_account", over(BASE, """
+SELECT * FROM policies WHERE user_id = (SELECT CAST(org_id AS VARCHAR) FROM users WHERE user_id = 'c5')"""))
+def policies_of_account(spark, sf):
+    return A.policy_list(B.policies(spark, sf), "c5", B.users(spark, sf))
+
+
 ROLE_SQL = """
 SELECT r.*, coalesce(u.role, 'USER') AS role, u.user_id IS NOT NULL AS exists
 FROM ({0}) r LEFT JOIN (SELECT * FROM users WHERE user_id <> 'anonymous-user') u ON r.user_id = u.user_id"""
@@ -799,7 +829,7 @@ def backfill_usage(spark, sf):
 SELECT id, CASE WHEN user_id IN ('telecomm-user', 'Telecomm') THEN '101' WHEN user_id IN ('software-user', 'Software')
   THEN '102' ELSE user_id END AS user_id FROM audit"""))
 def rekey_audit(spark, sf):
-    return M.rekey_audit(audit_table(spark, sf)).select("id", "user_id")
+    return M.rekey_audit(audit_table(spark, sf), B.ALIASES).select("id", "user_id")
 
 
 @query("m11_rekey_policies", over(BASE, """
@@ -807,7 +837,7 @@ SELECT id, CASE WHEN id % 10 = 3 THEN '101' ELSE user_id END AS user_id FROM pol
 def rekey_policies(spark, sf):
     old = B.policies(spark, sf).withColumn(
         "user_id", F.when(F.col("id") % 10 == 3, "telecomm-user").otherwise(F.col("user_id")))
-    return M.rekey_policies(old).select("id", "user_id")
+    return M.rekey_policies(old, B.ALIASES).select("id", "user_id")
 
 
 @query("m12_repair_users", over(BASE, """
@@ -816,7 +846,7 @@ SELECT user_id, CASE user_id WHEN 'telecomm-user' THEN 'Telecomm' WHEN 'software
   WHEN user_id = 'software-user' THEN coalesce(org_id, 102) ELSE org_id END AS org_id
 FROM users WHERE user_id NOT IN ('101', '102')"""))
 def repair_users(spark, sf):
-    return M.repair_users(B.users(spark, sf))
+    return M.repair_users(B.users(spark, sf), B.ALIASES)
 
 
 @query("m13_conform_schema", over(BASE, """
@@ -842,36 +872,53 @@ def maintain_all(spark, sf):
 
 # Streams. The streaming queries run until the input is used up and are compared with the same rules in batch.
 
-def stream_of_documents(spark, sf):
-    schema = B.read(spark, sf, "documents").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    return source.selectExpr(*B.document_requests(False))
-
-
-DOCUMENT_AUDIT = AUDIT.replace("FROM conversations WHERE role = 'user'", "FROM conversations WHERE false").replace(
-    "FROM cases)", "FROM cases WHERE false)")
-
-
-@query("r1_stream_screening", over(DOCUMENT_AUDIT, """
-SELECT id, user_id, risk_score, action, tokens_used, tokens_saved FROM audit"""))
-def stream_screening(spark, sf):
-    path = shared_folder(spark, "stream")
-    R.screen_stream(stream_of_documents(spark, sf), B.dims(spark, sf), f"{path}/audit", checkpoint=f"{path}/checkpoint",
-                    availableNow=True).awaitTermination()
-    return read_audit(spark, f"{path}/audit", LOCAL_AUDIT).select(
-        "id", "user_id", "risk_score", "action", "tokens_used", "tokens_saved")
-
-
-@query("r2_stream_suppress_repeats", "SELECT count(DISTINCT text) AS prompts FROM documents")
+def streamed(spark: SparkSession, sf: str, plan: str) -> DataFrame:
+    """All requests screened as a stream, started twice, and the same rows appended by a batch job afterwards."""
+    path, source = shared_folder(spark, "stream"), written_requests(spark, sf)
+    options = Options(aliases=B.ALIASES, policy_plan=plan)
+    for _ in range(2):
+        R.screen_stream(read_prompts_stream(spark, source, "parquet"), B.dims(spark, sf), f"{path}/audit",
+                        checkpoint=f"{path}/checkpoint", options=options, availableNow=True).awaitTermination()
+    write_audit(audit(read_prompts(spark, source), B.dims(spark, sf), options), f"{path}/audit")
+    return read_audit(spark, f"{path}/audit").select(
+        "id", "user_id", "risk_score", "action", "tokens_used", "tokens_saved", stamp("created_at").alias("created_at"))
+
+
+STREAMED_SQL = over(AUDIT, f"""
+SELECT id, user_id, risk_score, action, tokens_used, tokens_saved, {stamp_sql('created_at')} AS created_at FROM audit""")
+query("r1_stream_screening", STREAMED_SQL)(lambda spark, sf: streamed(spark, sf, "auto"))
+query("r1_stream_screening_by_join", STREAMED_SQL)(lambda spark, sf: streamed(spark, sf, "join"))
+
+
+SPLIT = "2024-01-15 00:00:00"
+
+
+@query("r2_stream_suppress_repeats", f"""
+WITH RECURSIVE requests AS (
+  SELECT 'e' || CAST(event_id AS VARCHAR) AS request_id, CAST(user_id % 5 AS VARCHAR) AS user_id, md5(event_type) AS key, ts
+  FROM events UNION ALL
+  SELECT 'd' || CAST(doc_id AS VARCHAR), 'late', coalesce(md5(text), '-'), TIMESTAMP '2024-01-01 00:00:00' FROM documents),
+firsts AS (SELECT user_id, key, ts, min(request_id) AS request_id FROM requests GROUP BY ALL),
+chain AS (SELECT user_id, key, min(ts) AS ts FROM firsts GROUP BY ALL
+  UNION ALL SELECT c.user_id, c.key, min(f.ts) FROM chain c JOIN firsts f
+    ON f.user_id = c.user_id AND f.key = c.key AND f.ts >= c.ts + INTERVAL 5 MINUTES GROUP BY c.user_id, c.key, c.ts)
+SELECT request_id, user_id, {stamp_sql('ts')} AS ts FROM chain JOIN firsts USING (user_id, key, ts)""")
 def stream_suppress_repeats(spark, sf):
+    """Events as repeats; a second run brings later events and, far behind them, prompts never seen before."""
     path = shared_folder(spark, "repeats")
-    # All documents as one user's requests at one time: every distinct text passes once.
-    requests = stream_of_documents(spark, sf).select(
-        "request_id", F.lit("u").alias("user_id"), F.lit("s").alias("sub_user"), "prompt",
-        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"))
-    R.suppress_repeats(requests).writeStream.format("parquet").option("path", f"{path}/kept").option(
-        "checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("request_id string").parquet(f"{path}/kept").agg(F.count(F.lit(1)).alias("prompts"))
+    events = B.read(spark, sf, "events").selectExpr(
+        "'e' || CAST(event_id AS STRING) AS request_id", "CAST(user_id % 5 AS STRING) AS user_id", "event_type AS prompt",
+        "CAST(ts AS TIMESTAMP) AS ts")
+    late = B.read(spark, sf, "documents").selectExpr(
+        "'d' || CAST(doc_id AS STRING) AS request_id", "'late' AS user_id", "text AS prompt",
+        "TIMESTAMP '2024-01-01 00:00:00' AS ts")
+    split = F.lit(SPLIT).cast("timestamp")
+    for rows in (events.where(F.col("ts") < split), events.where(F.col("ts") >= split).unionByName(late)):
+        rows.write.mode("append").parquet(f"{path}/in")
+        R.suppress_repeats(read_prompts_stream(spark, f"{path}/in", "parquet")).writeStream.format("parquet").option(
+            "path", f"{path}/kept").option("checkpointLocation", f"{path}/checkpoint").trigger(
+            availableNow=True).start().awaitTermination()
+    return read_prompts(spark, f"{path}/kept").select("request_id", "user_id", stamp("ts").alias("ts"))
 
 
 @query("r3_running_counters", over(AUDIT, """
