@@ -31,7 +31,7 @@ from screenwright.operators.scoring import (
 from screenwright.plans.screening import Options, audit, screen
 from screenwright.plans.upkeep import maintain
 from screenwright.schemas import AUDIT as AUDIT_SCHEMA
-from screenwright.schemas import conform_audit, conform_policies
+from screenwright.schemas import conform_audit
 from screenwright.sources.tables import read_audit, read_dims, read_prompts, read_prompts_stream, write_audit, write_dims
 from screenwright.streaming import jobs as R
 from verification import bindings as B
@@ -857,17 +857,51 @@ def conform_schema(spark, sf):
     return conform_audit(old)
 
 
-@query("m_maintain_all", over(f"""{COPIES_SQL}, deduplicated AS (SELECT * FROM copied a WHERE NOT EXISTS (
-  SELECT 1 FROM copied b WHERE a.id > b.id AND a.user_id = b.user_id AND a.sub_user = b.sub_user
-  AND a.keyword_list = b.keyword_list AND a.block_col = b.block_col AND a.critical_col = b.critical_col
-  AND a.redacted_col = b.redacted_col AND a.allow_col = b.allow_col))""", """
-SELECT * FROM deduplicated
-WHERE coalesce(NOT (keyword_list = '*' AND (block_col OR critical_col OR redacted_col)), true)"""))
+LEGACY_USER = "CASE doc_id % 3 WHEN 0 THEN 'telecomm-user' WHEN 1 THEN 'Software' ELSE 'c1' END AS user_id"
+POLICY_FIELDS = ("user_id", "sub_user", "keyword_list", "allow_col", "redacted_col", "critical_col", "block_col", "prompt_col")
+SHOWN_POLICY = ", ".join(f"CAST({c} AS STRING)" for c in POLICY_FIELDS)
+# Per table: its key, the other columns as one text, and for audit rows the cost.
+MAINTAINED = {
+    "audit": ["id AS key", "concat_ws('|', user_id, CAST(tokens_used AS STRING), CAST(tokens_saved AS STRING)) AS detail",
+              "cost_used + cost_saved AS cost"],
+    "users": ["user_id AS key", "concat_ws('|', display_name, role, CAST(org_id AS STRING)) AS detail",
+              "CAST(NULL AS DOUBLE) AS cost"],
+    "organizations": ["CAST(org_id AS STRING) AS key", "org_name AS detail", "CAST(NULL AS DOUBLE) AS cost"],
+    "policies": ["CAST(id AS STRING) AS key", f"concat_ws('|', {SHOWN_POLICY}) AS detail", "CAST(NULL AS DOUBLE) AS cost"],
+}
+
+
+@query("m_maintain_all", over(f"""{COPIES_SQL}, seeds AS (SELECT {', '.join(SEEDS)} FROM supplier),
+  new AS (SELECT * FROM seeds s WHERE NOT EXISTS (SELECT 1 FROM copied p
+      WHERE p.user_id = s.user_id AND p.sub_user = s.sub_user AND p.keyword_list = s.keyword_list)
+    QUALIFY row_number() OVER (PARTITION BY user_id, sub_user, keyword_list ORDER BY seq) = 1),
+  grown AS (SELECT id, {', '.join(POLICY_FIELDS)} FROM copied UNION ALL
+    SELECT CAST((SELECT max(id) FROM copied) + seq - (SELECT min(seq) FROM new) + 1 AS INT), {', '.join(POLICY_FIELDS)} FROM new),
+  single AS (SELECT * FROM grown a WHERE NOT EXISTS (
+    SELECT 1 FROM grown b WHERE a.id > b.id AND a.user_id = b.user_id AND a.sub_user = b.sub_user
+    AND a.keyword_list = b.keyword_list AND a.block_col = b.block_col AND a.critical_col = b.critical_col
+    AND a.redacted_col = b.redacted_col AND a.allow_col = b.allow_col)),
+  new_policies AS (SELECT * FROM single
+    WHERE coalesce(NOT (keyword_list = '*' AND (block_col OR critical_col OR redacted_col)), true)),
+  new_organizations AS ({ORACLE['m4_insert_absent_organizations']}),
+  new_users AS (SELECT user_id, CASE user_id WHEN 'telecomm-user' THEN 'Telecomm' WHEN 'software-user' THEN 'Software'
+      ELSE display_name END AS display_name, role, CASE WHEN user_id = 'telecomm-user' THEN coalesce(org_id, 101)
+      WHEN user_id = 'software-user' THEN coalesce(org_id, 102) ELSE org_id END AS org_id
+    FROM ({ORACLE['m4_insert_absent_users']}) WHERE user_id NOT IN ('101', '102')),
+  new_audit AS (SELECT m.*, CASE k.user_id WHEN 'telecomm-user' THEN '101' WHEN 'Software' THEN '102' ELSE k.user_id END AS user_id
+    FROM ({ORACLE['m9_backfill_usage']}) m
+    JOIN (SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, {LEGACY_USER} FROM documents) k USING (id))""",
+    " UNION ALL ".join(f"SELECT '{name}' AS \"table\", {', '.join(columns)} FROM new_{name}"
+                       for name, columns in MAINTAINED.items())))
 def maintain_all(spark, sf):
-    old = conform_policies(with_copies(spark, sf).withColumnRenamed("critical_col", "critial_col"))
-    kept = maintain(B.read(spark, sf, "documents").selectExpr(*LEGACY, "'c1' AS user_id"), B.users(spark, sf),
-                    B.organizations(spark, sf), old)
-    return kept["policies"]
+    supplier = B.read(spark, sf, "supplier")
+    kept = maintain(
+        B.read(spark, sf, "documents").selectExpr(*LEGACY, LEGACY_USER), B.users(spark, sf), B.organizations(spark, sf),
+        with_copies(spark, sf).withColumnRenamed("critical_col", "critial_col"),
+        {"users": B.read(spark, sf, "customer").selectExpr(*USER_CHANGES), "organizations": supplier.selectExpr(*ORG_CHANGES),
+         "policies": supplier.selectExpr(*SEEDS)}, B.ALIASES)
+    rows = [kept[name].selectExpr(f"'{name}' AS table", *columns) for name, columns in MAINTAINED.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
 # Streams. The streaming queries run until the input is used up and are compared with the same rules in batch.
