@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from screenwright import catalogue as C
-from screenwright.operators.detectors import DETECTORS, detect
+from screenwright.operators.detectors import DETECTORS, add_text_columns, detect
+from screenwright.operators.org_policy import detect_org_keywords
 from screenwright.operators.scoring import decide, total_score
+from screenwright.schemas import POLICIES
 from verification.golden import GOLDEN_PROMPTS
 
 SECTIONS = {"SEC": "secret", "PII": "personal", "PHI": "health", "SRC": "code", "CRY": "crypto", "NET": "network",
@@ -27,6 +29,15 @@ def test_golden_scores(spark, section):
     assert scored.count() == len(cases)
 
 
+def test_golden_scores_of_organisations_without_policies(spark):
+    cases = [(i, score, p, "9", "u") for i, _documented, score, p in GOLDEN_PROMPTS if i.startswith("ORG-")]
+    df = spark.createDataFrame(cases, "case_id string, score int, prompt string, org_key string, sub_user string").coalesce(1)
+    scored = detect_org_keywords(add_text_columns(df), spark.createDataFrame([], POLICIES)).withColumn(
+        "got", total_score(F.col("_found_org")))
+    assert scored.filter("got <> score").select("case_id", "score", "got").collect() == []
+    assert scored.count() == len(cases) == 16
+
+
 def test_golden_actions_follow_the_documented_letter_where_scores_agree(spark):
     letters = {"B": "BLOCK", "R": "REDACT", "A": "ALERT", "S": "ALLOW"}
     moved = {"CRY-R1", "KWD-R1", "KWD-R2", "KWD-R3", "KWD-R4", "KWD-A1", "KWD-A3"}
@@ -48,8 +59,7 @@ def test_personal_reports_first_match_of_each_kind_and_both_layers(spark):
         "smile \U0001f600 my card is 4111 1111 1111 1111 été",
         "card 1234-5678-9012-3456",
     ])
-    assert found[0] == [(60, "a.b@example.com"), (30, "INFO: Sensitive PII topic referenced in prompt.")] or found[0][0] == (
-        60, "a.b@example.com")
+    assert found[0] == [(60, "a.b@example.com")]
     assert (20, C.FINDINGS["personal", "inquiry"][3]) not in found[1]
     # A boundary before a letter outside ASCII lets the match take the separator in front of it.
     assert (75, "4111 1111 1111 1111 ") in found[2]
