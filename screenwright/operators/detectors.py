@@ -27,6 +27,7 @@ from screenwright.functions.detections import (
     tiered_keywords,
     with_values,
 )
+from screenwright.functions.reuse import built_once
 from screenwright.functions.text import (
     contains_any,
     first_match,
@@ -373,19 +374,22 @@ def add_text_columns(df: DataFrame, prompt: str = "prompt") -> DataFrame:
 
 def run_detectors(df: DataFrame, names: tuple[str, ...], prompt: str = "prompt", mode: str = "compact") -> DataFrame:
     """Add ``_found_<name>`` for each named detector to a frame that has the text columns."""
+    layers = {n: layer_columns(n, prompt, mode) for n in names}
+    df = df.withColumns({f"_direct_{n}": direct for n, (direct, _) in layers.items()})
+    return df.withColumns({f"_found_{n}": found for n, (_, found) in layers.items()}).drop(
+        *[f"_direct_{n}" for n in names])
+
+
+@built_once
+def layer_columns(name: str, prompt: str, mode: str) -> tuple[Column, Column]:
+    """The direct layer of a detector, and both layers together, which read the former from ``_direct_<name>``."""
+    d = DETECTORS[name]
     t = Text(F.col(prompt), F.col("_lower"), F.col("_norm"), F.col("_inquiry"), F.col("_personal_inquiry"), mode)
     blank = is_blank(F.col(prompt))
-    chosen = [DETECTORS[n] for n in names]
-    df = df.withColumns({
-        f"_direct_{d.name}": F.when(blank, no_detections()).otherwise(d.direct(t)) for d in chosen
-    })
-    found = {}
-    for d in chosen:
-        direct = F.col(f"_direct_{d.name}")
-        intent = d.intent(t, direct)
-        both = F.concat(direct, intent) if d.both_layers else F.when(F.size(direct) > 0, direct).otherwise(intent)
-        found[f"_found_{d.name}"] = F.when(blank, no_detections()).otherwise(both)
-    return df.withColumns(found).drop(*[f"_direct_{d.name}" for d in chosen])
+    direct = F.col(f"_direct_{name}")
+    intent = d.intent(t, direct)
+    both = F.concat(direct, intent) if d.both_layers else F.when(F.size(direct) > 0, direct).otherwise(intent)
+    return (F.when(blank, no_detections()).otherwise(d.direct(t)), F.when(blank, no_detections()).otherwise(both))
 
 
 def detect(df: DataFrame, name: str, prompt: str = "prompt", mode: str = "compact") -> DataFrame:

@@ -23,6 +23,7 @@ from screenwright.functions.detections import (
     first_of,
     no_detections,
 )
+from screenwright.functions.reuse import built_once
 from screenwright.functions.text import is_blank, java_trim, let
 from screenwright.operators.lookups import BROADCAST_BYTES, is_small, lookup_join
 
@@ -80,6 +81,15 @@ def with_direct_hits(df: DataFrame, policies: DataFrame, small: bool) -> DataFra
     """Add ``_hits`` (detections before any stop) and ``_stopped``; ``small`` policies are broadcast."""
     folded = clean_policies(policies).groupBy("org_key").agg(
         F.array_sort(F.collect_list(F.struct("id", "policy_sub_user", "effect", "words"))).alias("_policies"))
+    matched, stop, hits = hit_columns()
+    joined = lookup_join(df, folded, ["org_key"], small=small).withColumn("_matched", matched).drop("_policies")
+    return joined.withColumn("_stop", stop).withColumns({"_stopped": F.col("_stop") > 0, "_hits": hits}).drop(
+        "_matched", "_stop")
+
+
+@built_once
+def hit_columns() -> tuple[Column, Column, Column]:
+    """The policies that match, the position of the first that stops the search (0: none), and the detections."""
     lower, norm, sub = F.col("_lower"), F.col("_norm"), F.lower("sub_user")
     applicable = F.filter("_policies", lambda p: (p["policy_sub_user"] == "*") | (p["policy_sub_user"] == sub))
     matched = F.filter(
@@ -89,16 +99,17 @@ def with_direct_hits(df: DataFrame, policies: DataFrame, small: bool) -> DataFra
         )),
         lambda m: m["word"].isNotNull(),
     )
-    joined = lookup_join(df, folded, ["org_key"], small=small).withColumn("_matched", matched).drop("_policies")
     stop = F.array_position(F.transform("_matched", lambda m: m["effect"]), "allow")
-    return joined.withColumn("_stop", F.coalesce(stop, F.lit(0))).withColumns({
-        "_stopped": F.col("_stop") > 0,
-        "_hits": F.coalesce(F.flatten(F.transform(
-            F.when(F.col("_stop") > 0, F.slice("_matched", F.lit(1), (F.col("_stop") - 1).cast("int")))
-            .otherwise(F.col("_matched")),
-            lambda m: hit_detection(m["effect"], m["word"], F.col("org_key")),
-        )), no_detections()),
-    }).drop("_matched", "_stop")
+    hits = F.flatten(F.transform(
+        F.when(F.col("_stop") > 0, F.slice("_matched", F.lit(1), (F.col("_stop") - 1).cast("int")))
+        .otherwise(F.col("_matched")),
+        lambda m: hit_detection(m["effect"], m["word"], F.col("org_key")),
+    ))
+    return matched, F.coalesce(stop, F.lit(0)), F.coalesce(hits, no_detections())
+
+
+def policies_small(policies: DataFrame) -> bool:
+    return is_small(policies, POLICY_ROWS, POLICY_BYTES)
 
 
 def detect_org_keywords(
@@ -107,19 +118,26 @@ def detect_org_keywords(
     prompt: str = "prompt",
     mode: str = "compact",
     plan: str = "auto",
+    small: bool | None = None,
 ) -> DataFrame:
     """Add ``_found_org`` to a frame with ``org_key``, ``sub_user`` and the text columns.
 
     ``plan``: ``auto`` picks by the measured size of the policies, ``broadcast`` refuses those above the bound, ``join``
-    never broadcasts.
+    never broadcasts. ``small`` is the outcome of ``policies_small`` where it is known.
     """
-    small = plan != "join" and is_small(policies, POLICY_ROWS, POLICY_BYTES)
+    if small is None:
+        small = plan != "join" and policies_small(policies)
     if plan == "broadcast" and not small:
         raise ValueError("the policies are too large to be broadcast; use plan='join'")
     applied = with_direct_hits(df, policies, small)
+    return applied.withColumn("_found_org", found_org(prompt, mode)).drop("_hits", "_stopped")
+
+
+@built_once
+def found_org(prompt: str, mode: str) -> Column:
     nobody = F.col("org_key").isNull() | F.col("sub_user").isNull() | is_blank(F.col(prompt))
     intent = org_intent(F.col(prompt), F.col("_norm"), F.col("_inquiry"), mode)
     found = F.when(nobody, no_detections()).when(
         ~F.col("_stopped") & (F.size("_hits") > 0), F.col("_hits")
     ).otherwise(F.concat(F.col("_hits"), intent))
-    return applied.withColumn("_found_org", found.cast(DETECTIONS_TYPE)).drop("_hits", "_stopped")
+    return found.cast(DETECTIONS_TYPE)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from screenwright import catalogue as C
 from screenwright.functions.text import is_blank, java_trim
-from screenwright.operators.lookups import lookup_join
+from screenwright.operators.lookups import is_small, lookup_join
 
 
 def host_of(url: Column) -> Column:
@@ -129,6 +129,17 @@ def prepare_requests(df: DataFrame, aliases=()) -> DataFrame:
     return df.withColumn("user_id", canonical_user(F.col("user_id"), F.col("sub_user"), aliases))
 
 
+def organisations_of_users(users: DataFrame) -> DataFrame:
+    """The users that have an organisation, one row each: of a repeated user the smallest organisation id counts."""
+    return users.filter(F.col("org_id").isNotNull()).groupBy("user_id").agg(
+        F.min("org_id").cast("string").alias("_org"))
+
+
+def users_small(users: DataFrame) -> bool:
+    """Whether the organisations of the users can be broadcast; the raw table is measured, which may stop early."""
+    return is_small(users.select("user_id", "org_id"))
+
+
 def with_org_key(
     df: DataFrame,
     users: DataFrame,
@@ -136,20 +147,22 @@ def with_org_key(
     mode: str = "by_user",
     numeric_as_is: bool = False,
     salt_by: str | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Add ``org_key``: the organisation of the user, or the id itself where the user is unknown or has none.
 
     ``numeric_as_is`` leaves an all-digit id alone without a look-up. ``mode="by_name"`` also resolves an organisation
-    name, which canonical user ids often are.
+    name, which canonical user ids often are. ``small`` is the outcome of ``users_small`` where it is
+    known.
     """
-    keyed = users.filter(F.col("org_id").isNotNull()).select(
-        "user_id", F.col("org_id").cast("string").alias("_org"))
-    out = lookup_join(df, keyed, ["user_id"], salt_by)
+    small = users_small(users) if small is None else small
+    out = lookup_join(df, organisations_of_users(users), ["user_id"], salt_by, small=small)
     key = F.coalesce("_org", "user_id")
     if mode == "by_name":
         if organizations is None:
             raise ValueError("by_name needs the organisations")
-        named = organizations.select(F.col("org_name").alias("user_id"), F.col("org_id").cast("string").alias("_named"))
+        named = organizations.groupBy(F.col("org_name").alias("user_id")).agg(
+            F.min("org_id").cast("string").alias("_named"))
         out = lookup_join(out, named, ["user_id"], salt_by)
         key = F.coalesce("_org", "_named", "user_id")
     elif mode != "by_user":

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from screenwright import catalogue as C
 from screenwright.functions.detections import no_detections
+from screenwright.functions.reuse import built_once
 from screenwright.functions.text import is_blank, let, settled
 
 
@@ -82,19 +83,25 @@ def explode_detections(df: DataFrame, keep: list[str]) -> DataFrame:
 
 def with_decision(df: DataFrame, prompt: str = "prompt") -> DataFrame:
     """Add score, type, level, action, reason and the redacted prompt to a frame with ``detections``."""
-    df = df.withColumns({
+    for step in decision_columns(prompt):
+        df = df.withColumns(step)
+    return df
+
+
+@built_once
+def decision_columns(prompt: str) -> tuple[dict[str, Column], ...]:
+    """The columns of ``with_decision``, in steps that use those of the step before."""
+    return {
         "risk_score": total_score(F.col("detections")),
         "highest_risk_type": top_risk_type(F.col("detections")),
-    })
-    df = df.withColumns({
+    }, {
         "risk_level": risk_level(F.col("risk_score")),
         "action": decide(F.col("risk_score")),
-    })
-    return df.withColumns({
+    }, {
         "action_reason": reason(F.col("action"), F.col("highest_risk_type"), F.col("risk_score")),
         "redacted_prompt": settled(
             F.when(F.col("action") == "REDACT", redact(F.col(prompt), F.col("detections"))).otherwise(F.col(prompt))),
-    })
+    }
 
 
 def response(df: DataFrame, keep: list[str]) -> DataFrame:

@@ -3,21 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenwright.operators.audit import audit_rows
 from screenwright.operators.detectors import CORE, EXTRA, TEXT_COLUMNS, add_text_columns, run_detectors
-from screenwright.operators.lookups import SALTS, salt
-from screenwright.operators.org_policy import detect_org_keywords
-from screenwright.operators.prepare import prepare_requests, with_org_key
+from screenwright.operators.lookups import bucket, hot_keys, row_digest
+from screenwright.operators.org_policy import detect_org_keywords, policies_small
+from screenwright.operators.prepare import prepare_requests, users_small, with_org_key
 from screenwright.operators.scoring import combine, with_decision
 
 PROFILES = {"core": CORE, "extended": CORE + EXTRA}
-# Prompts repeated more often than this are candidates for spreading; at most HOT_KEYS of them are.
-HOT_COPIES = 1_000
-HOT_KEYS = 10_000
 
 
 @dataclass(frozen=True)
@@ -35,16 +33,28 @@ class Options:
 
 @dataclass(frozen=True)
 class Dimensions:
+    """The tables that requests are looked up in. Users and policies are measured at the first use; make new
+    ``Dimensions`` where they may have grown past the bound of a broadcast since."""
+
     users: DataFrame
     organizations: DataFrame
     policies: DataFrame
 
+    @cached_property
+    def users_small(self) -> bool:
+        return users_small(self.users)
+
+    @cached_property
+    def policies_small(self) -> bool:
+        return policies_small(self.policies)
+
 
-def find(df: DataFrame, policies: DataFrame, options: Options) -> DataFrame:
+def find(df: DataFrame, dims: Dimensions, options: Options) -> DataFrame:
     """Add ``detections`` to prepared requests with an ``org_key``."""
     names = PROFILES[options.profile]
     df = run_detectors(add_text_columns(df), names, mode=options.match_mode)
-    df = detect_org_keywords(df, policies, mode=options.match_mode, plan=options.policy_plan)
+    small = options.policy_plan != "join" and dims.policies_small
+    df = detect_org_keywords(df, dims.policies, mode=options.match_mode, plan=options.policy_plan, small=small)
     ordered = (*CORE, "org", *names[len(CORE):])
     return combine(df, ordered).drop(*TEXT_COLUMNS)
 
@@ -58,37 +68,35 @@ def screen(requests: DataFrame, dims: Dimensions, options: Options | None = None
 
     Without ``reuse`` this is one pass over the requests that moves no prompt between executors, provided the
     dimensions are small. ``reuse`` screens each distinct (organisation, sub-user, prompt) once; it pays where many
-    requests repeat a prompt, at the price of moving the prompts.
+    requests repeat a prompt, at the price of moving the prompts once. It needs a batch.
     """
     options = options or Options()
     requests = requests if where is None else requests.where(where)
     prepared = prepare_requests(requests, options.aliases)
-    keyed = with_org_key(prepared, dims.users, dims.organizations, options.org_key_mode, salt_by="request_id")
-    found = reuse_detections(keyed, dims.policies, options) if reuse else find(keyed, dims.policies, options)
+    keyed = with_org_key(prepared, dims.users, dims.organizations, options.org_key_mode, salt_by="request_id",
+                         small=dims.users_small)
+    found = reuse_detections(keyed, dims, options) if reuse else find(keyed, dims, options)
     return with_decision(found.drop("org_key"))
 
 
-def reuse_detections(keyed: DataFrame, policies: DataFrame, options: Options) -> DataFrame:
-    """Screen distinct prompts and join the detections back.
+def reuse_detections(keyed: DataFrame, dims: Dimensions, options: Options) -> DataFrame:
+    """Screen distinct prompts and give their detections to the others.
 
-    The key is a digest, so that the join does not compare texts. One prompt may make up a large part of the requests:
-    the most frequent keys - a bounded list, and any other key is rarer than one in ``HOT_KEYS`` - are spread over
-    salted buckets in the join back.
+    Requests are gathered by a digest of what decides, with hot digests spread over buckets. In each bucket the first
+    request keeps its prompt and is screened; the others have none while detectors run and take over its detections.
+    Both steps use the same partitioning, so prompts cross one shuffle and nothing is joined back.
     """
     # The digest tells null from empty, and the separator cannot occur in its hexadecimal parts.
     parts = [F.coalesce(F.sha2(F.col(c), 256), F.lit("-")) for c in ("org_key", "sub_user", "prompt")]
     keyed = keyed.withColumn("_key", F.sha2(F.concat_ws("|", *parts), 256))
-    hot = F.broadcast(
-        keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_COPIES)
-        .orderBy(F.desc("_n"), "_key").limit(HOT_KEYS).select("_key", F.lit(True).alias("_hot")))
-    distinct = keyed.select("_key", "org_key", "sub_user", "prompt", F.col("_key").alias("request_id")).dropDuplicates(
-        ["_key"])
-    found = find(distinct, policies, options).select("_key", "detections").join(hot, "_key", "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(SALTS - 1)).otherwise(F.lit(0))))
-    ).drop("_hot")
-    requests = keyed.join(hot, "_key", "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt(F.col("request_id"))).otherwise(F.lit(0))).drop("_hot")
-    return requests.join(found, ["_key", "_salt"], "left").drop("_key", "_salt")
+    spread = keyed.join(F.broadcast(hot_keys(keyed.select("_key"), ["_key"])), "_key", "left").withColumn(
+        "_salt", bucket(row_digest(keyed), F.coalesce("_buckets", F.lit(1)))).drop("_buckets")
+    same = Window.partitionBy("_key", "_salt")
+    gathered = spread.withColumn("_first", F.row_number().over(same.orderBy("_salt")) == 1)
+    bare = gathered.withColumns({"_prompt": F.col("prompt"), "prompt": F.when(F.col("_first"), F.col("prompt"))})
+    found = F.first(F.when(F.col("_first"), F.col("detections")), ignorenulls=True).over(same)
+    return find(bare, dims, options).withColumns({"detections": found, "prompt": F.col("_prompt")}).drop(
+        "_prompt", "_key", "_salt", "_first")
 
 
 def audit(requests: DataFrame, dims: Dimensions, options: Options | None = None, reuse: bool = False,

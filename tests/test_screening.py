@@ -106,13 +106,16 @@ def test_broadcast_refuses_large_policies(spark, monkeypatch):
 
 
 def test_large_lookup_is_salted_and_gives_the_same_rows(spark, monkeypatch):
-    df = spark.range(500).select(F.col("id").cast("string").alias("rid"), F.when(F.col("id") % 3 == 0, "hot").otherwise(
-        F.col("id").cast("string")).alias("k"))
+    df = spark.range(500).select(F.col("id").cast("string").alias("rid"), F.when(F.col("id") % 3 == 0, "hot").when(
+        F.col("id") % 5 > 0, F.col("id").cast("string")).alias("k"))
     dim = spark.range(400).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v")).union(
         spark.sql("select 'hot', -1L"))
     small = lookups.lookup_join(df, dim, ["k"], "rid")
     monkeypatch.setattr(lookups, "is_small", lambda dim: False)
     large = lookups.lookup_join(df, dim, ["k"], "rid")
+    hot = {r.k: r._buckets for r in lookups.hot_keys(df, ["k"]).collect()}
+    # Quarters of a mean partition of 8: the key holds 167 of 500 rows, null 67.
+    assert hot == {"hot": 11, None: 5}
     assert "_salt" in large._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, large.collect()), key=str)
 
@@ -231,12 +234,34 @@ def test_audit_rows(spark, tables):
     assert got[None].tokens_used == 100
 
 
-@pytest.mark.parametrize("hot", [1, 1_000])
-def test_reuse_gives_the_same_rows(spark, tables, monkeypatch, hot):
-    monkeypatch.setattr(screening, "HOT_COPIES", hot)
+def test_reuse_gives_the_same_rows_and_moves_prompts_once(spark, tables):
+    requests, dims = tables
+    # Many copies of one prompt, so that its digest is spread over buckets.
+    copies = requests.where("prompt like 'my ssn%'").withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(200))))
+    requests = requests.unionByName(copies.withColumn("request_id", F.concat("request_id", F.lit("-"), "_n")).drop("_n"))
     columns = ["request_id", "risk_score", "action", "redacted_prompt", "detections"]
-    plain = sorted(map(str, screen(*tables).select(columns).collect()))
-    assert sorted(map(str, screen(*tables, reuse=True).select(columns).collect())) == plain
+    plain = sorted(map(str, screen(requests, dims).select(columns).collect()))
+    reused = screen(requests, dims, reuse=True).select(columns)
+    plan = reused._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert sum("Window [" in line for line in plan) == 2
+    assert sum("Exchange hashpartitioning(_key" in line and "_salt" in line for line in plan) == 1
+    assert sorted(map(str, reused.collect())) == plain
+
+
+def test_dimensions_are_measured_once(spark, tables, monkeypatch):
+    requests, dims = tables
+    dims = screening.Dimensions(dims.users, dims.organizations, dims.policies)
+    measured = []
+    monkeypatch.setattr("screenwright.operators.prepare.is_small", lambda *a: measured.append("users") or True)
+    monkeypatch.setattr("screenwright.operators.org_policy.is_small", lambda *a: measured.append("policies") or True)
+    screen(requests, dims), screen(requests, dims)
+    assert sorted(measured) == ["policies", "users"]
+
+
+def test_a_user_of_several_organisations_does_not_multiply_requests(spark):
+    users = spark.createDataFrame([("u", 7), ("u", 5), ("u", None)], "user_id string, org_id bigint")
+    out = with_org_key(spark.createDataFrame([("u",)], "user_id string"), users).collect()
+    assert [tuple(r) for r in out] == [("u", "5")]
 
 
 def test_a_filter_on_the_result_does_not_screen_twice(spark, tables):
