@@ -4,12 +4,13 @@ Words become symbols: the ``COMMON`` most frequent words of the corpus have thei
 classes. For every word, a network that sees the ``REACH`` words on both sides (position-specific embeddings, one tanh
 layer) gives the chances of each symbol; the word itself is masked. A document's score is the sum of the log
 probabilities of its own symbols; the mean is what to rank by. It scores documents with one word as well (all sides
-empty).
+empty). The chance of a symbol is that of its group (``GROUP`` symbols of neighbouring frequency) times that of the
+symbol in the group, so a position costs ``GROUPS`` + ``GROUP`` outputs and not ``SYMBOLS``.
 
 The network is trained in numpy, on Spark: every task runs gradient steps on its own documents from the shared start,
-and parameters are averaged by the number of positions, summed by Spark row-wise; ``ROUNDS`` such rounds. Each round uses
-every ``STRIDE``-th position of every document (another offset each round), so it takes from all documents alike and
-grows with the corpus. Scoring reads all positions of whole texts. The driver holds only the parameters and the list of
+and parameters are averaged by the number of positions, summed by Spark row-wise; ``ROUNDS`` such rounds. Every round
+steps on every position of every document, once; steps grow from ``BATCH`` to ``MOST`` positions as a task goes on. Texts
+become symbols once, in a written table that rounds and scoring read. The driver holds only the parameters and the list of
 common words, both of fixed size. Steps are deterministic in a task; the sum over tasks depends on how rows are split, so
 scores agree between runs to a few digits, which the output rounds to.
 
@@ -31,8 +32,10 @@ from .common import keep, map_texts, mapped
 
 COMMON, SHARED = 384, 127
 SYMBOLS = COMMON + SHARED + 1  # 0: beyond the text
+GROUP = 64
+GROUPS = SYMBOLS // GROUP
 REACH, SIZE, HIDDEN = 2, 16, 16
-ROUNDS, STRIDE, BATCH, RATE = 3, 24, 256, 0.5
+ROUNDS, BATCH, MOST, RATE = 1, 256, 2048, 0.5
 RESULT = "n_words long, log_likelihood double"
 #: Words counted by a task before it passes its counts on.
 COUNTED = 500_000
@@ -74,13 +77,15 @@ def common_words(docs: DataFrame, text: str = "text") -> tuple[dict[bytes, int],
 
 
 def start(often: np.ndarray) -> dict[str, np.ndarray]:
-    """Small random weights; the bias starts at the symbols' log frequencies."""
+    """Small random weights; the biases start at the log frequencies of the symbols and of their groups."""
     rng = np.random.default_rng(7)
     return {"embed": rng.normal(0, 0.1, (SYMBOLS, SIZE)).astype(np.float32),
             "mix": rng.normal(0, 0.2, (2 * REACH * SIZE, HIDDEN)).astype(np.float32),
             "lean": np.zeros(HIDDEN, np.float32),
             "out": rng.normal(0, 0.1, (HIDDEN, SYMBOLS)).astype(np.float32),
-            "bias": often.astype(np.float32)}
+            "bias": often.astype(np.float32),
+            "choose": rng.normal(0, 0.1, (HIDDEN, GROUPS)).astype(np.float32),
+            "lead": np.log(np.exp(often).reshape(GROUPS, GROUP).sum(axis=1)).astype(np.float32)}
 
 
 def symbols(words: list[bytes], common: dict[bytes, int]) -> np.ndarray:
@@ -94,65 +99,114 @@ def sides(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return padded[at[:, None] + np.array([k for k in range(2 * REACH + 1) if k != REACH])[None, :]]
 
 
-def forward(p: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = p["embed"][around].reshape(len(around), -1)
-    h = np.tanh(x @ p["mix"] + p["lean"])
-    return x, h, h @ p["out"] + p["bias"]
+def forward(p: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = p["embed"].take(around, axis=0).reshape(len(around), -1)
+    return x, np.tanh(x @ p["mix"] + p["lean"])
+
+
+def by_group(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of positions by the group of their symbol, and where each group begins in it."""
+    group = (own // GROUP).astype(np.uint8)
+    return np.argsort(group, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
+
+
+def level(p: dict[str, np.ndarray], out: str, bias: str) -> bool:
+    """Whether outputs can get so large that exp needs their maximum taken off; hidden units are within 1."""
+    return float((np.abs(p[bias]) + np.abs(p[out]).sum(axis=0)).max()) > 60
+
+
+def powers(z: np.ndarray, large: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp by row, in place, the sums of the rows, and what was taken off before."""
+    top = 0.0
+    if large:
+        top = z.max(axis=1)
+        z -= top[:, None]
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype), top
 
 
 def step(p: dict[str, np.ndarray], around: np.ndarray, own: np.ndarray, rate: float) -> None:
     """One gradient step on the mean cross-entropy, in place."""
-    x, h, z = forward(p, around)
+    order, first = by_group(own)
+    around, own = around.take(order, axis=0), own[order]
+    x, h = forward(p, around)
     n = len(own)
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    z[np.arange(n), own] -= 1
-    z /= n
-    dh = (z @ p["out"].T) * (1 - h * h)
-    dx = (dh @ p["mix"].T).reshape(n, 2 * REACH, SIZE)
-    p["out"] -= rate * (h.T @ z)
-    p["bias"] -= rate * z.sum(axis=0)
+
+    def slope(z: np.ndarray, large: bool, place: np.ndarray) -> np.ndarray:
+        z, sums, _ = powers(z, large)
+        z *= (1 / (sums * n))[:, None]
+        z[np.arange(len(place)), place] -= 1 / n
+        return z
+
+    z = slope(h @ p["choose"] + p["lead"], level(p, "choose", "lead"), own // GROUP)
+    dh = z @ p["choose"].T
+    p["choose"] -= rate * (h.T @ z)
+    p["lead"] -= rate * z.sum(axis=0)
+    large = level(p, "out", "bias")
+    for g in range(GROUPS):
+        a, b, part = first[g], first[g + 1], slice(g * GROUP, (g + 1) * GROUP)
+        if a < b:
+            z = h[a:b] @ p["out"][:, part]
+            z += p["bias"][part]
+            z = slope(z, large, own[a:b] - g * GROUP)
+            dh[a:b] += z @ p["out"][:, part].T
+            p["out"][:, part] -= rate * (h[a:b].T @ z)
+            p["bias"][part] -= rate * (np.ones(b - a, z.dtype) @ z)
+    dh *= 1 - h * h
+    dx = (dh @ p["mix"].T).reshape(-1, SIZE)
     p["mix"] -= rate * (x.T @ dh)
     p["lean"] -= rate * dh.sum(axis=0)
-    flat = around.ravel()
+    flat = around.ravel().astype(np.uint16)
     order = np.argsort(flat, kind="stable")
-    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-    p["embed"][flat[order][first]] -= rate * np.add.reduceat(dx.reshape(-1, SIZE)[order], first, axis=0)
-
-
-def train_round(docs: DataFrame, text: str, common: dict[bytes, int], p: dict[str, np.ndarray], number: int) -> dict[str, np.ndarray]:
+    flat = flat[order].astype(np.int64)
+    start = np.flatnonzero(np.diff(flat, prepend=-1))
+    p["embed"][flat[start]] -= rate * np.add.reduceat(dx.take(order, axis=0), start, axis=0)
+
+
+def in_rows(texts: Iterator[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """Symbols of texts one after the other with empty places after each, so that short ones share a matrix, in rows of
+    about ``size`` or one longer text, and the lengths of the texts."""
+    gap = np.zeros(REACH, np.int64)
+    row, n, total = [], [], 0
+    for ids in texts:
+        if n and total + len(ids) > size:
+            yield np.concatenate(row), n
+            row, n, total = [], [], 0
+        row += [ids.astype(np.int64), gap]
+        n.append(len(ids))
+        total += len(ids) + REACH
+    if n:
+        yield np.concatenate(row), n
+
+
+def learn(p: dict[str, np.ndarray], texts: Iterator[np.ndarray], rate: float = RATE) -> int:
+    """Steps on every position of ``texts``, in place; how many these were."""
+    seen = 0
+    for row, _ in in_rows(texts, 16 * MOST):
+        places, at = np.flatnonzero(row), 0
+        around = sides(row, places)
+        while at < len(places):
+            to = at + min(MOST, BATCH + seen // 64)
+            own = row[places[at:to]]
+            step(p, around[at:to], own, rate * min(1, len(own) / BATCH))
+            seen += len(own)
+            at = to
+    return seen
+
+
+def texts_of(column: pa.Array) -> Iterator[np.ndarray]:
+    for x in column:
+        yield np.frombuffer(x.as_py() or b"", np.uint16)
+
+
+def train_round(coded: DataFrame, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Every task steps from ``p`` through its documents; the means of the tasks' parameters come back."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((common, p))  # of fixed size
+    sc = coded.sparkSession.sparkContext
+    shared = sc.broadcast(p)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, given = shared.value
-        own = {k: v.copy() for k, v in given.items()}
-        around, targets, waiting, seen = [], [], 0, 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                for t in batch.column(0).slice(at, 200).to_pylist():
-                    w = words_of(t)
-                    # Positions of this round; short documents take part in the round their length says.
-                    pos = np.arange((number * 7 + len(w)) % STRIDE, len(w), STRIDE)
-                    if not len(pos):
-                        continue
-                    # Only these positions and their sides need symbols.
-                    at_side = pos[:, None] + np.arange(-REACH, REACH + 1)[None, :]
-                    inside = (at_side >= 0) & (at_side < len(w))
-                    ids = np.zeros(at_side.shape, np.int64)
-                    ids[inside] = symbols([w[k] for k in at_side[inside].tolist()], words)
-                    around.append(np.delete(ids, REACH, axis=1))
-                    targets.append(ids[:, REACH])
-                    waiting += len(pos)
-                    if waiting >= BATCH:
-                        step(own, np.concatenate(around), np.concatenate(targets), RATE)
-                        seen += waiting
-                        around, targets, waiting = [], [], 0
-        if waiting:
-            step(own, np.concatenate(around), np.concatenate(targets), RATE * waiting / BATCH)
-            seen += waiting
+        own = {k: v.copy() for k, v in shared.value.items()}
+        seen = learn(own, (x for batch in batches for x in texts_of(batch.column(0))))
         if seen:
             flat = np.concatenate([own[k].ravel() for k in sorted(own)]).astype(np.float64)
             for at in range(0, len(flat), 4096):
@@ -160,7 +214,7 @@ def train_round(docs: DataFrame, text: str, common: dict[bytes, int], p: dict[st
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part * seen),
                                                   pa.array(np.full(len(part), float(seen)))], ["i", "v", "n"])
 
-    summed = mapped(docs.select(F.col(f"`{text}`")), run, "i long, v double, n double").groupBy("i").agg(
+    summed = mapped(coded.select("_code.ids"), run, "i long, v double, n double").groupBy("i").agg(
         (F.sum("v") / F.sum("n")).alias("v"))
     rows = summed.collect()  # as many rows as the network has parameters
     shared.unpersist()
@@ -178,57 +232,75 @@ def train_round(docs: DataFrame, text: str, common: dict[bytes, int], p: dict[st
 def likelihood(p: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
     """Log probability of each symbol given its sides."""
     out = np.empty(len(ids))
-    for at in range(0, len(ids), 2048):
-        pos = np.arange(at, min(len(ids), at + 2048))
-        _, _, z = forward(p, sides(ids, pos))
-        own = z[np.arange(len(pos)), ids[pos]]
-        top = z.max(axis=1)
-        z -= top[:, None]
-        np.exp(z, out=z)
-        out[pos] = own - top - np.log(z.sum(axis=1))
+    around = sides(ids, np.arange(len(ids)))
+    of_group, in_group = level(p, "choose", "lead"), level(p, "out", "bias")
+
+    def logs(z: np.ndarray, large: bool, place: np.ndarray) -> np.ndarray:
+        own = z[np.arange(len(place)), place]
+        _, sums, top = powers(z, large)
+        return own - np.log(sums) - top
+
+    for at in range(0, len(ids), 8192):
+        order, first = by_group(ids[at:at + 8192])
+        order += at
+        own = ids[order]
+        _, h = forward(p, around.take(order, axis=0))
+        value = logs(h @ p["choose"] + p["lead"], of_group, own // GROUP)
+        for g in range(GROUPS):
+            a, b, part = first[g], first[g + 1], slice(g * GROUP, (g + 1) * GROUP)
+            if a < b:
+                z = h[a:b] @ p["out"][:, part]
+                z += p["bias"][part]
+                value[a:b] += logs(z, in_group, own[a:b] - g * GROUP)
+        out[order] = value
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[dict[bytes, int], dict[str, np.ndarray]]:
-    common, often = common_words(docs, text)
+def encoded(docs: DataFrame, text: str, carry: list[str], common: dict[bytes, int]) -> DataFrame:
+    """The columns of ``carry`` and a struct ``_code``: ids, the symbols of the text's words in two bytes each. Written."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # of fixed size
+
+    def make():
+        given = shared.value
+
+        def work(texts: list) -> list:
+            return [[symbols(words_of(t), given).astype(np.uint16).tobytes() for t in texts]]
+
+        return work
+
+    return keep(map_texts(docs, text, carry, "ids binary", make, "_code"), "symbols")
+
+
+def fit(coded: DataFrame, often: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     p = start(often)
-    for number in range(rounds if common else 0):
-        p = train_round(docs, text, common, p, number)
-    return common, p
+    for _ in range(rounds):
+        p = train_round(coded, p)
+    return p
 
 
-def score(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
-          model: tuple[dict[bytes, int], dict[str, np.ndarray]] | None = None) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns of ``carry`` (default: all) and a struct ``_found``: n_words, log_likelihood."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, text))  # of fixed size
+    carry = docs.columns if carry is None else carry
+    common, often = common_words(docs, text)
+    coded = encoded(docs, text, carry, common)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(coded, often))  # of fixed size
 
     def make():
-        common, p = shared.value
+        p = shared.value
 
         def work(texts: list) -> list:
-            ids = [symbols(words_of(t), common) for t in texts]
-            n = [len(x) for x in ids]
-            sums = [0.0] * len(ids)
-            # Texts stand in one row with empty places between, so that short ones share a matrix.
-            at = 0
-            while at < len(ids):
-                to, size = at, 0
-                while to < len(ids) and (to == at or size + n[to] < 8192):
-                    size += n[to] + REACH
-                    to += 1
-                gap = np.zeros(REACH, np.int64)
-                row = np.concatenate([y for x in ids[at:to] for y in (x, gap)])
-                values = likelihood(p, row)
-                place = 0
-                for k in range(at, to):
-                    sums[k] = float(values[place:place + n[k]].sum())
-                    place += n[k] + REACH
-                at = to
-            return [n, sums]
+            sums = []
+            for row, n in in_rows((np.frombuffer(x, np.uint16) for x in texts), 8192):
+                values, place = likelihood(p, row), 0
+                for k in n:
+                    sums.append(float(values[place:place + k].sum()))
+                    place += k + REACH
+            return [[len(x) // 2 for x in texts], sums]
 
         return work
 
-    return map_texts(docs, text, docs.columns if carry is None else carry, RESULT, make)
+    flat = coded.select(*(F.col(f"`{c}`") for c in carry), F.col("_code.ids").alias("_ids"))
+    return map_texts(flat, "_ids", carry, RESULT, make)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -213,6 +213,24 @@ def test_scoring_prefers_the_corpus(spark):
     assert got[5] > got[900] + 0.5
 
 
+def test_scoring_trains_on_every_position(spark, docs, rows, monkeypatch):
+    """Texts of any length, each of their positions once a round."""
+    texts = [np.arange(1, n + 1, dtype=np.uint16) for n in [*range(30), 4000, 1]]
+    met, sizes = Counter(), []
+
+    def step(p, around, own, rate):
+        sizes.append(len(own))
+        met.update(zip(around[:, 1].tolist(), own.tolist(), around[:, 2].tolist(), strict=True))
+
+    monkeypatch.setattr(scoring, "step", step)
+    want = Counter((a, b, c) for t in texts for a, b, c in zip([0, *t.tolist()], t.tolist(), [*t.tolist(), 0][1:], strict=False))
+    assert scoring.learn(scoring.start(np.zeros(scoring.SYMBOLS)), iter(texts)) == sum(map(len, texts)) == sum(sizes)
+    assert met == want
+    # The symbols that rounds read are those of every word of every row.
+    coded = scoring.encoded(docs, "text", ["doc_id"], {})
+    assert sum(len(r["ids"]) for r in coded.select("_code.ids").collect()) == 2 * sum(len(words(r[1])) for r in rows)
+
+
 def test_near_duplicates(docs, rows):
     def fingerprint(t):
         w = words((t or "").translate(LOWER))
