@@ -1,17 +1,20 @@
 """Masked pseudo-likelihood scoring with a small bidirectional network.
 
 Words become symbols: the ``COMMON`` most frequent words of the corpus have their own, the others share ``SHARED`` hash
-classes. For every word, a network that sees the ``REACH`` words on both sides (position-specific embeddings, one tanh
+classes. The vocabulary is that of the corpus: all its words and their counts are a table on Spark, and a word of a class
+has the class's chance times its own share of the class's count, so every word has its own probability. For every word, a network that sees the ``REACH`` words on both sides (position-specific embeddings, one tanh
 layer) gives the chances of each symbol; the word itself is masked. A document's score is the sum of the log
-probabilities of its own symbols; the mean is what to rank by. It scores documents with one word as well (all sides
+probabilities of its own words; the mean is what to rank by. It scores documents with one word as well (all sides
 empty). The chance of a symbol is that of its group (``GROUP`` symbols of neighbouring frequency) times that of the
 symbol in the group, so a position costs ``GROUPS`` + ``GROUP`` outputs and not ``SYMBOLS``.
 
 The network is trained in numpy, on Spark: every task runs gradient steps on its own documents from the shared start,
 and parameters are averaged by the number of positions, summed by Spark row-wise; ``ROUNDS`` such rounds. Every round
 steps on every position of every document, once; steps grow from ``BATCH`` to ``MOST`` positions as a task goes on. Texts
-become symbols once, in a written table that rounds and scoring read. The driver holds only the parameters and the list of
-common words, both of fixed size. Steps are deterministic in a task; the sum over tasks depends on how rows are split, so
+become symbols once, in a written table that rounds and scoring read. The words of classes meet their counts in a join on
+the word, summed by document and word before; a word that is not common has at most 1 / (``COMMON`` + 1) of all words, so
+no key is hot. The driver holds only the parameters, the list of common words and the counts of the classes, all of fixed
+size; the table of words grows with the corpus. Steps are deterministic in a task; the sum over tasks depends on how rows are split, so
 scores agree between runs to a few digits, which the output rounds to.
 
 Null and empty texts have no words and score 0. An empty table trains nothing.
@@ -25,6 +28,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +49,8 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def common_words(docs: DataFrame, text: str = "text") -> tuple[dict[bytes, int], np.ndarray]:
-    """The most frequent words and their symbols, ties by the word, and all symbols' log frequencies.
-
-    Counts are summed by task, then by word; words without a symbol of their own share theirs evenly."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n) of every word of the corpus, summed by task, then by word. Written."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
 
@@ -67,13 +69,20 @@ def common_words(docs: DataFrame, text: str = "text") -> tuple[dict[bytes, int],
         yield out()
 
     found = mapped(docs.select(F.col(f"`{text}`")), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = keep(found, "words")
-    top = found.orderBy(F.desc("n"), "word").limit(COMMON).collect()
-    total = found.agg(F.sum("n")).first()[0] or 0
-    own = np.array([r["n"] for r in top], float)
-    rest = np.full(SHARED, (total - own.sum()) / SHARED)
-    often = np.concatenate([[0.0], np.pad(own, (0, COMMON - len(own))), rest]) + 1
-    return {bytes(r["word"]): i + 1 for i, r in enumerate(top)}, np.log(often / often.sum())
+    return keep(found, "words")
+
+
+def common_words(counts: DataFrame) -> tuple[dict[bytes, int], np.ndarray]:
+    """The most frequent words and their symbols, ties by the word, and the counts of all symbols."""
+    top = counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    common = {bytes(r["word"]): i + 1 for i, r in enumerate(top)}
+    n = np.zeros(SYMBOLS)
+    for r in counts.groupBy((F.crc32("word") % SHARED).alias("k")).agg(F.sum("n").alias("n")).collect():  # SHARED rows
+        n[COMMON + 1 + r["k"]] = r["n"]
+    for r in top:
+        n[common[bytes(r["word"])]] = r["n"]
+        n[COMMON + 1 + crc32(r["word"]) % SHARED] -= r["n"]
+    return common, n
 
 
 def start(often: np.ndarray) -> dict[str, np.ndarray]:
@@ -257,22 +266,42 @@ def likelihood(p: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, text: str, carry: list[str], common: dict[bytes, int]) -> DataFrame:
-    """The columns of ``carry`` and a struct ``_code``: ids, the symbols of the text's words in two bytes each. Written."""
+    """The columns of ``carry`` and a struct ``_code``: id, a number of the row; ids, the symbols of the text's words in
+    two bytes each; words and times, its words without a symbol of their own. Written."""
     shared = docs.sparkSession.sparkContext.broadcast(common)  # of fixed size
 
     def make():
-        given = shared.value
+        given, at = shared.value, TaskContext.get().partitionId() << 40
 
         def work(texts: list) -> list:
-            return [[symbols(words_of(t), given).astype(np.uint16).tobytes() for t in texts]]
+            nonlocal at
+            ids, rare, times = [], [], []
+            for t in texts:
+                w = words_of(t)
+                found = symbols(w, given)
+                ids.append(found.astype(np.uint16).tobytes())
+                own = Counter([w[k] for k in np.flatnonzero(found > COMMON).tolist()])
+                rare.append(list(own))
+                times.append(list(own.values()))
+            at += len(texts)
+            return [list(range(at - len(texts), at)), ids, rare, times]
 
         return work
 
-    return keep(map_texts(docs, text, carry, "ids binary", make, "_code"), "symbols")
+    code = "id long, ids binary, words array<binary>, times array<int>"
+    return keep(map_texts(docs, text, carry, code, make, "_code"), "symbols")
+
+
+def of_words(coded: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id, own): what a row's words of classes add by their own counts, before the counts of the classes are taken off."""
+    pairs = coded.select("_code.id", F.explode(F.arrays_zip("_code.words", "_code.times")).alias("x"))
+    met = pairs.select("id", F.col("x.words").alias("word"), F.col("x.times").alias("times")).join(
+        counts.select("word", F.log("n").alias("ln")), "word")
+    return met.groupBy("id").agg(F.sum(F.col("times") * F.col("ln")).alias("own"))
 
 
-def fit(coded: DataFrame, often: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    p = start(often)
+def fit(coded: DataFrame, n: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    p = start(np.log((n + 1) / (n + 1).sum()))
     for _ in range(rounds):
         p = train_round(coded, p)
     return p
@@ -281,17 +310,20 @@ def fit(coded: DataFrame, often: np.ndarray, rounds: int = ROUNDS) -> dict[str,
 def score(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns of ``carry`` (default: all) and a struct ``_found``: n_words, log_likelihood."""
     carry = docs.columns if carry is None else carry
-    common, often = common_words(docs, text)
+    counts = word_counts(docs, text)
+    common, n = common_words(counts)
     coded = encoded(docs, text, carry, common)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(coded, often))  # of fixed size
+    of_class = np.zeros(SYMBOLS)
+    of_class[COMMON + 1:] = np.log(np.maximum(n[COMMON + 1:], 1))
+    shared = docs.sparkSession.sparkContext.broadcast((fit(coded, n), of_class))  # of fixed size
 
     def make():
-        p = shared.value
+        p, classes = shared.value
 
         def work(texts: list) -> list:
             sums = []
             for row, n in in_rows((np.frombuffer(x, np.uint16) for x in texts), 8192):
-                values, place = likelihood(p, row), 0
+                values, place = likelihood(p, row) - classes[row], 0
                 for k in n:
                     sums.append(float(values[place:place + k].sum()))
                     place += k + REACH
@@ -299,8 +331,14 @@ def score(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -
 
         return work
 
-    flat = coded.select(*(F.col(f"`{c}`") for c in carry), F.col("_code.ids").alias("_ids"))
-    return map_texts(flat, "_ids", carry, RESULT, make)
+    flat = coded.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("_row"), F.col("_code.id").alias("_id"),
+                        F.col("_code.ids").alias("_ids"))
+    found = map_texts(flat, "_ids", ["_row", "_id"], RESULT, make)
+    own = of_words(coded, counts)
+    whole = F.col("_found.log_likelihood") + F.coalesce("own", F.lit(0.0))
+    return found.join(own, F.col("_id") == own["id"], "left").select(
+        *(F.col("_row").getField(c).alias(c) for c in carry),
+        F.struct(F.col("_found.n_words").alias("n_words"), whole.alias("log_likelihood")).alias("_found"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

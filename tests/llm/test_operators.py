@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -231,6 +232,29 @@ def test_scoring_trains_on_every_position(spark, docs, rows, monkeypatch):
     assert sum(len(r["ids"]) for r in coded.select("_code.ids").collect()) == 2 * sum(len(words(r[1])) for r in rows)
 
 
+def test_scoring_gives_every_word_its_own_probability(spark, monkeypatch):
+    """Among words without a symbol of their own; the part of the network is worked out again from its symbols."""
+    texts = [" ".join(f"w{(k * k + i * 37) % 1500 // (1 + k % 3)}" for k in range(90)) for i in range(40)] + ["w1 rare", None, "w1"]
+    counts = Counter(w for t in texts for w in words(t))
+    models = []
+    fit = scoring.fit
+    monkeypatch.setattr(scoring, "fit", lambda *a: models.append(fit(*a)) or models[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["_found"] for r in scoring.score(docs, carry=["doc_id"]).collect()}
+    top = sorted(counts, key=lambda w: (-counts[w], w))[:scoring.COMMON]
+    symbol = {w: top.index(w) + 1 if w in top else scoring.COMMON + 1 + zlib.crc32(w.encode()) % scoring.SHARED for w in counts}
+    assert sum(x > scoring.COMMON for x in symbol.values()) > 100
+    of_class = Counter()
+    for w, n in counts.items():
+        of_class[symbol[w]] += n
+    for i, t in enumerate(texts):
+        ids = np.array([symbol[w] for w in words(t)], np.int64)
+        want = scoring.likelihood(models[0], ids).sum() + sum(math.log(counts[w] / of_class[symbol[w]]) for w in words(t))
+        assert got[i]["n_words"] == len(ids) and math.isclose(got[i]["log_likelihood"], want, rel_tol=1e-4, abs_tol=1e-6)
+    # The chances of the words of a class add up to that of the class.
+    assert all(math.isclose(sum(counts[w] / of_class[k] for w in counts if symbol[w] == k), 1) for k in of_class)
+
+
 def test_near_duplicates(docs, rows):
     def fingerprint(t):
         w = words((t or "").translate(LOWER))
