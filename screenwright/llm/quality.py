@@ -2,10 +2,13 @@
 
 Rates of each document (symbols a word, repeated lines, repeated three-word windows, word length) are held against
 thresholds of its language and source, not against fixed cutoffs. The thresholds come from quantile sketches: counts of
-log-spaced buckets (relative error ``ERROR``), which add up. They are summed by (language, source), merged upwards to
-the language and to everything, and a group with fewer than ``LEAST_DOCS`` documents uses the next larger one. A rate is
-out of line above its group's upper quartile plus ``FENCE`` quartile ranges, and at least ``GAP`` above that quartile,
-so that a group of nearly equal documents rejects none of them. The median of every group is itself in line.
+log-spaced buckets (relative error ``ERROR``), which add up. They hold the documents that pass the fixed part, are summed
+by (language, source) and merged upwards to the language and to everything. Each group is shrunk towards the next larger
+one by counts: ``BORROWED`` documents dealt as in that group are added to its own, so small groups lean on the larger
+one, large ones hardly do, and no size switches. A rate is out of line above the tail of its group: ``FENCE`` times the
+distance between the two quantiles of ``TAIL`` beyond the upper one, and at least ``GAP`` beyond it, which is a guard against
+ties and the sketch's error only. Symbols and word length have no fixed rule, so junk may be in their tails: their fence
+starts at the median and the upper tenth. Of repeats the fixed part has removed the gross cases, and the tail is read to 99 %.
 
 A document fails the fixed part if it has fewer than 50 words or if more than half of its words stand in three-word
 windows that occur twice in it. All of it is DataFrame expressions; the only shuffles are of sums of bucket counts.
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -30,10 +33,11 @@ SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
 ERROR = 0.01
-LEAST_DOCS = 200
-FENCE = 4.0
-#: Rates, and the smallest distance from the upper quartile that counts as out of line.
-GAP = {"symbols": 0.2, "dup_lines": 0.4, "repeats": 0.3, "word_length": 1.5}
+BORROWED = 1000
+FENCE = 2.0
+#: Quantiles of every rate that its fence comes from, and the smallest distance from the upper one that is out of line.
+TAIL = {"symbols": ("q50", "q90"), "dup_lines": ("q95", "q99"), "repeats": ("q95", "q99"), "word_length": ("q50", "q90")}
+GAP = {"symbols": 0.02, "dup_lines": 0.05, "repeats": 0.05, "word_length": 0.25}
 _GAMMA = (1 + ERROR) / (1 - ERROR)
 #: Rates below this are bucket null of the sketch (zero).
 _LEAST = 1e-4
@@ -74,6 +78,10 @@ def _rates() -> dict[str, str]:
             "repeats": "_q.n_repeat_words / _q.n_words", "word_length": "_q.word_chars / _q.n_words"}
 
 
+def _failed() -> Column:
+    return (F.col("_q.n_words") < LEAST_WORDS) | (F.col("_q.n_repeat_words") * 100 > F.col("_q.n_words") * MOST_REPEATED)
+
+
 def sketches(measured: DataFrame, keys: list[str]) -> DataFrame:
     """Bucket counts of every rate by group: columns of ``keys``, rate, bucket, n. Sketches merge by adding counts."""
     rates = F.expr("array(" + ", ".join(
@@ -84,43 +92,59 @@ def sketches(measured: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _quantiles(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles of every group and rate, and its number of documents, from bucket counts."""
+    """Quantiles of every group and rate from bucket counts."""
     by = Window.partitionBy(*keys, "rate")
     summed = counts.withColumn("total", F.sum("n").over(by)).withColumn(
         "upto", F.sum("n").over(by.orderBy("bucket")))
     value = f"IF(bucket = -100000, 0D, 2 * pow({_GAMMA!r}D, bucket) / ({_GAMMA!r}D + 1))"
     return summed.groupBy(*keys, "rate").agg(
         *(F.expr(f"min(IF(upto >= {q} * total, {value}, NULL))").alias(name)
-          for name, q in (("q1", 0.25), ("q3", 0.75))), F.first("total").alias("docs"))
-
-
-def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """One row a (language, source): a struct of thresholds, from the smallest group with enough documents."""
-    named = measured.withColumns({"_lang": F.col(f"`{lang}`"), "_source": F.col(f"`{source}`")})
-    fine = keep(sketches(named, ["_lang", "_source"]), "sketches")
+          for name, q in (("q50", 0.5), ("q3", 0.75), ("q90", 0.9), ("q95", 0.95), ("q99", 0.99))))
+
+
+def shrunk(counts: DataFrame, keys: list[str], parent: DataFrame, above: list[str]) -> DataFrame:
+    """Counts by ``keys`` with ``BORROWED`` documents more, dealt as in the larger group, which has the keys ``above``.
+    In whole millionths, so that sums do not depend on the order of rows."""
+    share = parent.withColumn("total", F.sum("n").over(Window.partitionBy(*above, "rate")))
+    share = share.withColumn("n", F.expr(f"CAST(round({BORROWED}D * 1000000 * n / total) AS BIGINT)"))
+    share = share.select(*(F.col(k).alias(f"{k}_above") for k in above), F.col("rate").alias("rate_above"), "bucket", "n")
+    groups = counts.select(*keys, "rate").distinct()
+    same = F.col("rate") == F.col("rate_above")
+    for k in above:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_above"))
+    lent = groups.join(share, same).select(*keys, "rate", "bucket", "n")
+    own = counts.select(*keys, "rate", "bucket", (F.col("n") * 1_000_000).alias("n"))
+    return own.unionByName(lent).groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
+
+
+def fences(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rate, fence, floor): the fence, and whether ``GAP`` decides it."""
+    def of_rate(values: dict[str, str]) -> str:
+        return "CASE rate " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
+
+    found = _quantiles(counts, keys).withColumns({
+        "low": F.expr(of_rate({k: v[0] for k, v in TAIL.items()})), "high": F.expr(of_rate({k: v[1] for k, v in TAIL.items()})),
+        "gap": F.expr(of_rate({k: f"{v}D" for k, v in GAP.items()}))})
+    reach = FENCE * (F.col("high") - F.col("low"))
+    return found.select(*keys, "rate", (F.col("high") + F.greatest(reach, F.col("gap"))).alias("fence"),
+                        (reach < F.col("gap")).alias("floor"))
+
+
+def group_fences(measured: DataFrame) -> DataFrame:
+    """``fences`` of every (_lang, _source)."""
+    fine = keep(sketches(measured.where(~_failed()), ["_lang", "_source"]), "sketches")
     wider = fine.groupBy("_lang", "rate", "bucket").agg(F.sum("n").alias("n"))
     widest = fine.groupBy("rate", "bucket").agg(F.sum("n").alias("n"))
+    by_lang = keep(shrunk(wider, ["_lang"], widest, []), "of_lang")
+    return fences(shrunk(fine, ["_lang", "_source"], by_lang, ["_lang"]), ["_lang", "_source"])
 
-    def fences(counts: DataFrame, keys: list[str]) -> DataFrame:
-        gap = F.expr("CASE rate " + " ".join(f"WHEN '{k}' THEN {v}D" for k, v in GAP.items()) + " END")
-        found = _quantiles(counts, keys).withColumn(
-            "fence", F.col("q3") + F.greatest(FENCE * (F.col("q3") - F.col("q1")), gap))
-        return found.groupBy(*keys).agg(
-            *(F.max(F.when(F.col("rate") == k, F.col("fence"))).alias(k) for k in GAP), F.max("docs").alias("docs"))
-
-    def wide(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
-        return fences(counts, keys).select(*(F.col(k).alias(f"{k}_{name}") for k in keys),
-                                           F.struct("docs", *GAP).alias(name))
 
-    own, by_lang, all_ = fences(fine, ["_lang", "_source"]), wide(wider, ["_lang"], "of_lang"), wide(widest, [], "of_all")
-    # One row a group; the language's and the overall thresholds have a row a language and one row.
-    out = own.join(by_lang, own["_lang"].eqNullSafe(by_lang["_lang_of_lang"]), "left")
-    overall = all_.first()
-    fallback = overall["of_all"].asDict() if overall else {k: 0.0 for k in GAP}
-    enough = F.col("docs") >= LEAST_DOCS
-    picked = [F.when(enough, F.col(k)).when(F.col("of_lang.docs") >= LEAST_DOCS, F.col(f"of_lang.{k}"))
-              .otherwise(F.lit(float(fallback[k] or 0.0))).alias(k) for k in GAP]
-    return keep(out.select("_lang", "_source", F.struct(*picked).alias("_limits")), "thresholds")
+def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """One row a (language, source): a struct of thresholds."""
+    named = measured.withColumns({"_lang": F.col(f"`{lang}`"), "_source": F.col(f"`{source}`")})
+    limits = group_fences(named).groupBy("_lang", "_source").agg(F.struct(
+        *(F.max(F.when(F.col("rate") == k, F.col("fence"))).alias(k) for k in GAP)).alias("_limits"))
+    return keep(limits, "thresholds")
 
 
 def with_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
@@ -137,8 +161,7 @@ def with_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source
         known = measured = keep(measures(packed, "_text").drop("_text"), "measures")
     limits = thresholds(known, "_lang", "_source")
     joined = look_up(measured, limits, ["_lang", "_source"])
-    failed = (F.col("_q.n_words") < LEAST_WORDS) | (
-        F.col("_q.n_repeat_words") * 100 > F.col("_q.n_words") * MOST_REPEATED)
+    failed = _failed()
     out_of_line = F.expr(" OR ".join(f"coalesce({v} > _limits.{k}, false)" for k, v in _rates().items()))
     return joined.select(*(F.col("_row").getField(c).alias(c) for c in carry), "_q", failed.alias("_base_failed"),
                          F.when(failed, False).otherwise(~out_of_line).alias("_kept"))  # one CASE: not split and pushed down

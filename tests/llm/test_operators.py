@@ -144,6 +144,22 @@ def test_quality_thresholds_follow_the_group(spark):
     assert abs(q["q3"] - exact[374]) <= 0.03 * exact[374]
 
 
+def test_quality_thresholds_come_from_the_tail(spark):
+    """A mild outlier of an even group is out of line, the same rate is in line where the group's own tail has it; small
+    groups lean on the larger one, by counts."""
+    text = lambda i, n: " ".join(f"word{(i * 7 + k * 13) % 97}x{k % 10}" + "#" * (k < n) for k in range(100))
+    even = [(i, text(i, 0), "en", "even") for i in range(3000)] + [(10_000, text(1, 12), "en", "even")]
+    wide = [(20_000 + i, text(i, i % 13), "en", "wide") for i in range(3000)]
+    tiny = [(30_000 + i, text(i, 0), "de", "tiny") for i in range(3)] + [(30_009, text(2, 70), "de", "tiny")]
+    docs = spark.createDataFrame(even + wide + tiny, "doc_id long, text string, lang string, source string")
+    dropped = {r["doc_id"] for r in quality.digest(docs).where("NOT kept AND NOT base_failed").collect()}
+    assert dropped == {10_000, 30_009}
+    of = {(r["_source"], r["rate"]): r for r in quality.group_fences(quality.measures(docs.withColumnsRenamed(
+        {"lang": "_lang", "source": "_source"}))).collect()}
+    assert not of["wide", "symbols"]["floor"]
+    assert of["even", "symbols"]["fence"] < 0.12 < of["wide", "symbols"]["fence"] and of["tiny", "symbols"]["fence"] < 0.35
+
+
 def test_repeated_passages(docs, rows):
     by_place = sorted({(-1 if r[0] is None else r[0], r[1] or "") for r in rows})
     seen, gone = set(), {}
