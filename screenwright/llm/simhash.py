@@ -182,12 +182,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(hashed: DataFrame, doc_id: str, distance: int = DISTANCE) -> DataFrame:
-    """(fp, component) of every fingerprint in ``hashed``: the smallest id that links reach."""
+    """(fp, root, component) of every fingerprint in ``hashed``: its group, and the smallest id that links reach."""
     distinct = keep(hashed.groupBy(F.col("_fp").alias("fp")).agg(F.min(f"`{doc_id}`").alias("least")), "distinct")
     found = keep(components(links(distinct.select("fp"), distance)), "components")
     rooted = distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return keep(rooted.join(smallest, "root").select("fp", "component"), "classes")
+    return keep(rooted.join(smallest, "root").select("fp", "root", "component"), "classes")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
@@ -205,8 +205,8 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     found = classes(hashed, doc_id, distance)
     met = hashed.join(found, hashed["_fp"] == found["fp"], "left")
     order = F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"), F.col("_h").alias("h"))
-    # A group's key is its smallest id; groups without any id are told apart by fingerprint.
-    best = met.groupBy("component", F.when(F.col("component").isNull(), F.col("_fp")).alias("_g")).agg(F.min(order).alias("o"))
+    # A group's key is its root: ids may be missing, or repeat in other groups.
+    best = met.groupBy("root").agg(F.min(order).alias("o"))
     best = keep(best.select(F.col("o.id").alias("_id"), F.col("o.h").alias("_h")), "best")
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
                          F.col(f"`{doc_id}`").alias("_d"), F.xxhash64(F.col(f"`{text}`")).alias("_t"))

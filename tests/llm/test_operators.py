@@ -298,6 +298,17 @@ def test_near_duplicates(docs, rows):
     assert simhash.digest(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_repeated_and_missing_ids(spark, rows):
+    """One id on texts of two groups loses neither; linked texts without any id leave one."""
+    near, other = (rows[6][1], rows[6][1] + " end"), (rows[5][1], rows[7][1])
+    frame = lambda given: spark.createDataFrame(given, "doc_id long, text string")
+    linked = simhash.digest(frame([(1, near[0]), (2, near[1]), (3, other[0]), (4, other[1])])).collect()
+    assert len({r["fingerprint"] for r in linked}) == 4 and sorted(r["component_id"] for r in linked) == [1, 1, 3, 4]
+    kept = simhash.drop_near_duplicates(frame([(1, other[0]), (1, other[1]), (None, near[0]), (None, near[1])])).collect()
+    assert {(r["doc_id"], r["text"]) for r in kept if r["doc_id"]} == {(1, other[0]), (1, other[1])}
+    assert len(kept) == 3
+
+
 def test_links_of_hot_keys_in_tiles(spark):
     """A dense cloud of fingerprints, in one piece and split over tiles, against all pairs."""
     rng = np.random.default_rng(2)
