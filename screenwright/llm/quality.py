@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from screenwright.functions.text import settled
+
 from .common import SPACE, WORD, keep, look_up
 from .spans import quoted
 
@@ -62,14 +64,15 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "slice(_sorted, 2, size(_sorted) - 1), (a, b) -> named_struct('x', a, 'next', b.h)), "
         "concat(array(named_struct('h', CAST(NULL AS BIGINT), 'i', -1)), slice(_sorted, 1, size(_sorted) - 1)), "
         "(a, b) -> IF(a.x.h = a.next OR a.x.h = b.h, a.x.i, CAST(NULL AS INT))), x -> x IS NOT NULL)) END"))
-    out = out.withColumn("_q", F.struct(
+    # Settled, as a filter on a measure would else be worked out on the text, in nested lambdas.
+    out = out.withColumn("_q", settled(F.struct(
         F.col("_n").cast("long").alias("n_words"),
         F.expr("coalesce(CAST(length(array_join(_words, '')) AS BIGINT), 0L)").alias("word_chars"),
         F.coalesce(F.expr(f"regexp_count({t}, {quoted(SYMBOLS)})"), F.lit(0)).cast("long").alias("n_symbols"),
         F.expr("coalesce(CAST(size(_lines) - size(array_distinct(_lines)) AS BIGINT), 0L)").alias("n_dup_lines"),
         F.expr("coalesce(aggregate(_again, named_struct('last', -3, 'n', 0L), (s, i) -> named_struct('last', i, "
                "'n', s.n + least(3, i - s.last)), s -> s.n), 0L)").alias("n_repeat_words"),
-        F.expr("coalesce(CAST(size(_lines) AS BIGINT), 0L)").alias("n_lines")))
+        F.expr("coalesce(CAST(size(_lines) AS BIGINT), 0L)").alias("n_lines"))))
     return out.drop("_words", "_n", "_windows", "_lines", "_sorted", "_again")
 
 
@@ -153,13 +156,9 @@ def with_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source
     carry = docs.columns if carry is None else carry
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("_row"), F.col(f"`{text}`").alias("_text"),
                          F.col(f"`{lang}`").alias("_lang"), F.col(f"`{source}`").alias("_source"))
-    if text in carry:
-        measured = measures(packed, "_text")
-        known = measured
-    else:
-        # Without texts to carry, the measures are written once and read twice.
-        known = measured = keep(measures(packed, "_text").drop("_text"), "measures")
-    limits = thresholds(known, "_lang", "_source")
+    # The measures are written once and read twice, so that no filter on them reaches the texts and splits them again.
+    measured = keep(measures(packed, "_text").drop("_text"), "measures")
+    limits = thresholds(measured, "_lang", "_source")
     joined = look_up(measured, limits, ["_lang", "_source"])
     failed = _failed()
     out_of_line = F.expr(" OR ".join(f"coalesce({v} > _limits.{k}, false)" for k, v in _rates().items()))
