@@ -287,13 +287,28 @@ def test_no_aliases_are_built_in(spark, tables):
     assert (rows["1"], rows["5"]) == ("101", "anonymous-user")
 
 
+def exchanged(df) -> list[list[str]]:
+    """The columns that each shuffle of a plan carries."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.initialPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+    out, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Exchange":
+            out.append([node.output().apply(i).name() for i in range(node.output().size())])
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
 def test_screening_moves_no_prompts_and_runs_no_python(spark, tables):
     plan = screen(*tables)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     for line in plan.splitlines():
-        if "Exchange hashpartitioning" in line:
-            assert "org_key" in line  # the policies, not the prompts
+        if "Exchange" in line:
+            assert "prompt" not in line
+    for node in exchanged(screen(*tables)):
+        assert not any(column.startswith(("prompt", "_lower", "_norm")) for column in node), node  # users and policies only
 
 
 def test_admin_org_key_leaves_numbers_alone(spark, tables):
