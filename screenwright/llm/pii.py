@@ -6,9 +6,10 @@ characters around it, and what else stands nearby. Votes are counted by pattern
 on those counts estimates each labeler's reliability without any label, and the posteriors, as soft labels, train the
 final classifier: naive Bayes over features of the span (digits, groups, separators, the words before). A candidate is
 personal where the classifier gives ``LEAST`` or more. The counts that are gathered have a fixed size; everything else
-is DataFrame expressions on each row, so no row moves.
+is DataFrame expressions on each row, so no row moves. Positions are running sums, and candidates meet the fixed spans
+around them in one sorted pass, so the work of a text grows with its length, also where it is full of matches.
 
-Null texts count as empty. Very long texts are scanned whole; the patterns are possessive, so they stay linear and do
+Null texts count as empty. Input columns travel in a struct, so their names may be anything. Very long texts are scanned whole; the patterns are possessive, so they stay linear and do
 not recurse. An empty table trains nothing and gives no rows.
 """
 
@@ -19,7 +20,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import SPAN, free_of, in_order, joined, quoted, replaced, sha256, spans
+from screenwright.functions.text import settled
+
+from .common import keep
+from .spans import blocks, cut, in_order, joined, neighbours, none, quoted, replaced, sha256, spans
 
 KINDS = ["email", "ip", "card", "phone", "number"]
 # The shapes of the contract. A look-behind or \G lets a search start only where the longest match would;
@@ -51,37 +55,41 @@ def _luhn(digits: str) -> str:
             f"CAST(d AS INT) * 2 - IF(d >= '5', 9, 0))), 0, (s, d) -> s + d) % 10 = 0")
 
 
-def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_email``, ``_ip``, ``_card`` and ``_phone``; ``_pii_text`` is the text, empty for null."""
-    out = docs.withColumn("_pii_text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+def base_spans(packed: DataFrame) -> DataFrame:
+    """Adds ``_email``, ``_ip``, ``_card``, ``_phone`` and ``_number`` to a frame that has the text as ``_text``.
+
+    Each step is settled: an array that the optimiser put into the lambda of the next step would be searched for again for
+    every match.
+    """
     digits = "regexp_replace(x.value, '[^0-9]', '')"
-    t = "_pii_text"
-    out = out.withColumns({
-        "_email": F.when(F.contains(F.col(t), F.lit("@")), spans(t, EMAIL, "email")).otherwise(F.expr(f"CAST(array() AS {SPAN})")),
-        "_ip": spans(t, IP, "ip"), "_card": spans(t, CARD, "card"),
-        "_phone": F.when(F.contains(F.col(t), F.lit("+")), spans(t, PHONE, "phone")).otherwise(F.expr(f"CAST(array() AS {SPAN})")),
-        "_number": spans(t, NUMBER, "number")})
-    return out.withColumns({
-        "_ip": F.expr(f"filter(_ip, x -> x.value RLIKE {quoted(IP_PARTS)})"),
-        "_card": F.expr(f"filter(_card, x -> length({digits}) BETWEEN 12 AND 19 AND {_luhn(digits)})"),
-        "_phone": F.expr(f"filter(_phone, x -> length({digits}) BETWEEN 9 AND 15)")})
+    t = "_text"
+    out = packed.withColumns({f"_{k}": settled(c) for k, c in {
+        "email": F.when(F.contains(F.col(t), F.lit("@")), spans(t, EMAIL, "email")).otherwise(none()),
+        "ip": spans(t, IP, "ip"), "card": spans(t, CARD, "card"),
+        "phone": F.when(F.contains(F.col(t), F.lit("+")), spans(t, PHONE, "phone")).otherwise(none()),
+        "number": spans(t, NUMBER, "number")}.items()})
+    return out.withColumns({f"_{k}": settled(F.expr(c)) for k, c in {
+        "ip": f"filter(_ip, x -> x.value RLIKE {quoted(IP_PARTS)})",
+        "card": f"filter(_card, x -> length({digits}) BETWEEN 12 AND 19 AND {_luhn(digits)})",
+        "phone": f"filter(_phone, x -> length({digits}) BETWEEN 9 AND 15)"}.items()})
 
 
 def candidates(found: DataFrame) -> DataFrame:
     """Adds ``_votes``: candidates with one vote a labeler and the features of the classifier."""
-    out = found.withColumn("_fixed", F.concat("_email", "_ip", "_card", "_phone"))
-    out = out.withColumn("_number", free_of("_number", "_fixed"))
-    near = f"substring(_pii_text, greatest(1, x.start + 1 - {BEFORE}), least({BEFORE}, x.start))"
-    out = out.withColumn("_number", F.expr(
-        f"transform(_number, x -> named_struct('start', x.start, 'end', x.end, 'value', x.value, "
-        f"'word', lower(regexp_extract({near}, '([\\\\p{{L}}]+)[^\\\\p{{L}}]*$', 1)), "
-        f"'tail', right({near}, 2), 'next', substring(_pii_text, x.end + 1, 1), "
-        f"'digits', length(regexp_replace(x.value, '[^0-9]', '')), "
-        f"'groups', regexp_count(x.value, '[0-9]+'), "
-        f"'near', exists(_fixed, y -> y.start < x.end + 60 AND x.start < y.end + 60)))"))
+    out = found.withColumn("_fixed", settled(F.concat("_email", "_ip", "_card", "_phone")))
+    out = out.withColumns({
+        "_number": settled(F.expr(f"filter({neighbours('_number', '_fixed')}, n -> n.before <= n.x.start AND n.after >= n.x.end)")),
+        "_blocks": settled(F.expr(f"CASE WHEN size(_number) > 0 THEN {blocks('_text')} END"))})
+    near = cut("_blocks", f"greatest(0, n.x.start - {BEFORE})", "n.x.start")
+    out = out.withColumn("_number", settled(F.expr(f"""transform(transform(_number, n -> named_struct('n', n, 'near', {near})),
+        m -> named_struct('start', m.n.x.start, 'end', m.n.x.end, 'value', m.n.x.value,
+            'word', lower(regexp_extract(m.near, '([\\\\p{{L}}]+)[^\\\\p{{L}}]*$', 1)), 'tail', right(m.near, 2),
+            'next', {cut("_blocks", "m.n.x.end", "m.n.x.end + 1")},
+            'digits', length(regexp_replace(m.n.x.value, '[^0-9]', '')), 'groups', regexp_count(m.n.x.value, '[0-9]+'),
+            'near', m.n.before + 60 > m.n.x.start OR m.n.after < m.n.x.end + 60))""")))
     words = lambda xs: "(" + ", ".join(f"'{w}'" for w in xs) + ")"
     shapes = r"^(\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|0[0-9]{2,4}[ ./-][0-9]{5,8}|[0-9]{2}([ .][0-9]{2}){4})$"
-    return out.withColumn("_votes", F.expr(f"""transform(_number, x -> named_struct('start', x.start, 'end', x.end,
+    return out.withColumn("_votes", settled(F.expr(f"""coalesce(transform(_number, x -> named_struct('start', x.start, 'end', x.end,
         'shape', CASE WHEN x.value RLIKE {quoted(shapes)} THEN 1 WHEN x.groups = 1 OR x.groups > 6 THEN -1 ELSE 0 END,
         'gazetteer', CASE WHEN x.word IN {words(FOR)} THEN 1 WHEN x.word IN {words(AGAINST)} THEN -1 ELSE 0 END,
         'edges', CASE WHEN x.tail RLIKE ': ?$' THEN 1 WHEN x.tail RLIKE '[$€£"=%*]' OR x.next RLIKE '[%$€£"*]' THEN -1 ELSE 0 END,
@@ -91,7 +99,7 @@ def candidates(found: DataFrame) -> DataFrame:
             concat('mark:', CASE WHEN contains(x.value, '-') THEN 'hyphen' WHEN contains(x.value, '.') THEN 'dot'
                                  WHEN contains(x.value, ' ') THEN 'space' ELSE 'none' END),
             concat('word:', CASE WHEN x.word IN {words(FOR)} THEN 'for' WHEN x.word IN {words(AGAINST)} THEN 'against'
-                                 ELSE 'other' END))))""")).drop("_number", "_fixed")
+                                 ELSE 'other' END)))), array())"""))).drop("_number", "_fixed", "_blocks")
 
 
 def reliabilities(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[int, tuple[float, float]]]]:
@@ -146,9 +154,13 @@ def train(voted: DataFrame) -> tuple[float, dict[str, float]]:
     return round(math.log((yes + 1) / (no + 1)), 6), weights
 
 
-def with_pii(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
-    """Adds ``_email``, ``_ip``, ``_card``, ``_phone`` and ``_number`` spans and ``_pii_text`` to ``docs``."""
-    voted = candidates(base_spans(docs, text))
+def _found(docs: DataFrame, text: str, carry: list[str], least: float) -> DataFrame:
+    """``_row`` with the columns of ``carry``, and the spans of each kind. What a text holds is found once and written;
+    training and classification read that."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("_row"),
+                         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    slim = {f"_{k}": F.expr(f"transform(_{k}, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind))") for k in KINDS[:4]}
+    voted = keep(candidates(base_spans(packed)).withColumns(slim).drop("_text"), "personal-data")
     bias, weights = train(voted)
     cases = " ".join(f"WHEN {quoted(f)} THEN {w}D" for f, w in weights.items())
     weight = f"CASE f {cases} ELSE 0D END" if cases else "0D"
@@ -158,23 +170,27 @@ def with_pii(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataF
         f"x -> named_struct('start', x.start, 'end', x.end, 'kind', 'number'))")).drop("_votes")
 
 
-def _slim(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({f"_{k}": F.expr(f"transform(_{k}, x -> named_struct('start', x.start, 'end', x.end, "
-                                             "'kind', x.kind))") for k in KINDS})
+def with_pii(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
+    """Adds the struct ``_found`` with the spans of each kind: email, ip, card, phone, number. An input column of that
+    name gives way."""
+    return _found(docs, text, docs.columns, least).select(
+        *(F.col("_row").getField(c).alias(c) for c in docs.columns if c != "_found"),
+        F.struct(*(F.col(f"_{k}").alias(k) for k in KINDS)).alias("_found"))
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
     """``docs`` with every span in its text replaced by its kind in brackets; nulls stay null."""
-    found = _slim(with_pii(docs, text)).withColumn("_all", in_order([f"_{k}" for k in KINDS], KINDS))
-    clean = F.when(F.col(f"`{text}`").isNotNull(), replaced("_pii_text", "_all"))
-    return found.withColumn(text, clean).select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = _found(docs, text, docs.columns, least)
+    found = found.withColumn("_all", settled(in_order([f"_{k}" for k in KINDS], KINDS)))
+    found = found.withColumn("_text", F.col("_row").getField(text))
+    return found.select(*((replaced("_text", "_all") if c == text else F.col("_row").getField(c)).alias(c) for c in docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    found = _slim(with_pii(docs.select("doc_id", "text")).drop("text", "_pii_text"))
-    found = found.withColumn("_base", in_order([f"_{k}" for k in KINDS[:4]], KINDS))
-    found = found.withColumn("_all", in_order([f"_{k}" for k in KINDS], KINDS))
+    found = _found(docs, "text", ["doc_id"], LEAST)
+    found = found.withColumns({"_base": settled(in_order([f"_{k}" for k in KINDS[:4]], KINDS)),
+                               "_all": settled(in_order([f"_{k}" for k in KINDS], KINDS))})
     return found.select(
-        "doc_id", *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]),
+        F.col("_row.doc_id").alias("doc_id"), *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]),
         sha256(joined("_base")).alias("base_sha256"), joined("_all").alias("spans"),
         F.size("_number").cast("long").alias("n_number"))

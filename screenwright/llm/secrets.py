@@ -3,15 +3,20 @@
 Candidates are runs of 20 or more letters, digits and ``+/_-`` with both a letter and a digit. The encoding (hex, base32,
 base64) is inferred from the characters. Three tests of "its characters are drawn uniformly" run on each: chi-squared
 over the alphabet, the number of runs above and below the middle of the alphabet, and the lag-1 serial correlation;
-the smallest of the three p-values counts three times. Texts, names and paths fail them, keys do not.
-
-A candidate is dismissed where its p-value is rejected by a Benjamini-Hochberg step-up at ``RATE``, worked out within
-each encoding and length class (a doubling of length), as short strings give less evidence and must not set the
-threshold of long ones. So of the strings dismissed, at most that share is expected to be random. The step-up works on
-a histogram of p-values (at most 3 x 24 x 161 counts), not on sorted candidates, so it needs no global sort and nothing
-of a hot group meets in one task. All of it is DataFrame expressions.
-
-Null texts count as empty. Very long strings are tested whole. Rows that repeat are scanned each.
+the smallest of the three p-values counts three times. The less surprising a string is as a random one, the lower the
+bin of that value.
+
+What is reported is controlled, not what is dismissed: the null hypothesis is that a string is a path, a name or another
+text-like string. Its distribution comes from the corpus, by encoding and length class (a quarter of a doubling): each
+candidate gives a decoy that keeps its digits, signs and the capitals that start a hump, and whose letters are drawn by
+the frequency of letters in all texts; classes with few candidates give several decoys each, up to ``LEAST_DECOYS``. The
+decoys run through the same tests. The p-value of a candidate is the share of decoys of its class that look as random as it
+does, and a Benjamini-Hochberg step-up at ``RATE`` within the class decides, so about that share of the reports is
+expected to be false; ``_found.false_share`` says how many. Short strings give less evidence, so in them only few keys are told from names,
+and capital hex strings, whose decoys keep most of the characters, hardly ever. All counts are of fixed size: letters, classes
+and bins. All of it is DataFrame expressions; texts are read once, and what was found in them is written.
+
+Null texts count as empty. Very long strings are tested whole. Rows that repeat are scanned each, and count each.
 """
 
 from __future__ import annotations
@@ -19,6 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from screenwright.functions.text import settled
+
+from .common import keep
 from .spans import free_of, in_order, joined, quoted, sha256, spans
 
 # The shapes of the contract, letters of the key words in either case.
@@ -35,6 +43,10 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 RATE = 0.05
+LEAST_DECOYS = 400
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Letters that decoys are drawn from are a string of about this length, each letter by its share.
+_DRAWN = 2000
 #: Bins of -log10 p: eight a decade, twenty decades.
 BINS_A_DECADE, MOST_BIN = 8, 160
 
@@ -47,13 +59,11 @@ def _upper_tail(z: str) -> str:
     return f"IF({z} < 0, 1 - {tail}, {tail})"
 
 
-def _tested(array: str) -> Column:
+def _tested_sql(array: str) -> str:
     """Candidates with encoding, length class and bin of their p-value, in nested steps so that each is worked out once."""
     hex_, base32, base64 = (f"'{a}'" for a in ALPHABETS.values())
     # Step 1: the string in the letters of its alphabet.
-    named = f"""transform(filter({array}, x -> x.value RLIKE '[0-9]' AND x.value RLIKE '[A-Za-z]'), x -> named_struct(
-        'start', x.start, 'end', x.end, 'kind', 'random',
-        'code', CASE WHEN x.value RLIKE '^([0-9a-f]+|[0-9A-F]+)$' THEN 'hex'
+    named = f"""transform({array}, x -> named_struct('start', x.start, 'end', x.end, 'kind', 'random', 'code', CASE WHEN x.value RLIKE '^([0-9a-f]+|[0-9A-F]+)$' THEN 'hex'
                      WHEN x.value RLIKE '^[A-Z2-7]+$' THEN 'base32' ELSE 'base64' END,
         'word', CASE WHEN x.value RLIKE '^[0-9A-F]+$' THEN lower(x.value)
                      WHEN x.value RLIKE '^[A-Z2-7]+$' THEN x.value ELSE translate(x.value, '-_', '+/') END))"""
@@ -83,60 +93,122 @@ def _tested(array: str) -> Column:
                 2 * x.ones * (x.n - x.ones) * (2 * x.ones * (x.n - x.ones) - x.n) / (CAST(x.n AS DOUBLE) * x.n * (x.n - 1))))),
         'serial', abs(x.serial) / (sqrt(CAST(x.n - 1 AS DOUBLE)) * (CAST(x.k AS DOUBLE) * x.k - 1) / 12D)))"""
     p = f"least({_upper_tail('x.chi')}, 2 * {_upper_tail('x.runs')}, 2 * {_upper_tail('x.serial')})"
-    return F.expr(f"""transform({scores}, x -> named_struct('start', x.c.start, 'end', x.c.end, 'kind', x.c.kind,
-        'stratum', concat(x.c.code, ':', CAST(floor(log2(x.n)) AS INT)),
+    return f"""transform({scores}, x -> named_struct('start', x.c.start, 'end', x.c.end, 'kind', x.c.kind,
+        'stratum', concat(x.c.code, ':', CAST(floor(4 * log2(x.n)) AS INT)),
         'bin', CAST(least({MOST_BIN}, greatest(0, floor(-log10(greatest(least(1D, 3 * {p}), 1e-30D)) * {BINS_A_DECADE})))
-                    AS INT)))""")
-
-
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_assign``, ``_access``, ``_hex`` and ``_tested``: base spans and tested candidates outside of them."""
-    out = docs.withColumn("_secret_text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    out = out.withColumns({"_assign": spans("_secret_text", ASSIGN, "assign", 2),
-                           "_access": spans("_secret_text", ACCESS, "access"),
-                           "_hex": spans("_secret_text", HEX, "hex"),
-                           "_runs": spans("_secret_text", RANDOM, "random")}).drop("_secret_text")
-    out = out.withColumn("_assign", F.expr("filter(_assign, x -> length(x.part) >= 12)"))
-    out = out.withColumn("_base", F.concat("_assign", "_access", "_hex"))
-    out = out.withColumn("_runs", free_of("_runs", "_base"))
-    return out.withColumn("_tested", _tested("_runs")).drop("_runs", "_base")
-
-
-def thresholds(scanned: DataFrame, rate: float = RATE) -> dict[str, int]:
-    """For each encoding and length class the smallest bin that the step-up rejects. Sums by key; at most 72 rows come back."""
-    counts = scanned.select(F.explode("_tested").alias("c")).groupBy("c.stratum", "c.bin").agg(
-        F.count(F.lit(1)).alias("n"))
-    by = F.expr("array_sort(collect_list(struct(bin, n)))")
-    rows = counts.groupBy("stratum").agg(by.alias("bins"), F.sum("n").alias("m")).collect()
+                    AS INT)))"""
+
+
+def _tested(array: str) -> Column:
+    return F.expr(_tested_sql(array))
+
+
+def scan(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
+    """``_row`` with the columns of ``carry``, base spans ``_assign``, ``_access`` and ``_hex``, the candidates outside of
+    them (``_runs``) and the counts of letters, written to the shared folder."""
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("_row"),
+                      F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    # Settled: an array that the optimiser put into the lambda of the next step would be searched for again every time.
+    out = out.withColumns({"_assign": settled(spans("_text", ASSIGN, "assign", 2)), "_access": settled(spans("_text", ACCESS, "access")),
+                           "_hex": settled(spans("_text", HEX, "hex")), "_runs": settled(spans("_text", RANDOM, "random")),
+                           "_lower": settled(F.lower("_text"))})
+    out = out.withColumn("_assign", settled(F.expr("filter(_assign, x -> length(x.part) >= 12)")))
+    out = out.withColumns({
+        "_base": settled(F.concat("_assign", "_access", "_hex")),
+        "_letters": F.expr("transform(array(" + ", ".join(f"'{c}'" for c in _LETTERS) + "), "
+                           "c -> CAST(length(_lower) - length(replace(_lower, c, '')) AS BIGINT))"),
+        "_runs": settled(F.expr("filter(_runs, x -> x.value RLIKE '[0-9]' AND x.value RLIKE '[A-Za-z]')"))})
+    slim = {f"_{k}": F.expr(f"transform(_{k}, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind))") for k in KINDS[:3]}
+    return keep(out.withColumn("_runs", free_of("_runs", "_base")).withColumns(slim).drop("_base", "_text", "_lower"), "secrets")
+
+
+def decoys(array: str, letters: dict[str, str], copies: str) -> str:
+    """SQL of the decoys of candidates: ``letters`` has the string that letters are drawn from by encoding, ``copies`` is
+    the number of decoys of a candidate ``x``."""
+    drawn = "CASE code " + " ".join(f"WHEN '{k}' THEN {quoted(v)}" for k, v in letters.items()) + " END"
+    size = "CASE code " + " ".join(f"WHEN '{k}' THEN {len(v)}" for k, v in letters.items()) + " END"
+    code = _code("x.value")
+    letter = f"substring({drawn}, 1 + CAST(pmod(xxhash64(x.value, k, i), {size}) AS INT), 1)"
+    return f"""flatten(transform({array}, x -> flatten(transform(array({code}), code -> transform(sequence(1, {copies}), k ->
+        named_struct('start', x.start, 'end', x.end, 'kind', x.kind, 'part', x.part, 'value', array_join(transform(split(x.value, ''),
+            (c, i) -> CASE WHEN NOT c RLIKE '[A-Za-z]' THEN c
+                           WHEN code = 'base32' OR code = 'HEX' OR (c RLIKE '[A-Z]' AND substring(x.value, i + 2, 1) RLIKE '[a-z]')
+                           THEN upper({letter}) ELSE {letter} END), '')))))))"""
+
+
+def _code(value: str) -> str:
+    return (f"CASE WHEN {value} RLIKE '^[0-9a-f]+$' THEN 'hex' WHEN {value} RLIKE '^[0-9A-F]+$' THEN 'HEX' "
+            f"WHEN {value} RLIKE '^[A-Z2-7]+$' THEN 'base32' ELSE 'base64' END")
+
+
+def _drawn(counts: list[int]) -> dict[str, str]:
+    """The strings that letters are drawn from, by encoding; every letter occurs."""
+    def of(some: str) -> str:
+        n = [counts[_LETTERS.index(c)] for c in some]
+        return "".join(c * (1 + round(_DRAWN * k / max(1, sum(n)))) for c, k in zip(some, n, strict=True))
+
+    return {"hex": of("abcdef"), "HEX": of("abcdef"), "base32": of(_LETTERS), "base64": of(_LETTERS)}
+
+
+def thresholds(scanned: DataFrame, rate: float = RATE) -> dict[str, tuple[int, float]]:
+    """For each encoding and length class: the largest bin that is reported, and the expected share of false reports.
+
+    Sums by class and bin; classes grow with the logarithm of the longest string, so few rows come back.
+    """
+    totals = scanned.agg(*(F.sum(F.col("_letters")[i]).alias(c) for i, c in enumerate(_LETTERS))).first()
+    letters = _drawn([n or 0 for n in totals])
+    # The class of a candidate depends on its encoding and length alone, so that decoys can be told off beforehand.
+    class_ = f"concat({_code('x.value')}, ':', CAST(floor(4 * log2(length(x.value))) AS INT))"
+    sizes = scanned.where("size(_runs) > 0").select(F.explode("_runs").alias("x")).groupBy(F.expr(class_).alias("class")).agg(
+        F.count(F.lit(1)).alias("n")).collect()
+    several = " ".join(f"WHEN {quoted(r['class'])} THEN {-(-LEAST_DECOYS // r['n'])}" for r in sorted(sizes) if r["n"] < LEAST_DECOYS)
+    copies = f"CASE {class_} {several} ELSE 1 END" if several else "1"
+    some = scanned.where("size(_runs) > 0").select("_runs", F.expr(decoys("_runs", letters, copies)).alias("_decoys"))
+    both = some.select(F.explode(F.concat(
+        F.transform(_tested("_runs"), lambda x: F.struct(x["stratum"].alias("stratum"), x["bin"].alias("bin"), F.lit(True).alias("own"))),
+        F.transform(_tested("_decoys"), lambda x: F.struct(x["stratum"].alias("stratum"), x["bin"].alias("bin"), F.lit(False).alias("own"))),
+    )).alias("c"))
+    counted = both.groupBy("c.stratum", "c.bin").agg(F.count_if("c.own").alias("n"), F.count_if(~F.col("c.own")).alias("null")).collect()
     out = {}
-    for r in rows:
-        rejected = 0
-        for b, n in reversed([tuple(x) for x in r["bins"]]):
-            rejected += n
-            if 10 ** (-b / BINS_A_DECADE) <= rejected * rate / r["m"]:
-                out[r["stratum"]] = b
+    for stratum in sorted({r["stratum"] for r in counted}):
+        bins = sorted((r["bin"], r["n"], r["null"]) for r in counted if r["stratum"] == stratum)
+        m, all_null, own, null = sum(x[1] for x in bins), sum(x[2] for x in bins), 0, 0
+        for b, n, d in bins:
+            own, null = own + n, null + d
+            p = (null + 1) / (all_null + 1)
+            if own and p <= rate * own / m:
+                out[stratum] = (b, p * m / own)
     return out
 
 
-def with_secrets(docs: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
-    """Adds ``_assign``, ``_access``, ``_hex`` and ``_random`` spans to ``docs``."""
-    scanned = scan(docs, text)
+def _found(docs: DataFrame, text: str, carry: list[str], rate: float) -> DataFrame:
+    scanned = scan(docs, text, carry)
     limits = thresholds(scanned, rate)
-    cases = " ".join(f"WHEN {quoted(s)} THEN {b}" for s, b in sorted(limits.items()))
-    limit = f"CASE x.stratum {cases} END" if cases else "CAST(NULL AS INT)"
-    kept = f"filter(_tested, x -> x.bin < coalesce({limit}, {MOST_BIN + 1}))"
-    return scanned.withColumn("_random", F.expr(f"transform({kept}, x -> named_struct('start', x.start, 'end', x.end, "
-                                                "'kind', x.kind))")).drop("_tested")
+
+    def of_stratum(i: int, other: str) -> str:
+        cases = " ".join(f"WHEN {quoted(s)} THEN {v[i]}" for s, v in sorted(limits.items()))
+        return f"coalesce(CASE x.stratum {cases} END, {other})" if cases else other
+
+    out = scanned.withColumn("_random", settled(F.expr("filter(" + _tested_sql("_runs") + f", x -> x.bin <= {of_stratum(0, '-1')})")))
+    return out.withColumns({
+        "_false": F.expr(f"array_max(transform(_random, x -> CAST({of_stratum(1, '0')} AS DOUBLE)))"),
+        "_random": F.expr("transform(_random, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind))")}).drop("_runs", "_letters")
+
+
+def with_secrets(docs: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
+    """Adds the struct ``_found`` with the spans of each kind (assign, access, hex, random) and ``false_share``, the share
+    of random ones expected to be false in the least certain class met (null without any). An input column of that name
+    gives way."""
+    return _found(docs, text, docs.columns, rate).select(
+        *(F.col("_row").getField(c).alias(c) for c in docs.columns if c != "_found"),
+        F.struct(*(F.col(f"_{k}").alias(k) for k in KINDS), F.col("_false").alias("false_share")).alias("_found"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    found = with_secrets(docs.select("doc_id", "text")).drop("text")
-    slim = {c: F.expr(f"transform({c}, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind))")
-            for c in ("_assign", "_access", "_hex")}
-    found = found.withColumns(slim)
-    found = found.withColumn("_base", in_order(["_assign", "_access", "_hex"], KINDS))
-    found = found.withColumn("_all", in_order(["_assign", "_access", "_hex", "_random"], KINDS))
+    found = _found(docs, "text", ["doc_id"], RATE)
+    found = found.withColumns({"_base": settled(in_order(["_assign", "_access", "_hex"], KINDS)),
+                               "_all": settled(in_order(["_assign", "_access", "_hex", "_random"], KINDS))})
     return found.select(
-        "doc_id", *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]),
+        F.col("_row.doc_id").alias("doc_id"), *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]),
         sha256(joined("_base")).alias("base_sha256"), joined("_all").alias("spans"),
-        F.size("_random").cast("long").alias("n_random"))
+        F.size("_random").cast("long").alias("n_random"), F.col("_false").alias("false_share"))
