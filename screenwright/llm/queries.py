@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontamination, mixing, pii, quality, scoring, secrets, simhash, substrings, tokens, wrappers)
+from . import (classifier, decontamination, manifest, mixing, pii, quality, scoring, secrets, simhash, substrings, tokens,
+               whitening, wrappers)
 from .common import tables
 
 
@@ -23,6 +24,14 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.digest(tables(spark, sf_dir, "pages"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(tables(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.digest(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_secrets": _documents(secrets),
@@ -34,6 +43,9 @@ QUERIES = {
     "op8_near_duplicates": _documents(simhash),
     "op9_mixing": _documents(mixing),
     "op10_main_text": op10_main_text,
+    "op11_manifest": _documents(manifest),
+    "op12_whitening": op12_whitening,
+    "op13_quality_scores": op13_quality_scores,
 }
 
 # Words and windows, then windows of documents of the lengths that items have; a hit window marks its words.
@@ -114,4 +126,53 @@ SELECT doc_id, size, source_size, target, source,
 FROM placed
 """
 
-ORACLE = {"op1_decontamination": _OP1, "op5_repeated_passages": _OP5, "op9_mixing": _OP9}
+# Levels from below; a path is a list of steps, folded from the leaf on. CRC-32 is worked out bit by bit.
+_OP11 = r"""
+WITH RECURSIVE fields AS (
+    SELECT doc_id, lang, n_chars,
+           coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+           coalesce(strlen(text) || ':' || text, '-') AS tail,
+           list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+               lambda crc, byte: list_reduce([xor(crc, byte), 1, 2, 3, 4, 5, 6, 7, 8], lambda x, i:
+                   CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS crc
+    FROM documents),
+leaves AS (
+    SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+           CASE WHEN xor(crc, 4294967295) % 7 = 0
+                THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS claimed
+    FROM fields),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n
+    FROM leaves),
+nodes(lang, level, place, n, d) AS (
+    SELECT lang, 0, place, n, leaf FROM ranked
+    UNION ALL
+    SELECT lang, level + 1, place // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY place))
+    FROM nodes WHERE n > 1 GROUP BY lang, level, place // 2, n),
+subroots AS (
+    SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS spot, count(*) OVER () AS m FROM nodes WHERE n = 1),
+tops(level, place, m, d) AS (
+    SELECT 0, spot, m, subroot FROM subroots
+    UNION ALL
+    SELECT level + 1, place // 2, (m + 1) // 2, sha256(string_agg(d, '' ORDER BY place)) FROM tops WHERE m > 1 GROUP BY level, place // 2, m),
+steps AS (
+    SELECT r.lang, r.place, n.level AS step, coalesce(CASE WHEN s.place < n.place THEN 'L' ELSE 'R' END || s.d, 'N') AS move
+    FROM ranked r JOIN nodes n ON n.lang IS NOT DISTINCT FROM r.lang AND n.place = r.place >> n.level AND n.n > 1
+    LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM n.lang AND s.level = n.level AND s.place = xor(n.place, 1)
+    UNION ALL
+    SELECT r.lang, r.place, 1000 + n.level, coalesce(CASE WHEN s.place < n.place THEN 'L' ELSE 'R' END || s.d, 'N')
+    FROM ranked r JOIN subroots b ON b.lang IS NOT DISTINCT FROM r.lang JOIN tops n ON n.place = b.spot >> n.level AND n.m > 1
+    LEFT JOIN tops s ON s.level = n.level AND s.place = xor(n.place, 1)),
+paths AS (SELECT lang, place, list(move ORDER BY step) AS moves FROM steps GROUP BY lang, place),
+proved AS (
+    SELECT r.doc_id, r.leaf, b.subroot, (SELECT d FROM tops WHERE m = 1) AS root,
+           sha256(array_to_string(list_transform(coalesce(p.moves, []), lambda x: substr(x, 2)), '')) AS proof_sha256,
+           list_reduce(list_prepend(coalesce(r.claimed, r.leaf), coalesce(p.moves, [])), lambda a, x: sha256(
+               CASE x[1] WHEN 'L' THEN substr(x, 2) || a WHEN 'R' THEN a || substr(x, 2) ELSE a END)) AS folded_root
+    FROM ranked r JOIN subroots b ON b.lang IS NOT DISTINCT FROM r.lang
+    LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM r.lang AND p.place = r.place)
+SELECT *, folded_root = root AS verified FROM proved
+"""
+
+ORACLE = {"op11_manifest": _OP11, "op1_decontamination": _OP1, "op5_repeated_passages": _OP5, "op9_mixing": _OP9}
