@@ -62,9 +62,13 @@ def summary(audit: DataFrame) -> DataFrame:
 
 
 def risk_summary(audit: DataFrame) -> DataFrame:
-    """Summary with the share of blocked prompts, rounded half up to whole percent."""
+    return with_block_rate(summary(audit))
+
+
+def with_block_rate(totals: DataFrame) -> DataFrame:
+    """A summary with the share of blocked prompts, rounded half up to whole percent."""
     percent = F.floor(F.try_divide(F.col("blockedPrompts").cast("double"), F.col("totalPrompts")) * 100 + F.lit(0.5))
-    return summary(audit).withColumn(
+    return totals.withColumn(
         "blockRate",
         F.when(F.col("totalPrompts") > 0, F.concat(percent.cast("bigint").cast("string"), F.lit("%"))).otherwise("0%"))
 

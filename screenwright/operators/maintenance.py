@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenwright.operators.lookups import lookup_join
 
 # Fixed values of the backfill: tokens assumed for an answer and the blended price of a token in US dollars.
 LEGACY_RESPONSE_TOKENS = 300
@@ -133,13 +132,6 @@ def rekey(df: DataFrame, mapping: list[tuple[str, str]], column: str = "user_id"
     return df.withColumn(column, chain)
 
 
-def rekey_by_table(df: DataFrame, aliases: DataFrame, column: str = "user_id") -> DataFrame:
-    """The same with the mapping in a table of (alias, org_id)."""
-    mapping = aliases.select(F.col("alias").alias(column), F.col("org_id").cast("string").alias("_new"))
-    out = lookup_join(df, mapping, [column])
-    return out.withColumn(column, F.coalesce("_new", column)).select(*df.columns)
-
-
 def rekey_audit(audit: DataFrame, aliases=()) -> DataFrame:
     """Account slugs and organisation names become organisation ids."""
     return rekey(audit, [(old, org) for org, name, slug in aliases for old in (slug, name)])

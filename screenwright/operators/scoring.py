@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from screenwright import catalogue as C
@@ -135,3 +137,22 @@ def hits_per_detector(df: DataFrame) -> DataFrame:
     )
     return df.select(F.explode(per_prompt).alias("h")).groupBy("h.detector").agg(
         F.sum("h.n").alias("detections"), F.count(F.lit(1)).alias("prompts"))
+
+
+def observe_hits(df: DataFrame, detectors: tuple[str, ...], to: Observation | str) -> DataFrame:
+    """Count what ``hits_per_detector`` counts while the rows pass, without a pass of its own.
+
+    ``to`` is an ``Observation`` for a batch, read with ``observed_hits`` after the action that screens; for a stream it is
+    a name, under which each progress report has the metrics of its micro-batch.
+    """
+    def counted(name: str) -> list[Column]:
+        n = F.size(F.filter("detections", lambda d: d["detector"] == name))
+        return [F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(f"{name}_detections"), F.count_if(n > 0).alias(f"{name}_prompts")]
+
+    return df.observe(to, *(metric for name in detectors for metric in counted(name)))
+
+
+def observed_hits(metrics: Mapping[str, int]) -> list[tuple[str, int, int]]:
+    """(detector, detections, prompts) of the detectors that reported something."""
+    names = [key.removesuffix("_detections") for key in metrics if key.endswith("_detections")]
+    return [(n, metrics[f"{n}_detections"], metrics[f"{n}_prompts"]) for n in names if metrics[f"{n}_detections"]]

@@ -15,7 +15,6 @@ POLICIES = (
     "id int, user_id string, sub_user string, keyword_list string, allow_col boolean, redacted_col boolean, "
     "critical_col boolean, block_col boolean, prompt_col string"
 )
-ALIASES = "alias string, org_id string, org_name string"
 AUDIT = (
     "id string, user_id string, tool string, browser_name string, original_prompt string, redacted_prompt string, "
     "highest_risk_type string, risk_score int, risk_level string, action string, action_reason string, "
@@ -25,6 +24,7 @@ AUDIT = (
 HEARTBEATS = (
     "userId string, subUser string, browserName string, extensionVersion string, status string, timestamp string"
 )
+HEARTBEATS_NORMAL = "org_label string, subUser string, browserName string, ts timestamp"
 ALERTS = "type string, userId string, message string, timestamp string"
 
 AUDIT_COLUMNS = tuple(field.split()[0] for field in AUDIT.split(", "))

@@ -21,6 +21,29 @@ def read_prompts_stream(spark: SparkSession, path: str, fmt: str = "json", files
     return reader.load(path)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_prompts_checked(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Requests as JSON lines, with ``_corrupt_record``: the line as it came where it is no JSON object of the schema.
+
+    Nothing is dropped: fields that could be read have their value, the others are null.
+    """
+    reader = (spark.readStream if stream else spark.read).schema(f"{schemas.PROMPTS}, {CORRUPT} string")
+    return reader.format("json").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).load(path)
+
+
+def write_checked(requests: DataFrame, path: str) -> None:
+    """Write sound and malformed requests to two sides of one table, in one pass over the input; also per micro-batch."""
+    requests.withColumn("malformed", F.col(CORRUPT).isNotNull()).write.mode("append").partitionBy("malformed").parquet(path)
+
+
+def read_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The sound requests, and the malformed lines."""
+    rows = spark.read.schema(f"{schemas.PROMPTS}, {CORRUPT} string, malformed boolean").parquet(path)
+    return rows.where(~F.col("malformed")).drop(CORRUPT, "malformed"), rows.where("malformed").select(CORRUPT)
+
+
 def read_dims(spark: SparkSession, path: str) -> Dimensions:
     """Users, organisations and policies from parquet tables below ``path``."""
     return Dimensions(

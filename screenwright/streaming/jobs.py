@@ -6,6 +6,7 @@ import bisect
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from screenwright.operators.analytics import count_if
 from screenwright.plans.screening import Dimensions, Options, audit
 from screenwright.sources.tables import write_audit
+from screenwright.streaming.batches import BatchLog
 
 HEARTBEAT_SECONDS = 30
 
@@ -34,22 +36,32 @@ def screen_stream(
 ) -> StreamingQuery:
     """Screen requests as they arrive and append audit rows to the same table as batch jobs.
 
-    Only the first batch after a start can be one that was written before; its rows are compared with the ids of the
-    table, so a restart neither loses nor repeats rows. Later batches are appended as they are.
+    Beside the checkpoint lies the sink's own log of batches (``BatchLog``). A batch that it holds as written is not written
+    again; one that was begun, or the first of a log, may be in the table and is compared with its ids; others are
+    appended as they are. So a restart, whenever it was stopped, neither loses nor repeats rows. A second run of the same
+    query on the same checkpoint takes the sink over, and the first one fails at its next batch.
     """
-    started = []
-
-    def append(rows: DataFrame, _batch: int) -> None:
-        if started:
-            return write_audit(rows, path, check=False)
-        rows.persist()
-        write_audit(rows, path)
-        rows.unpersist()
-        started.append(True)
+    where = checkpoint_dir(requests.sparkSession, name, checkpoint)
+    log = BatchLog(requests.sparkSession, f"{where}/sink")
+    log.take_over()
+
+    def append(rows: DataFrame, batch: int) -> None:
+        log.still_mine()
+        state = log.state(batch)
+        if state == "written":
+            return
+        log.begin(batch)
+        if state == "new":
+            write_audit(rows, path, check=False)
+        else:
+            rows.persist()
+            write_audit(rows, path)
+            rows.unpersist()
+        log.written(batch)
 
     return (
         audit(requests, dims, options).writeStream.outputMode("append").foreachBatch(append)
-        .option("checkpointLocation", checkpoint_dir(requests.sparkSession, name, checkpoint))
+        .option("checkpointLocation", where)
         .trigger(**(trigger or {"processingTime": "10 seconds"})).start()
     )
 
@@ -121,6 +133,57 @@ def with_liveness(seen: DataFrame, now, missed: int = 3) -> DataFrame:
     return seen.withColumn("stale", at - F.col("last_seen") > F.make_dt_interval(secs=F.lit(missed * HEARTBEAT_SECONDS)))
 
 
+def note_beats(key, batches: Iterator[pd.DataFrame], state, silent: int) -> Iterator[pd.DataFrame]:
+    """Changes of one client: it turns live with a heartbeat after silence, and stale ``silent`` after its last one
+    (microseconds)."""
+    last, stale = state.get if state.exists else (None, True)
+    changes: list[tuple[int, str]] = []
+    if state.hasTimedOut:
+        changes.append((last + silent, "stale"))
+        stale = True
+    else:
+        times = np.sort(np.concatenate([b["_at"].to_numpy(np.int64) for b in batches]))
+        times = times[times > last] if last is not None else times
+        if len(times):
+            if last is not None and not stale and times[0] - last > silent:
+                changes.append((last + silent, "stale"))
+                stale = True
+            if stale:
+                changes.append((int(times[0]), "live"))
+            for i in np.flatnonzero(np.diff(times) > silent):
+                changes += [(int(times[i]) + silent, "stale"), (int(times[i + 1]), "live")]
+            last, stale = int(times[-1]), False
+    due = -(-(last + silent) // 1000) if last is not None else 0  # timers count whole milliseconds
+    if last is not None and not stale and due < state.getCurrentWatermarkMs():
+        changes.append((last + silent, "stale"))
+        stale = True
+    if last is not None:
+        state.update((last, stale))
+    if not stale:
+        state.setTimeoutTimestamp(due)
+    if changes:
+        yield pd.DataFrame({"org_label": key[0], "subUser": key[1], "browserName": key[2],
+                            "changed_at": pd.to_datetime([at for at, _ in changes], unit="us", utc=True), "change": [c for _, c in changes]})
+
+
+def liveness_changes(heartbeats: DataFrame, missed: int = 3, late: str = "1 minute") -> DataFrame:
+    """A stream of changes: ``live`` when a client is first heard or heard again, ``stale`` once it has missed more than
+    ``missed`` heartbeats.
+
+    Silence sends no row, so a timer per client on the watermark reports it: the stale row comes by itself when the heartbeats
+    of others have moved the time far enough, and once. The changes do not depend on how heartbeats fall into batches. A
+    heartbeat later than ``late``, or older than the last one of its client, changes nothing; one without a time neither.
+    The state is a time and a flag a client.
+    """
+    timed = heartbeats.select("org_label", "subUser", "browserName", F.col("ts").cast("timestamp").alias("ts")).where("ts IS NOT NULL")
+    timed = timed.withWatermark("ts", late).withColumn("_at", F.unix_micros("ts"))
+    silent = missed * HEARTBEAT_SECONDS * 1_000_000
+    return timed.groupBy("org_label", "subUser", "browserName").applyInPandasWithState(
+        lambda key, batches, state: note_beats(key, batches, state, silent),
+        "org_label string, subUser string, browserName string, changed_at timestamp, change string", "last bigint, stale boolean",
+        "append", "EventTimeTimeout")
+
+
 def windowed_actions(audit_rows: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Rows per action and time window of the event."""
     source = audit_rows.withWatermark("created_at", late) if audit_rows.isStreaming else audit_rows

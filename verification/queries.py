@@ -5,18 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from screenwright import catalogue as C
 from screenwright.functions.text import contains_any, first_match, is_blank, normalise, regex
 from screenwright.functions.detections import first_keyword
 from screenwright.functions.tokens import cost, count_tokens, response_tokens
+from screenwright.operators import aliases as L
 from screenwright.operators import analytics as A
 from screenwright.operators import maintenance as M
 from screenwright.operators import prepare as P
 from screenwright.operators import quality as Q
+from screenwright.operators import rollup as U
 from screenwright.operators.audit import storable
 from screenwright.operators.detectors import CORE, EXTRA, add_text_columns, detect, jwt_claims
 from screenwright.operators.org_policy import detect_org_keywords
@@ -25,14 +28,26 @@ from screenwright.operators.scoring import (
     enforce,
     explode_detections,
     hits_per_detector,
+    observe_hits,
+    observed_hits,
     placeholder,
     response,
 )
 from screenwright.plans.screening import Options, audit, screen
 from screenwright.plans.upkeep import maintain
 from screenwright.schemas import AUDIT as AUDIT_SCHEMA
-from screenwright.schemas import conform_audit
-from screenwright.sources.tables import read_audit, read_dims, read_prompts, read_prompts_stream, write_audit, write_dims
+from screenwright.schemas import HEARTBEATS_NORMAL, conform_audit
+from screenwright.sources.tables import (
+    read_audit,
+    read_checked,
+    read_dims,
+    read_prompts,
+    read_prompts_checked,
+    read_prompts_stream,
+    write_audit,
+    write_checked,
+    write_dims,
+)
 from screenwright.streaming import jobs as R
 from verification import bindings as B
 from verification import oracle as O
@@ -979,3 +994,179 @@ FROM (SELECT time_bucket(INTERVAL '5 minutes', created_at) AS w, action FROM aud
 def windowed_actions(spark, sf):
     return R.windowed_actions(audit_table(spark, sf)).withColumns({
         "window_start": stamp("window_start"), "window_end": stamp("window_end")})
+
+
+CHANGES_SPLIT = "2024-01-15 00:00:00"
+
+
+@query("r4_liveness_changes", over(BEATS_SQL, f"""
+SELECT org_label, "subUser", "browserName", {stamp_sql('changed_at')} AS changed_at, change FROM (
+  WITH told AS (
+    SELECT DISTINCT org_label, "subUser", "browserName", ts FROM beats),
+  near AS (SELECT *, lag(ts) OVER w AS before, lead(ts) OVER w AS after, max(ts) OVER () AS newest FROM told
+    WINDOW w AS (PARTITION BY org_label, "subUser", "browserName" ORDER BY ts))
+  SELECT *, ts AS changed_at, 'live' AS change FROM near WHERE before IS NULL OR ts - before > INTERVAL 90 SECONDS
+  UNION ALL SELECT *, ts + INTERVAL 90 SECONDS AS changed_at, 'stale' AS change FROM near
+  WHERE after - ts > INTERVAL 90 SECONDS OR (after IS NULL AND ts + INTERVAL 90 SECONDS < newest - INTERVAL 1 MINUTE))"""))
+def liveness_changes(spark, sf):
+    """Heartbeats in two runs of one stream, by time; what fell silent is reported by timers."""
+    path, source = shared_folder(spark, "liveness"), beats(spark, sf).select(
+        "org_label", "subUser", "browserName", F.col("ts").cast("timestamp").alias("ts"))
+    split = F.lit(CHANGES_SPLIT).cast("timestamp")
+    for rows in (source.where(F.col("ts") < split), source.where(F.col("ts") >= split)):
+        rows.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(HEARTBEATS_NORMAL).parquet(f"{path}/in")
+        R.liveness_changes(stream).writeStream.format("parquet").option("path", f"{path}/out").option(
+            "checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(f"{HEARTBEATS_NORMAL.replace('ts timestamp', 'changed_at timestamp')}, change string").parquet(
+        f"{path}/out").withColumn("changed_at", stamp("changed_at"))
+
+
+@query("r1_stream_repeated_batch", STREAMED_SQL)
+def stream_repeated_batch(spark, sf):
+    """The driver is lost before the sink and the stream note that a batch is written: it comes again, and nothing is written
+    twice."""
+    path, source = shared_folder(spark, "stream"), written_requests(spark, sf)
+
+    def run():
+        R.screen_stream(read_prompts_stream(spark, source, "parquet"), B.dims(spark, sf), f"{path}/audit",
+                        checkpoint=f"{path}/checkpoint", options=Options(aliases=B.ALIASES), availableNow=True).awaitTermination()
+
+    run()
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for lost in ("commits/0", "sink/written-0"):
+        assert files.delete(place(f"{path}/checkpoint/{lost}"), False)
+    run()
+    return read_audit(spark, f"{path}/audit").select(
+        "id", "user_id", "risk_score", "action", "tokens_used", "tokens_saved", stamp("created_at").alias("created_at"))
+
+
+@query("x8_detector_hits_observed", ORACLE["x8_detector_hits"])
+def detector_hits_observed(spark, sf):
+    """Counted while the rows are screened and written, without a second pass."""
+    seen = Observation("hits")
+    rows = observe_hits(scored(spark, sf, "extended"), (*CORE, "org", *EXTRA), seen)
+    rows.select("request_id", "risk_score", "action").write.parquet(shared_folder(spark, "screened"))
+    return spark.createDataFrame(observed_hits(seen.get), "detector string, detections bigint, prompts bigint")
+
+
+@query("s1_malformed_requests", over(BASE, f"""
+, lines AS (SELECT request_id, CAST(hash(request_id) AS VARCHAR) AS h, ts, length(prompt) AS chars,
+    CASE WHEN request_id LIKE 'd%' THEN CAST(substr(request_id, 2) AS BIGINT) % 5 ELSE 9 END AS kind FROM requests)
+SELECT CASE WHEN kind < 2 THEN 'malformed' ELSE 'sound' END AS side, count(*) AS n,
+  CAST(sum(CASE WHEN kind >= 2 THEN coalesce(chars, 0) END) AS BIGINT) AS chars FROM lines GROUP BY ALL""".replace(chr(10) + ", lines", ", lines")))
+def malformed_requests(spark, sf):
+    """Requests as JSON lines, of which two fifths of the documents' are cut off or hold a time that is none."""
+    path = shared_folder(spark, "lines")
+    rows = B.requests(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    line = F.to_json(F.struct(*rows.columns))
+    kind = F.when(F.startswith("request_id", F.lit("d")), F.substring("request_id", 2, 20).cast("bigint") % 5).otherwise(9)
+    broken = F.when(kind == 0, F.substring(line, 1, 40)).when(kind == 1, F.regexp_replace(line, '"ts":"[^"]*"', '"ts":"no time"')).otherwise(line)
+    rows.select(broken.alias("value")).write.text(f"{path}/in")
+    write_checked(read_prompts_checked(spark, f"{path}/in"), f"{path}/out")
+    sound, malformed = read_checked(spark, f"{path}/out")
+    return sound.select(F.lit("sound").alias("side"), F.length("prompt").alias("c")).unionByName(
+        malformed.select(F.lit("malformed").alias("side"), F.lit(None).cast("int").alias("c"))).groupBy("side").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("side") == "sound", F.coalesce("c", F.lit(0)))).alias("chars"))
+
+
+@query("s1_failed_open", over(BASE, """SELECT 'ALLOW' AS action, count(*) AS n FROM requests
+WHERE request_id LIKE 'd%' AND CAST(substr(request_id, 2) AS BIGINT) % 5 = 0"""))
+def failed_open(spark, sf):
+    """Requests of which nothing can be read are let through, as those that could not be scored are."""
+    path = shared_folder(spark, "lines")
+    rows = B.requests(spark, sf).where("request_id LIKE 'd%' AND CAST(substr(request_id, 2) AS BIGINT) % 5 = 0")
+    rows.select(F.substring(F.to_json(F.struct("request_id", "prompt")), 1, 12).alias("value")).write.text(path)
+    return screen(read_prompts_checked(spark, path).drop("_corrupt_record"), B.dims(spark, sf)).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Reports from daily sums: three batches add their rows, and what was added is compacted.
+
+ROLLUPS: dict[tuple[str, str], str] = {}
+
+
+def rollup_table(spark: SparkSession, sf: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in ROLLUPS:
+        path, rows = shared_folder(spark, "rollup"), audit_table(spark, sf)
+        for k in range(3):
+            U.add_to_rollup(rows.where(F.pmod(F.xxhash64("id"), F.lit(3)) == k), f"{path}/added")
+        U.compact(spark, f"{path}/added", f"{path}/days")
+        ROLLUPS[key] = f"{path}/days"
+    return U.read_rollup(spark, ROLLUPS[key])
+
+
+for _name, _report in {
+    "a1_total": U.total_count, "a2_blocked": lambda r: U.count_for_action(r, "BLOCK"), "a3_by_tool": U.count_by_tool,
+    "a4_by_risk_type": U.count_by_risk_type, "a5_top_users": U.top_users, "a6_summary": U.summary,
+    "a7_risk_summary": U.risk_summary, "a8_user_stats": lambda r: U.user_stats(r, "telecomm-user", B.ALIASES),
+}.items():
+    query(f"{_name}_from_rollup", ORACLE[_name])(lambda spark, sf, report=_report: report(rollup_table(spark, sf)))
+
+
+@query("a6_summary_of_period", over(AUDIT, f"""
+SELECT {SUMMARY_SQL} FROM audit WHERE created_at >= TIMESTAMP '2024-01-02 00:00:00' AND created_at < TIMESTAMP '2024-01-04 00:00:00'"""))
+def summary_of_period(spark, sf):
+    rollup_table(spark, sf)
+    path = ROLLUPS[spark.sparkContext.applicationId, sf]
+    return U.summary(U.read_rollup(spark, path, date(2024, 1, 2), date(2024, 1, 3)))
+
+
+# Organisation aliases as a table: one organisation an order, some of which share a name; the first in order counts.
+
+FIRMS = ["CAST(o_orderkey AS INT) AS seq", "CAST(200000 + o_orderkey AS STRING) AS org_id",
+         "'Firm ' || CAST(o_orderkey % 6000 AS STRING) AS org_name", "'firm-' || CAST(o_orderkey AS STRING) || '-User' AS slug"]
+CALLERS = ["CAST(o_orderkey AS STRING) AS caller",
+           "CASE o_orderkey % 9 WHEN 0 THEN CAST(200000 + o_orderkey AS STRING) WHEN 1 THEN 'FIRM ' || CAST(o_orderkey % 7000 AS STRING) "
+           "WHEN 2 THEN 'firm-' || CAST(o_orderkey AS STRING) || '-User' WHEN 3 THEN 'FIRM-' || CAST(o_orderkey AS STRING) || '-user' "
+           "WHEN 4 THEN 'Firm ' || CAST(o_orderkey % 6000 AS STRING) WHEN 5 THEN NULL WHEN 6 THEN ' ' WHEN 7 THEN 'anonymous-user' "
+           "ELSE 'somebody' END AS user_id",
+           "CASE o_orderkey % 5 WHEN 0 THEN 'FIRM-' || CAST(o_orderkey % 4000 AS STRING) || '-USER' WHEN 1 THEN NULL ELSE 'user1' END AS sub_user"]
+
+
+def firms(spark: SparkSession, sf: str) -> DataFrame:
+    return L.alias_index(B.read(spark, sf, "orders").selectExpr(*FIRMS))
+
+
+def callers(spark: SparkSession, sf: str) -> DataFrame:
+    return B.read(spark, sf, "orders").selectExpr(*CALLERS)
+
+
+def met_sql(name: str, *tests: tuple[str, str]) -> str:
+    """The first organisation that one of some equalities finds, as a table of (caller, org_id, org_name)."""
+    found = " UNION ALL ".join(f"SELECT caller, seq, org_id, org_name FROM callers c JOIN firms f ON {a} = {b}" for a, b in tests)
+    return f"{name} AS (SELECT caller, arg_min(org_id, seq) AS org_id, arg_min(org_name, seq) AS org_name FROM ({found}) GROUP BY caller)"
+
+
+FIRMS_SQL = (f"firms AS (SELECT {', '.join(FIRMS)} FROM orders), callers AS (SELECT {', '.join(CALLERS)} FROM orders)")
+ID, NAME, SLUG = ("user_id", "org_id"), ("lower(user_id)", "lower(org_name)"), ("lower(user_id)", "lower(slug)")
+SUB_SLUG = ("lower(sub_user)", "lower(slug)")
+
+
+def table_queries(name: str, sql: str, run: Callable[..., DataFrame]) -> None:
+    """The same with the table broadcast and shuffled."""
+    for suffix, small in (("", True), ("_shuffled", False)):
+        query(f"{name}_by_table{suffix}", f"WITH {FIRMS_SQL}, {sql}")(
+            lambda spark, sf, small=small: run(callers(spark, sf), firms(spark, sf), small=small))
+
+
+table_queries("p5a_canonical_user", met_sql("met", ID, NAME, SLUG, SUB_SLUG) + f"""
+SELECT caller, coalesce(org_name, CASE WHEN user_id IS NULL OR {O.trim('user_id')} = '' THEN 'anonymous-user' ELSE user_id END) AS user_id
+FROM callers LEFT JOIN met USING (caller)""", lambda c, i, small: L.canonical_user_by_table(c, i, small).select("caller", "user_id"))
+table_queries("p5b_heartbeat_label", met_sql("by_sub", SUB_SLUG) + ", " + met_sql("by_user", ID, NAME, ("user_id", "slug")) + """
+SELECT caller, coalesce(s.org_name, u.org_name, user_id) AS org_label
+FROM callers LEFT JOIN by_sub s USING (caller) LEFT JOIN by_user u USING (caller)""",
+              lambda c, i, small: L.heartbeat_label_by_table(c, i, "org_label", "user_id", "sub_user", small).select("caller", "org_label"))
+table_queries("p5c_analytics_id", met_sql("met", ID, NAME, SLUG) + """
+SELECT caller, coalesce(org_name, user_id) AS resolved FROM callers LEFT JOIN met USING (caller)""",
+              lambda c, i, small: L.analytics_id_by_table(c, i, "resolved", small=small).select("caller", "resolved"))
+table_queries("p5d_alternate_id", met_sql("met", NAME) + """
+SELECT caller, coalesce(org_id, user_id) AS alternate FROM callers LEFT JOIN met USING (caller)""",
+              lambda c, i, small: L.alternate_id_by_table(c, i, "alternate", small=small).select("caller", "alternate"))
+table_queries("m10_rekey_audit", met_sql("met", ("user_id", "slug"), ("user_id", "org_name")) + """
+SELECT caller, coalesce(org_id, user_id) AS user_id FROM callers LEFT JOIN met USING (caller)""",
+              lambda c, i, small: L.rekey_audit_by_table(c, i, small).select("caller", "user_id"))
+table_queries("m11_rekey_policies", met_sql("met", ("user_id", "slug")) + """
+SELECT caller, coalesce(org_id, user_id) AS user_id FROM callers LEFT JOIN met USING (caller)""",
+              lambda c, i, small: L.rekey_policies_by_table(c, i, small).select("caller", "user_id"))
