@@ -6,8 +6,13 @@ report the keyword. Without a report, or after a stop, the intent layer runs.
 
 The policy table is folded to one row per organisation and looked up. Below a measured bound that is a broadcast and
 prompts are not moved; above it, prompts meet the folded rows in one salted join. Either way every prompt is judged by
-the same expressions in its own row, so the plans agree, need no request id and run in streams as well. The policies of
-one organisation travel in one row.
+the same expressions in its own row, so the plans agree, need no request id and run in streams as well.
+
+An organisation of more than ``CHUNK_WORDS`` keywords does not travel in one row where policies are not broadcast. Its
+keywords are cut into chunks by digest; each distinct text meets each chunk, which gives the first keyword it has of every
+policy, up to its first stop. Such parts merge in any order: the first keyword of a policy is the smallest of the
+parts, and so is the stop. Requests take the merged hits by the digest of what decides them. This needs a batch (a stream
+judges its micro-batches, see ``screen_stream``) and takes the ids of an organisation's policies to be unique.
 """
 
 from __future__ import annotations
@@ -25,11 +30,13 @@ from screenwright.functions.detections import (
 )
 from screenwright.functions.reuse import built_once
 from screenwright.functions.text import is_blank, java_trim, let
-from screenwright.operators.lookups import BROADCAST_BYTES, is_small, lookup_join
+from screenwright.operators.lookups import BROADCAST_BYTES, bucket, is_small, lookup_join
 
 POLICY_ROWS = 100_000
 # A folded keyword stands in its row as written, lowered and as a needle.
 POLICY_BYTES = BROADCAST_BYTES // 4
+# Keywords in one row, about: a chunk of a large organisation, or all of another one.
+CHUNK_WORDS = 20_000
 
 
 def effect(allow: Column, block: Column, critical: Column, redact: Column) -> Column:
@@ -79,14 +86,66 @@ def org_intent(prompt: Column, norm: Column, inquiry: Column, mode: str) -> Colu
 
 def with_direct_hits(df: DataFrame, policies: DataFrame, small: bool) -> DataFrame:
     """Add ``_hits`` (detections before any stop) and ``_stopped``; ``small`` policies are broadcast."""
-    folded = clean_policies(policies).groupBy("org_key").agg(
-        F.array_sort(F.collect_list(F.struct("id", "policy_sub_user", "effect", "words"))).alias("_policies"))
     matched, stop, hits = hit_columns()
+    cleaned = clean_policies(policies)
+    large = None if small or df.isStreaming else large_organisations(cleaned)
+    if large is not None:
+        cleaned = cleaned.join(large, "org_key", "left_anti")
+    folded = cleaned.groupBy("org_key").agg(
+        F.array_sort(F.collect_list(F.struct("id", "policy_sub_user", "effect", "words"))).alias("_policies"))
     joined = lookup_join(df, folded, ["org_key"], small=small).withColumn("_matched", matched).drop("_policies")
+    if large is not None:
+        joined = with_chunked_matches(joined, df, clean_policies(policies), large)
     return joined.withColumn("_stop", stop).withColumns({"_stopped": F.col("_stop") > 0, "_hits": hits}).drop(
         "_matched", "_stop")
 
 
+def large_organisations(cleaned: DataFrame) -> DataFrame | None:
+    """(org_key, _chunks) of the organisations whose keywords do not go into one row; None if there are none."""
+    words = F.sum(F.coalesce(F.size("words"), F.lit(0)))
+    large = cleaned.groupBy("org_key").agg(F.ceil(words / CHUNK_WORDS).cast("int").alias("_chunks")).where(
+        "org_key IS NOT NULL AND _chunks > 1")
+    return None if large.isEmpty() else large
+
+
+def with_chunked_matches(joined: DataFrame, df: DataFrame, cleaned: DataFrame, large: DataFrame) -> DataFrame:
+    """Set ``_matched`` of the requests of large organisations, from chunks of their keywords."""
+    spread = cleaned.join(large, "org_key").select(
+        "org_key", "id", "policy_sub_user", "effect", "_chunks", F.posexplode("words").alias("pos", "w"))
+    chunk = bucket(F.xxhash64("id", "pos"), F.col("_chunks")).alias("_chunk")
+    chunks = spread.groupBy("org_key", chunk).agg(F.collect_list(
+        F.struct("id", "policy_sub_user", "effect", "pos", "w")).alias("_words"))
+
+    # What decides, told apart by digest; the separator cannot occur in the hexadecimal parts.
+    parts = [F.coalesce(F.sha2(F.col(c), 256), F.lit("-")) for c in ("org_key", "sub_user", "_lower", "_norm")]
+    digest = F.sha2(F.concat_ws("|", *parts), 256)
+    texts = lookup_join(df.select("org_key", "sub_user", "_lower", "_norm"), large, ["org_key"]).where("_chunks IS NOT NULL")
+    texts = texts.withColumn("_text", digest).dropDuplicates(["_text"])
+    met = lookup_join(texts.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))),
+                      chunks, ["org_key", "_chunk"], salt_by="_text", how="inner", small=False)
+    policy = F.struct("id", "policy_sub_user", "effect")
+    found = met.select("_text", F.explode(chunk_hits()).alias("m")).select("_text", "m.*").groupBy("_text", policy.alias("p")).agg(
+        F.min_by("word", "pos").alias("word"))
+    found = found.groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("p", "word"))).alias("_found"))
+    of_large = F.transform("_found", lambda m: F.struct(m["p"]["effect"].alias("effect"), m["word"].alias("word")))
+
+    keyed = lookup_join(joined, large, ["org_key"]).withColumn("_text", F.when(F.col("_chunks").isNotNull(), digest))
+    return lookup_join(keyed, found, ["_text"], small=False).withColumn("_matched", F.coalesce(of_large, "_matched")).drop(
+        "_text", "_chunks", "_found")
+
+
+@built_once
+def chunk_hits() -> Column:
+    """The keywords of a chunk that the text holds, up to the chunk's first stop."""
+    lower, norm, sub = F.col("_lower"), F.col("_norm"), F.lower("sub_user")
+    held = F.transform(
+        F.filter("_words", lambda k: ((k["policy_sub_user"] == "*") | (k["policy_sub_user"] == sub)) & word_hit(k["w"], lower, norm)),
+        lambda k: F.struct(k["id"], k["policy_sub_user"], k["effect"], k["pos"], k["w"]["word"].alias("word")))
+    return let(held, lambda h: let(
+        F.array_min(F.transform(F.filter(h, lambda m: m["effect"] == "allow"), lambda m: m["id"])),
+        lambda stop: F.filter(h, lambda m: stop.isNull() | (m["id"] <= stop))))
+
+
 @built_once
 def hit_columns() -> tuple[Column, Column, Column]:
     """The policies that match, the position of the first that stops the search (0: none), and the detections."""

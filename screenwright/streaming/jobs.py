@@ -40,7 +40,11 @@ def screen_stream(
     again; one that was begun, or the first of a log, may be in the table and is compared with its ids; others are
     appended as they are. So a restart, whenever it was stopped, neither loses nor repeats rows. A second run of the same
     query on the same checkpoint takes the sink over, and the first one fails at its next batch.
+
+    Where policies are not broadcast, requests are screened batch by batch, so that hot keys are measured and large
+    organisations are met in chunks.
     """
+    broadcast = (options or Options()).policy_plan != "join" and dims.policies_small
     where = checkpoint_dir(requests.sparkSession, name, checkpoint)
     log = BatchLog(requests.sparkSession, f"{where}/sink")
     log.take_over()
@@ -51,16 +55,15 @@ def screen_stream(
         if state == "written":
             return
         log.begin(batch)
-        if state == "new":
-            write_audit(rows, path, check=False)
-        else:
-            rows.persist()
-            write_audit(rows, path)
+        again = not broadcast or state != "new"  # whether the batch is read more than once
+        rows = rows.persist() if again else rows
+        write_audit(rows if broadcast else audit(rows, dims, options), path, check=state != "new")
+        if again:
             rows.unpersist()
         log.written(batch)
 
     return (
-        audit(requests, dims, options).writeStream.outputMode("append").foreachBatch(append)
+        (audit(requests, dims, options) if broadcast else requests).writeStream.outputMode("append").foreachBatch(append)
         .option("checkpointLocation", where)
         .trigger(**(trigger or {"processingTime": "10 seconds"})).start()
     )

@@ -10,6 +10,7 @@ from screenwright.functions.text import normalise, utf16_length
 from screenwright.functions.tokens import cost, count_tokens, response_tokens
 from screenwright.operators import lookups
 from screenwright.operators.detectors import add_text_columns
+from screenwright.operators import org_policy
 from screenwright.operators.org_policy import detect_org_keywords
 from screenwright.operators.scoring import decide, redact, top_risk_type, total_score
 from screenwright.operators.prepare import with_org_key
@@ -77,6 +78,21 @@ def test_policies_match_the_rules_in_both_plans(spark, policy_case, plan):
             assert len(got[request_id]) == len(hits)
 
 
+def test_an_organisation_in_chunks_gives_the_same(spark, policy_case, monkeypatch):
+    """Every organisation of more than three keywords is cut; nulls, blanks and repeated texts included."""
+    policies, prompts = policy_case
+    prompts = [*prompts, *(("again" + p[0], *p[1:]) for p in prompts), ("n1", None, "user1", "alpha"), ("n2", "1", None, "alpha"),
+               ("n3", "1", "user1", None), ("n4", "1", "user1", " "), ("n5", "none", "user1", "alpha")]
+    df = add_text_columns(spark.createDataFrame(prompts, "request_id string, org_key string, sub_user string, prompt string"))
+    table = spark.createDataFrame([*policies, (999, "2", "*", None, False, False, False, True, "")], P)
+    want = detect_org_keywords(df, table, plan="broadcast").select("request_id", "_found_org").collect()
+    monkeypatch.setattr(org_policy, "CHUNK_WORDS", 3)
+    large = org_policy.large_organisations(org_policy.clean_policies(table)).collect()
+    assert large and max(r._chunks for r in large) > 2
+    got = detect_org_keywords(df, table, plan="join").select("request_id", "_found_org").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_policies_need_an_organisation_and_a_sub_user(spark):
     df = spark.createDataFrame([("a", None, "u", "alpha"), ("b", "1", None, "alpha")],
                                "request_id string, org_key string, sub_user string, prompt string")

@@ -483,6 +483,36 @@ query("d7_org_keywords", ORG_SQL)(org_query("broadcast"))
 query("d7_org_keywords_by_join", ORG_SQL)(org_query("join"))
 
 
+# One organisation whose policies hold all words of all documents as keywords; every user turn of a conversation is its own.
+HUGE_POLICIES = [
+    "CAST(doc_id + 1 AS INT) AS id", "'huge' AS user_id",
+    f"{B.pick(('*', 'user1', 'unknown', 'USER2'), 'doc_id')} AS sub_user", "replace(text, ' ', ',') AS keyword_list",
+    "doc_id % 211 = 105 AS allow_col", "doc_id % 3 = 0 AS redacted_col", "doc_id % 4 = 1 AS critical_col",
+    "doc_id % 5 = 2 AS block_col",
+]
+HUGE_SQL = over(f"""
+policies AS (SELECT {', '.join(HUGE_POLICIES)} FROM documents),
+turns AS (SELECT *, 'huge' AS org_key FROM (SELECT {', '.join(B.turn_requests(True))} FROM conversations WHERE role = 'user')),
+texts AS ({O.texts('turns')}),
+{O.ORG_HITS},
+found_org_too AS ({O.org_found('texts')})""", f"""
+SELECT request_id, CAST(len(found_org) AS INT) AS n_found, sha256({O.shown('found_org')}) AS found FROM found_org_too""")
+
+
+def huge_query(plan: str) -> Query:
+    def run(spark, sf):
+        turns = B.read(spark, sf, "conversations").where("role = 'user'").selectExpr(*B.turn_requests(False))
+        table = B.read(spark, sf, "documents").selectExpr(*HUGE_POLICIES)
+        keyed = add_text_columns(turns.repartition(spark.sparkContext.defaultParallelism).withColumn("org_key", F.lit("huge")))
+        found = detect_org_keywords(keyed, table, plan=plan)
+        return found.select("request_id", F.size("_found_org").alias("n_found"), F.sha2(shown("_found_org"), 256).alias("found"))
+
+    return run
+
+
+query("d7_huge_organization_by_chunks", HUGE_SQL)(huge_query("join"))
+
+
 # Combination, score, decision, redaction.
 
 @query("c1_detections", over(SCORED_ALL, """
