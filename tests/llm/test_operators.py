@@ -420,6 +420,51 @@ def test_main_text(spark):
     assert wrappers.digest(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def plain_constants(pages):
+    """Constant blocks of one host, counted in plain Python."""
+    read = [{k for k, _ in wrappers.blocks(wrappers.parse(p))} for p in set(pages)]
+    keys, places = {}, {}
+    for own in read:
+        for k in own:
+            keys[k] = keys.get(k, 0) + 1
+        for place in {k >> 32 for k in own}:
+            places[place] = places.get(place, 0) + 1
+    return sorted(k for k, n in keys.items() if n >= wrappers.LEAST and 2 * n > places[k >> 32])
+
+
+def test_names_do_not_lose_text(spark):
+    one = [(0, "https://a.example/", '<body><div class="content no-sidebar"><h1>T</h1><p>Text one</p></div></body>'),
+           (1, "https://b.example/", '<article><header class="entry-header"><h1>Title</h1></header><p>x</p></article>'),
+           (2, "https://c.example/", '<article><div class="article-header"><h1>Title</h1></div><p>y</p></article>'),
+           (3, "https://d.example/", '<article><section class="social policy"><p>Welfare</p></section></article>'),
+           (4, "https://e.example/", '<body><div class="ad-slot">buy</div><div id="comments">spam</div><div class="site-footer">c</div><p>kept</p></body>')]
+    got = {r["page_id"]: r["text"] for r in wrappers.digest(spark.createDataFrame(one, "page_id long, url string, html string")).collect()}
+    assert got == {0: "T Text one", 1: "Title x", 2: "Title y", 3: "Welfare", 4: "kept"}
+
+
+def test_constant_blocks_of_all_pages_go(spark):
+    """Paragraphs, menus and footers that never change go, from both page shapes of a host and without article or main; equal
+    pages, extra columns of clashing names and hosts of two pages change nothing."""
+    first = '<body><div class="x"><ul><li>Home<li>Shop</ul></div><div class="y"><h1>H{0}</h1><p>Body {0}</p><p>Subscribe to our letter today</p></div><div class="z">All rights reserved</div></body>'
+    other = '<body><table><tr><td>Home | Shop</td></tr></table><section><p>Other {0}</p></section><p>All rights reserved</p></body>'
+    pages = [(i, "https://a.example/x", first.format(i)) for i in range(12)]
+    pages += [(100 + i, "https://a.example/y", other.format(i)) for i in range(4)]
+    pages += [(200 + i, "https://b.example/", f"<body><p>Same</p><p>only {i}</p></body>") for i in range(2)]
+    pages += [(300 + i, "https://c.example/", "<body><p>All equal</p></body>") for i in range(5)]
+    frame = spark.createDataFrame([(*p, "k") for p in pages], "page_id long, url string, html string, constant string")
+    out = wrappers.extract(frame)
+    assert out.columns == ["page_id", "url", "html", "constant", "_found"]
+    got = {r["page_id"]: r["_found"]["text"] for r in out.collect()}
+    for i in range(12):
+        assert got[i] == f"H{i} Body {i}"
+    for i in range(4):
+        assert got[100 + i] == f"Other {i}"
+    assert [got[200 + i] for i in range(2)] == ["Same only 0", "Same only 1"]
+    assert {got[300 + i] for i in range(5)} == {"All equal"}
+    counted = {r["host"]: r["constant"] for r in wrappers.constants(frame, "url", "html").collect()}
+    assert counted == {"a.example": plain_constants([p[2] for p in pages[:16]])}
+
+
 def test_shared_folder_and_look_up(spark, docs, monkeypatch):
     assert shared_dir(spark)
     table = keep(spark.createDataFrame([(None, 1), ("s0", 2)], "source string, v int"), "t")
