@@ -29,7 +29,7 @@ from screenwright.functions.detections import (
     no_detections,
 )
 from screenwright.functions.reuse import built_once
-from screenwright.functions.text import is_blank, java_trim, let
+from screenwright.functions.text import is_blank, java_trim, let, settled
 from screenwright.operators.lookups import BROADCAST_BYTES, bucket, is_small, lookup_join
 
 POLICY_ROWS = 100_000
@@ -124,7 +124,8 @@ def with_chunked_matches(joined: DataFrame, df: DataFrame, cleaned: DataFrame, l
     met = lookup_join(texts.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))),
                       chunks, ["org_key", "_chunk"], salt_by="_text", how="inner", small=False)
     policy = F.struct("id", "policy_sub_user", "effect")
-    found = met.select("_text", F.explode(chunk_hits()).alias("m")).select("_text", "m.*").groupBy("_text", policy.alias("p")).agg(
+    # Settled, as the optimiser would work the hits out again to leave out rows without any.
+    found = met.select("_text", settled(chunk_hits()).alias("_held")).select("_text", F.explode("_held").alias("m")).select("_text", "m.*").groupBy("_text", policy.alias("p")).agg(
         F.min_by("word", "pos").alias("word"))
     found = found.groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("p", "word"))).alias("_found"))
     of_large = F.transform("_found", lambda m: F.struct(m["p"]["effect"].alias("effect"), m["word"].alias("word")))
