@@ -7,6 +7,8 @@ where several organisations share a name the first in order counts. ``alias_inde
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +23,19 @@ KINDS = {"id=": ("org_id", False), "name=": ("org_name", False), "name~": ("org_
 
 
 def alias_index(organisations: DataFrame) -> DataFrame:
-    """(kind, key, found): for each kind of name and each key the first organisation in order of ``seq``."""
-    named = F.array(*(F.struct(F.lit(kind).alias("kind"), (F.lower(field) if folded else F.col(field)).alias("key"))
-                      for kind, (field, folded) in KINDS.items()))
+    """(kind, key, found): for each kind of name and each key the first organisation in order of ``seq``.
+
+    Each kind is a part of its own, so that a look-up by some kinds works out no others.
+    """
     found = F.struct("seq", "org_id", "org_name")
-    return organisations.select(F.explode(named).alias("n"), found.alias("found")).where("n.key IS NOT NULL").groupBy(
-        "n.kind", "n.key").agg(F.min("found").alias("found"))
+    parts = [organisations.select(F.lit(kind).alias("kind"), (F.lower(field) if folded else F.col(field)).alias("key"), found.alias("found"))
+             for kind, (field, folded) in KINDS.items()]
+    return reduce(DataFrame.unionByName, parts).where("key IS NOT NULL").groupBy("kind", "key").agg(F.min("found").alias("found"))
+
+
+def index_small(index: DataFrame, *kinds: str) -> bool:
+    """Whether the rows of these kinds may be broadcast."""
+    return is_small(index.where(F.col("kind").isin(*kinds)).select("kind", "key", "found.org_id", "found.org_name"))
 
 
 def key_of(probe: Probe) -> Column:
@@ -39,9 +48,11 @@ def resolve(df: DataFrame, index: DataFrame, probes: list[Probe], to: str, small
 
     A small index is broadcast once a probe and ``df`` is not moved. Above the bound a batch looks every distinct set of
     keys up once, however often it occurs, and joins the outcome; a stream shuffles once a probe, hot keys in buckets.
+    The kinds that are probed are measured; ``small=True`` asks for the broadcast but does not lift the bound, as the
+    driver has to hold what it sends. ``small=False`` never broadcasts.
     """
-    if small is None:
-        small = is_small(index.select("kind", "key", "found.org_id", "found.org_name"))
+    kinds = sorted({kind for kind, _ in probes})
+    small = small is not False and index_small(index, *kinds)
     keys = [f"_key{i}" for i in range(len(probes))]
     keyed = df.withColumns({k: key_of(p) for k, p in zip(keys, probes, strict=True)})
     if not small and not df.isStreaming:
@@ -49,7 +60,7 @@ def resolve(df: DataFrame, index: DataFrame, probes: list[Probe], to: str, small
         keyed = keyed.withColumn("_keys", digest)
         named = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(k).alias("key")) for k, (kind, _) in zip(keys, probes, strict=True)))
         each = keyed.select("_keys", *keys).distinct().select("_keys", F.explode(F.array_distinct(named)).alias("n")).where("n.key IS NOT NULL")
-        met = each.select("_keys", "n.kind", "n.key").join(index, ["kind", "key"]).groupBy("_keys").agg(F.min("found").alias(to))
+        met = each.select("_keys", "n.kind", "n.key").join(index.where(F.col("kind").isin(*kinds)), ["kind", "key"]).groupBy("_keys").agg(F.min("found").alias(to))
         return lookup_join(keyed.drop(*keys), met, ["_keys"], small=False).drop("_keys")
     for i, (kind, _) in enumerate(probes):
         part = index.where(F.col("kind") == kind).select(F.col("key").alias(keys[i]), F.col("found").alias(f"_found{i}"))

@@ -51,6 +51,20 @@ def test_alias_look_up_moves_no_rows_where_the_table_is_small(spark):
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 4
 
 
+def test_alias_table_above_the_bound_is_not_broadcast_even_if_asked_for(spark):
+    """Of the kinds that are probed only: a name has few rows here, ids and slugs have too many."""
+    many = spark.range(150_000).selectExpr("CAST(id AS INT) AS seq", "CAST(id AS STRING) AS org_id", "concat('Firm ', id % 50) AS org_name",
+                                           "concat('slug-', id) AS slug")
+    index = L.alias_index(many)
+    frame = spark.createDataFrame([("149999", "x"), ("FIRM 3", None), (None, "SLUG-77777"), ("nobody", "user1")], "user_id string, sub_user string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = L.canonical_user_by_table(frame, index, True)
+    assert plan(found).count("BroadcastExchange") == plan(L.canonical_user_by_table(frame, index, False)).count("BroadcastExchange")
+    assert sorted(r.user_id for r in found.collect()) == ["Firm 27", "Firm 3", "Firm 49", "nobody"]
+    few = L.alternate_id_by_table(frame, index, "x", small=True)
+    assert "SortMergeJoin" not in plan(few) and sorted(r.x or "" for r in few.collect()) == ["", "149999", "3", "nobody"]
+
+
 def audit_rows(spark, n, day0="2024-01-01"):
     return spark.range(n).selectExpr(
         "CAST(id AS STRING) AS id", "concat('u', id % 3) AS user_id", "IF(id % 5 = 0, NULL, 'T') AS tool", "'PII' AS highest_risk_type",
