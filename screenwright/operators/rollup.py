@@ -35,8 +35,10 @@ def merged(rollup: DataFrame) -> DataFrame:
 
 
 def add_to_rollup(audit: DataFrame, path: str) -> None:
-    """Append the sums of a batch. The batch has to be new: sums, unlike audit rows, cannot tell what they hold."""
-    daily(audit).coalesce(1).write.mode("append").partitionBy("audit_date").parquet(path)
+    """Append the sums of a batch. The batch has to be new: sums, unlike audit rows, cannot tell what they hold.
+
+    The sums are gathered by day as audit rows are; no task adds up those of all days."""
+    daily(audit).hint("rebalance", "audit_date").write.mode("append").partitionBy("audit_date").parquet(path)
 
 
 def read_rollup(spark: SparkSession, path: str, first: date | None = None, last: date | None = None) -> DataFrame:

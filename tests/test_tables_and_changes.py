@@ -73,6 +73,19 @@ def audit_rows(spark, n, day0="2024-01-01"):
         f"IF(id % 11 = 0, NULL, timestamp'{day0}' + make_dt_interval(CAST(id % 4 AS INT))) AS created_at")
 
 
+def test_daily_sums_of_all_days_are_not_added_up_in_one_task(spark, tmp_path):
+    rows = audit_rows(spark, 300).withColumn("created_at", F.expr("timestamp'2024-01-01' + make_dt_interval(CAST(id % 40 AS INT))"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        U.add_to_rollup(rows, str(tmp_path / "added"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    tasks = {f.name.split("-")[1] for f in (tmp_path / "added").rglob("part-*.parquet")}
+    assert len(tasks) > 1
+    assert U.read_rollup(spark, str(tmp_path / "added")).agg(F.sum("prompts")).first()[0] == 300
+
+
 def test_daily_sums(spark, tmp_path):
     from screenwright.operators import analytics as A
 
