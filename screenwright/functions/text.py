@@ -1,15 +1,20 @@
 """Text preparation and matching as built-in column expressions.
 
-Three choices here decide how fast a scan over long prompts is:
+Four choices here decide how fast a scan over long prompts is:
 
 * A word list is tested with ``contains`` per word inside one higher-order function over a literal array. On 250 MB of
   prose that is about five times faster than one alternation regex, and the expression tree stays small.
+* A keyword, or its longest part without a space, lies inside one word of the normalised text. A frame that holds the
+  distinct words of some lengths (``long_words``) has keywords looked for among the words that are long enough for them,
+  which are few; the text itself is scanned only where such a part occurs.
 * A pattern that cannot match without some literal text is evaluated only where that text occurs (``gate``).
 * A value that is needed more than once is bound once with ``let`` instead of being repeated in every branch.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -20,6 +25,8 @@ from pyspark.sql import functions as F
 BLANK_CLASS = r"[\t-\r\x{1c}-\x{20}\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{2028}\x{2029}\x{205f}\x{3000}]"
 SEPARATORS = r"[.\-_*/|\\+=\[\]{}()]+"
 OTHER_SPACES = ("\t", "\n", "\x0b", "\f", "\r")
+# Words of at least so many bytes are kept apart for keywords that long (see ``long_words``).
+WORD_BYTES = (3, 5, 7, 9, 12)
 TRIMMED = "".join(chr(c) for c in range(0x21))
 
 
@@ -53,7 +60,9 @@ def java_trim(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """True for null, empty and white-space-only text."""
-    return text.isNull() | ~text.rlike(BLANK_CLASS.replace("[", "[^", 1))
+    other = BLANK_CLASS.replace("[", "[^", 1)
+    # Mostly the start settles it, and a pattern decodes all it is given.
+    return text.isNull() | (~F.substring(text, 1, 16).rlike(other) & ~text.rlike(other))
 
 
 def normalise(text: Column) -> Column:
@@ -77,14 +86,53 @@ def literals(values: Iterable[str]) -> Column:
     return F.split(F.lit("\x01".join(values)), "\x01")
 
 
-def contains_any(text: Column, words: Iterable[str]) -> Column:
+def long_words(norm: Column) -> Column:
+    """Normalised text, and its distinct words of at least as many bytes as each of ``WORD_BYTES`` says."""
+    def shown(words: Column) -> Column:
+        return F.array_join(words, " ")
+
+    def steps(words: Column, sizes: tuple[int, ...], *before: Column) -> Column:
+        if not sizes:
+            return F.array(norm, *before)
+        kept = F.filter(words, lambda w: F.octet_length(w) >= sizes[0])
+        return let(kept, lambda k: steps(k, sizes[1:], *before, shown(k)))
+
+    return steps(F.array_distinct(F.split(norm, " ")), WORD_BYTES)
+
+
+def part_of(word: str) -> str:
+    """The longest part of a keyword that stays as it is when a text that holds the keyword is normalised."""
+    return max(re.split(r"[\s.\-_*/|\\+=\[\]{}()]+", word.lower()), key=len)
+
+
+def tier_of(part: str) -> int:
+    """The position in ``long_words`` of the words long enough to hold ``part``."""
+    return sum(len(part.encode()) >= size for size in WORD_BYTES)
+
+
+def occurs_among(words: Column, entry: Column) -> Column:
+    """Whether the part of a listed keyword (fields ``tier`` and ``part``) lies in a word long enough for it."""
+    return F.contains(F.get(words, entry["tier"]), entry["part"])
+
+
+def contains_any(text: Column, words: Iterable[str], among: Column | None = None) -> Column:
     """Plain substring test against a list; stops at the first word found.
 
-    A word that contains another one of the list cannot change the answer and is not looked for.
+    A word that contains another one of the list cannot change the answer and is not looked for. ``among`` are the
+    ``long_words`` of the text that ``text`` is a form of (as written, lowered or normalised).
     """
     words = list(dict.fromkeys(words))
     needed = [w for w in words if not any(other != w and other in w for other in words)]
-    return F.exists(literals(needed), lambda w: F.contains(text, w))
+    if among is None:
+        return F.exists(literals(needed), lambda w: F.contains(text, w))
+    listed = [{"word": w, "part": part_of(w), "tier": tier_of(part_of(w))} for w in needed]
+    return F.exists(parsed(listed, "word:string,part:string,tier:int"),
+                    lambda e: occurs_among(among, e) & F.contains(text, e["word"]))
+
+
+def parsed(rows: list[dict], fields: str) -> Column:
+    """Fixed records as an array. The optimiser folds it to one literal."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -92,23 +140,27 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def first_match(
-    text: Column, pattern: str, gate: Iterable[str] = (), gate_text: Column | None = None, group: int = 0
+    text: Column, pattern: str, gate: Iterable[str] = (), gate_text: Column | None = None, group: int = 0,
+    among: Column | None = None,
 ) -> Column:
     """First match of ``pattern``, or the empty string.
 
-    ``gate`` lists literals of which at least one has to be in the text for the pattern to match at all.
+    ``gate`` lists literals of which at least one has to be in the text for the pattern to match at all; ``among`` as in
+    ``contains_any``.
     """
     found = F.regexp_extract(text, regex(pattern), group)
     gates = list(gate)
     if not gates:
         return found
     source = text if gate_text is None else gate_text
+    if among is not None and all(part_of(g) for g in gates):
+        return F.when(contains_any(source, gates, among), found).otherwise(F.lit(""))
     present = F.contains(source, F.lit(gates[0]))
     for literal in gates[1:]:
         present = present | F.contains(source, F.lit(literal))
     return F.when(present, found).otherwise(F.lit(""))
 
 
-def whole_words(text: Column, words: Iterable[str], pattern: str) -> Column:
+def whole_words(text: Column, words: Iterable[str], pattern: str, among: Column | None = None) -> Column:
     """Pattern of words with word boundaries, run only where one of the words occurs at all."""
-    return contains_any(text, words) & matches(text, pattern)
+    return contains_any(text, words, among) & matches(text, pattern)

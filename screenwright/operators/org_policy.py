@@ -72,16 +72,21 @@ def hit_detection(kind: Column, word: Column, org_key: Column) -> Column:
     return first_of(*[(kind == key, finding("org", key, word, detail)) for key in ("block", "critical", "redact")])
 
 
-def org_intent(prompt: Column, norm: Column, inquiry: Column, mode: str) -> Column:
-    signals = F.struct(
-        any_needle(norm, C.ORG_CIRCUMVENTION, " ", mode).alias("circumvention"),
-        any_needle(norm, C.ORG_DATA, " ", mode).alias("data"),
-    )
-    return F.when(inquiry, F.array(finding("org", "inquiry"))).otherwise(let(signals, lambda s: first_of(
+@built_once
+def org_signals(mode: str, worded: bool) -> Column:
+    """What the intent layer looks for; ``worded`` frames have ``_words``."""
+    norm, words = F.col("_norm"), F.col("_words") if worded else None
+    return F.struct(*(any_needle(norm, listed, " ", mode, words).alias(name) for name, listed in (
+        ("circumvention", C.ORG_CIRCUMVENTION), ("data", C.ORG_DATA), ("sharing", C.ORG_SHARING))))
+
+
+def org_intent(prompt: Column, inquiry: Column) -> Column:
+    s = F.col("_org_signals")
+    return F.when(inquiry, F.array(finding("org", "inquiry"))).otherwise(first_of(
         (s["circumvention"], finding("org", "circumvention", prompt)),
-        (s["data"] & any_needle(norm, C.ORG_SHARING, " ", mode), finding("org", "sharing", prompt)),
+        (s["data"] & s["sharing"], finding("org", "sharing", prompt)),
         (s["data"], finding("org", "data", prompt)),
-    )))
+    ))
 
 
 def with_direct_hits(df: DataFrame, policies: DataFrame, small: bool) -> DataFrame:
@@ -189,14 +194,16 @@ def detect_org_keywords(
         small = plan != "join" and policies_small(policies)
     if plan == "broadcast" and not small:
         raise ValueError("the policies are too large to be broadcast; use plan='join'")
+    # Looked for here, so that a join does not move the words.
+    df = df.withColumn("_org_signals", org_signals(mode, "_words" in df.columns))
     applied = with_direct_hits(df, policies, small)
-    return applied.withColumn("_found_org", found_org(prompt, mode)).drop("_hits", "_stopped")
+    return applied.withColumn("_found_org", found_org(prompt)).drop("_hits", "_stopped", "_org_signals")
 
 
 @built_once
-def found_org(prompt: str, mode: str) -> Column:
+def found_org(prompt: str) -> Column:
     nobody = F.col("org_key").isNull() | F.col("sub_user").isNull() | is_blank(F.col(prompt))
-    intent = org_intent(F.col(prompt), F.col("_norm"), F.col("_inquiry"), mode)
+    intent = org_intent(F.col(prompt), F.col("_inquiry"))
     found = F.when(nobody, no_detections()).when(
         ~F.col("_stopped") & (F.size("_hits") > 0), F.col("_hits")
     ).otherwise(F.concat(F.col("_hits"), intent))

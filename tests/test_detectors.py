@@ -1,9 +1,13 @@
 """Golden prompts per detector, and rules the golden prompts do not reach."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from screenwright import catalogue as C
+from screenwright.functions.detections import first_keyword
+from screenwright.functions.text import contains_any, long_words, normalise, part_of, tier_of
 from screenwright.operators.detectors import DETECTORS, add_text_columns, detect
 from screenwright.operators.org_policy import detect_org_keywords
 from screenwright.operators.scoring import decide, total_score
@@ -96,3 +100,24 @@ def test_long_prompts_are_scanned_to_the_end(spark):
     filler = "lorem ipsum " * 20_000
     found = run(spark, "personal", [filler + "123-45-6789"])
     assert found == [[(75, "123-45-6789")]]
+
+
+def test_keywords_are_found_among_long_words_as_in_the_text(spark):
+    """Keywords of any length, of several words, across separators, at both ends and in words of any script."""
+    rnd = random.Random(5)
+    words = ("i", "my", "otp", "ssn", "api key", "apikey", "system ", "rm -rf", "password", "source code", "here is", "authentication",
+             "db_password", "eyJ", "0x", "@", "what's wrong with", "new task:", "internationalisation")
+    fill = ["über", "xx", "naïvepassworden", "pass", "word", "a.p.i", "key", "\t", "\n", "--", "пароль", "Authentication", "re-authentications", ""]
+    texts = [rnd.choice(["", " ", "-", "."]).join(rnd.choice([*fill, *words]) for _ in range(rnd.randint(0, 8))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "prompt string").coalesce(1)
+    df = df.select("prompt", F.lower("prompt").alias("lower"), normalise(F.col("prompt")).alias("norm"))
+    df = df.withColumn("among", long_words(F.col("norm")))
+    asked = [(form, listed) for form in ("prompt", "lower", "norm") for listed in (words[:4], words[4:9], words[9:14], words[14:], ("my",), ("rm -rf",))]
+    found = [c for form, listed in asked for c in (contains_any(F.col(form), listed, F.col("among")), first_keyword(F.col(form), listed, F.col("among")))]
+    for row in df.select("prompt", "lower", "norm", *found).collect():
+        for k, (form, listed) in enumerate(asked):
+            held = [w for w in listed if w in row[form]]
+            assert (row[3 + 2 * k], row[4 + 2 * k]) == (bool(held), held[0] if held else None), (form, listed, row[form])
+    assert (part_of("rm -rf"), part_of("db_password"), tier_of("i"), tier_of("password")) == ("rm", "password", 0, 3)
+    among = df.where("norm LIKE '%authentication%'").select("among").first()[0]
+    assert all(len(w.encode()) >= 12 for w in among[5].split(" ") if w) and "authentication" in among[5]
