@@ -78,6 +78,20 @@ def test_policies_match_the_rules_in_both_plans(spark, policy_case, plan):
             assert len(got[request_id]) == len(hits)
 
 
+def test_a_text_meets_only_the_bands_before_its_stop(spark, monkeypatch):
+    """Bands rise with the ids of policies, so keywords far behind a stop are not compared with the text."""
+    monkeypatch.setattr(org_policy, "CHUNK_WORDS", 10)
+    policies = spark.range(200).selectExpr("CAST(id AS INT) AS id", "'7' AS user_id", "'*' AS sub_user", "concat('alpha,w', id) AS keyword_list",
+                                           "id = 20 AS allow_col", "true AS redacted_col", "false AS critical_col", "false AS block_col").coalesce(1)
+    cleaned = org_policy.clean_policies(policies)
+    placed = cleaned.join(org_policy.bands(cleaned), "org_key").select("id", org_policy.band_of(F.col("id")).alias("band")).orderBy("id").collect()
+    assert [r.band for r in placed] == sorted(r.band for r in placed) and len({r.band for r in placed}) > 20
+    assert max(r.id for r in placed if r.band <= placed[20].band) < 40
+    df = add_text_columns(spark.createDataFrame([("7", "u", "the alpha w150 plan")], "org_key string, sub_user string, prompt string").coalesce(1))
+    found = detect_org_keywords(df, policies, plan="join").first()._found_org
+    assert found == detect_org_keywords(df, policies, plan="broadcast").first()._found_org and len(found) == 20
+
+
 def test_an_organisation_in_chunks_gives_the_same(spark, policy_case, monkeypatch):
     """Every organisation of more than three keywords is cut; nulls, blanks and repeated texts included."""
     policies, prompts = policy_case
