@@ -124,7 +124,8 @@ def contains_any(text: Column, words: Iterable[str], among: Column | None = None
     words = list(dict.fromkeys(words))
     needed = [w for w in words if not any(other != w and other in w for other in words)]
     if among is None:
-        return F.exists(literals(needed), lambda w: F.contains(text, w))
+        # Bound, as the optimiser would work out a text that is used once again for each word.
+        return let(text, lambda t: F.exists(literals(needed), lambda w: F.contains(t, w)))
     listed = [{"word": w, "part": part_of(w), "tier": tier_of(part_of(w))} for w in needed]
     return F.exists(parsed(listed, "word:string,part:string,tier:int"),
                     lambda e: occurs_among(among, e) & F.contains(text, e["word"]))

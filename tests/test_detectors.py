@@ -121,3 +121,15 @@ def test_keywords_are_found_among_long_words_as_in_the_text(spark):
     assert (part_of("rm -rf"), part_of("db_password"), tier_of("i"), tier_of("password")) == ("rm", "password", 0, 3)
     among = df.where("norm LIKE '%authentication%'").select("among").first()[0]
     assert all(len(w.encode()) >= 12 for w in among[5].split(" ") if w) and "authentication" in among[5]
+
+
+def test_a_text_is_prepared_once_however_many_words_are_looked_for(spark):
+    """The optimiser must not put the preparation of a text used once into the search of each word."""
+    texts = spark.createDataFrame([("My Pass-Word",), (None,)], "prompt string").select(normalise(F.col("prompt")).alias("norm"))
+    listed = ("nothing", "password", "my")
+    found = texts.select(contains_any(F.col("norm"), listed).alias("any"), "norm").select(
+        "any", first_keyword(F.col("norm"), listed).alias("first"))
+    for one in (texts.select(contains_any(F.col("norm"), listed)), texts.select(first_keyword(F.col("norm"), listed))):
+        plan = one._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("regexp_replace" in part for part in plan.split("Contains(")[1:] if "lambda" not in part.split(",")[0])
+    assert [tuple(r) for r in found.collect()] == [(True, "password"), (False, None)]
