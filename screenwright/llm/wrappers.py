@@ -1,8 +1,11 @@
 """Main text of web pages by wrapper induction.
 
-A few pages of each host (the smallest by hash, so any number of pages gives as many) are parsed and their trees folded
-into one by simple tree matching: at every level, the children of two nodes are aligned in order so that the number of
-matching nodes below is largest; neighbours with the same tag and class are one repeated slot. In the folded tree, nodes
+All pages of each host are parsed and their trees folded into one by simple tree matching: at every level, the children of
+two nodes are aligned in order so that the number of matching nodes below is largest; neighbours with the same tag and
+class are one repeated slot. Pages of one shape add up where they are read; different shapes are merged in groups of
+``GROUP``, in the order of their digests, and the results again, so neither partitions nor order matter and no task holds
+all shapes of a host. A name on fewer than two pages, or than one page in ``RARE`` of its host, counts as none, so names
+that are new on each page do not make the tree grow. In the folded tree, nodes
 whose text never changes are template, the others are slots. The content is the region that holds the varying text
 outside links, menus, forms and the like; fixed blocks inside it, present on all pages, are template as well. Every
 page of the host is aligned with that tree, its content nodes give the text. Pages of hosts without a varying region, or
@@ -22,18 +25,22 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 from zlib import crc32
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, look_up, map_texts, ship
+from .common import keep, look_up, map_texts, mapped, ship
 
-#: Pages of a host that its wrapper is made from.
-PAGES = 6
+#: Trees that are merged in one group.
+GROUP = 64
+#: A name is known if it is on one page of its host in so many.
+RARE = 256
 DEEPEST = 120
 #: Different pages that a block has to be on before it can be called constant.
 LEAST = 3
@@ -158,16 +165,29 @@ def runs(node: Node) -> list[list[Node]]:
 
 
 class Slot:
-    """A node of the folded tree."""
+    """A node of the folded tree. Of its texts, the least and the greatest digest tell whether they differ."""
 
-    __slots__ = ("label", "children", "pages", "repeated", "texts", "chars", "mark")
+    __slots__ = ("label", "children", "pages", "repeated", "least", "most", "chars", "mark", "names")
 
     def __init__(self, label: tuple[str, str]) -> None:
         self.label, self.children, self.pages = label, [], 0
-        self.repeated, self.texts, self.chars, self.mark = False, set(), 0, ""
+        self.repeated, self.least, self.most, self.chars, self.mark = False, 1 << 32, -1, 0, ""
 
+    def varies(self) -> bool:
+        return self.least < self.most
 
-def aligned(own: list[list[Node]], slots: list[Slot]) -> tuple[int, list[tuple[int, int]]]:
+    def add(self, pages: int, repeated: bool, least: int, most: int, chars: int) -> None:
+        self.pages, self.repeated, self.chars = self.pages + pages, self.repeated or repeated, self.chars + chars
+        self.least, self.most = min(self.least, least), max(self.most, most)
+
+    def packed(self) -> list:
+        return [*self.label, self.pages, self.repeated, self.least, self.most, self.chars, [c.packed() for c in self.children]]
+
+    def shape(self) -> list:
+        return [*self.label, [c.shape() for c in self.children]]
+
+
+def aligned(own: list[list], slots: list[Slot], below: Callable = runs) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two lists of children: the largest number of matching nodes, and which match."""
     if not own or not slots:
         return 0, []
@@ -187,7 +207,7 @@ def aligned(own: list[list[Node]], slots: list[Slot]) -> tuple[int, list[tuple[i
             for j, y in enumerate(rest):
                 value = max(best[i][j + 1], best[i + 1][j])
                 if x[0].label == y.label:
-                    match[i, j] = 1 + aligned(runs(x[0]), y.children)[0]
+                    match[i, j] = 1 + aligned(below(x[0]), y.children, below)[0]
                     value = max(value, best[i][j] + match[i, j])
                 best[i + 1][j + 1] = value
         i, j = len(mid), len(rest)
@@ -221,11 +241,9 @@ def plain(node: Node) -> tuple[str, int]:
 
 def fold(slot: Slot, nodes: list[Node]) -> None:
     """Take one page's run of nodes into the slot."""
-    slot.pages += 1
-    slot.repeated |= len(nodes) > 1
     texts = [plain(n) for n in nodes]
-    slot.texts.add(crc32("\n".join(t for t, _ in texts).encode()))
-    slot.chars += sum(n for _, n in texts)
+    code = crc32("\n".join(t for t, _ in texts).encode())
+    slot.add(1, len(nodes) > 1, code, code, sum(n for _, n in texts))
     for node in nodes:
         own = runs(node)
         pairs = dict(aligned(own, slot.children)[1])
@@ -241,13 +259,90 @@ def fold(slot: Slot, nodes: list[Node]) -> None:
         slot.children = children + slot.children[taken:]
 
 
-def induce(pages: list[str]) -> str | None:
-    """The folded tree of some pages of a host, with its content (c) and fixed blocks (d) marked, as JSON."""
+def known(node: Node, names: frozenset[str]) -> Node:
+    """Leave out names that are not known; all names of what is no article become one."""
+    for c in node.children:
+        if not isinstance(c, str):
+            if c.name:
+                c.name = "ads" if c.tag not in ("body", "html", "article", "main") and noise(c.name) else c.name if c.name in names else ""
+            known(c, names)
+    return node
+
+
+def names_of(node: Node) -> set[str]:
+    """Names in a tree that say something."""
+    out: set[str] = set()
+    for c in node.children:
+        if not isinstance(c, str):
+            if c.name and (c.tag in ("body", "html", "article", "main") or not noise(c.name)):
+                out.add(c.name)
+            out |= names_of(c)
+    return out
+
+
+def tree_of(page: str, names: frozenset[str]) -> Slot:
+    """The folded tree of one page."""
     root = Slot(("#", ""))
-    for p in pages:
-        fold(root, [parse(p)])
+    fold(root, [known(parse(page), names)])
+    return root
+
+
+def digest_of(root: Slot) -> str:
+    return blake2b(json.dumps(root.shape(), ensure_ascii=False).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def added(into: Slot, tree: Slot) -> None:
+    """Add up two trees of one shape."""
+    into.add(tree.pages, tree.repeated, tree.least, tree.most, tree.chars)
+    for a, b in zip(into.children, tree.children, strict=True):
+        added(a, b)
+
+
+def merged(into: Slot, tree: Slot) -> None:
+    """Merge a folded tree into another by simple tree matching."""
+    into.add(tree.pages, tree.repeated, tree.least, tree.most, tree.chars)
+    pairs = dict(aligned([[c] for c in tree.children], into.children, lambda s: [[c] for c in s.children])[1])
+    children, taken = [], 0
+    for i, child in enumerate(tree.children):
+        if i in pairs:
+            children += into.children[taken:pairs[i] + 1]
+            taken = pairs[i] + 1
+            merged(children[-1], child)
+        else:
+            children.append(child)
+    into.children = children + into.children[taken:]
+
+
+def unpacked(given: list) -> Slot:
+    slot = Slot((given[0], given[1]))
+    slot.pages, slot.repeated, slot.least, slot.most, slot.chars = given[2:7]
+    slot.children = [unpacked(c) for c in given[7]]
+    return slot
+
+
+def dumped(tree: list) -> str:
+    return json.dumps(tree, ensure_ascii=False, separators=(",", ":"))
+
+
+def merge_all(trees: list[tuple[str, str]]) -> tuple[str, str]:
+    """(digest, packed tree) of trees given so: equal shapes are added up, then shapes merged in the order of their digests."""
+    shapes: dict[str, Slot] = {}
+    for digest, packed in sorted(trees):
+        tree = unpacked(json.loads(packed))
+        if digest in shapes:
+            added(shapes[digest], tree)
+        else:
+            shapes[digest] = tree
+    first, *others = shapes.values()
+    for tree in others:
+        merged(first, tree)
+    return (digest_of(first) if others else next(iter(shapes))), dumped(first.packed())
+
+
+def induce(root: Slot) -> str | None:
+    """The folded tree of a host, with its content (c) and fixed blocks (d) marked, as JSON."""
     skip = lambda s: Node(*s.label).skipped()
-    varies = lambda s: len(s.texts) > 1
+    varies = Slot.varies
     region, entered = root, False
     while True:
         inner = [s for s in region.children if not skip(s)]
@@ -266,20 +361,21 @@ def induce(pages: list[str]) -> str | None:
 
     def fixed(s: Slot) -> None:
         for c in s.children:
-            if len(pages) >= 4 and c.pages == s.pages >= 4 and not c.repeated and not varies(c) and c.label[0] in REGION:
+            if root.pages >= 4 and c.pages == s.pages >= 4 and not c.repeated and not varies(c) and c.label[0] in REGION:
                 c.mark = "d"
             else:
                 fixed(c)
 
     fixed(region)
     compact = lambda s: [*s.label, s.mark, [compact(c) for c in s.children]]
-    return json.dumps(compact(root), ensure_ascii=False, separators=(",", ":"))
+    return dumped(compact(root))
 
 
 def _loaded(given: list) -> Slot:
     slot = Slot((given[0], given[1]))
     slot.mark = given[2]
     slot.children = [_loaded(c) for c in given[3]]
+    slot.names = frozenset({given[1]}.union(*(c.names for c in slot.children)))
     return slot
 
 
@@ -312,7 +408,7 @@ def main_text(page: str | None, wrapper: Slot | None, constant: frozenset[int] =
     content: list[Node] = []
     dropped: set[int] = set()
     if wrapper is not None:
-        _marked([root], wrapper, content, dropped)
+        _marked([known(root, wrapper.names)], wrapper, content, dropped)
     content = content or _first(root, "article") or _first(root, "main") or _first(root, "body") or [root]
     fixed = {id(n) for k, n in blocks(root) if k in constant} if constant else set()
     return text_of(content, frozenset(dropped | fixed)) or text_of(content, frozenset(dropped))
@@ -368,22 +464,68 @@ def host_of(url: str) -> Column:
     return F.when(host != "", host)
 
 
-def wrappers(pages: DataFrame, url: str = "url", page: str = "html", page_id: str = "page_id") -> DataFrame:
+def known_names(keyed: DataFrame) -> DataFrame:
+    """(host, names): the names that are on enough of a host's pages, counted over all of them."""
+    def make():
+        return lambda rows: [[sorted(names_of(parse(p))) for p in rows]]
+
+    read = map_texts(keyed, "page", ["host"], "names array<string>", make)
+    pages = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    counts = read.select("host", F.explode("_found.names").alias("name")).groupBy("host", "name").agg(F.count(F.lit(1)).alias("n"))
+    kept = counts.join(pages, "host").where((F.col("n") >= 2) & (F.col("n") * RARE >= F.col("of")))
+    return kept.groupBy("host").agg(F.array_sort(F.collect_list("name")).alias("names"))
+
+
+def shapes(keyed: DataFrame) -> DataFrame:
+    """(host, digest, tree): the trees of all pages, added up for each shape of a host as far as a task reads them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, str], Slot] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = [(host, digest, dumped(tree.packed())) for (host, digest), tree in found.items()]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["host", "digest", "tree"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                tree = tree_of(r["page"], frozenset(r["names"] or ()))
+                key = r["host"], digest_of(tree)
+                if key in found:
+                    added(found[key], tree)
+                else:
+                    found[key] = tree
+                if len(found) >= 2000:
+                    yield out()
+        yield out()
+
+    return mapped(keyed.select("host", "page", "names"), run, "host string, digest string, tree string")
+
+
+def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """(host, wrapper): one row a host that has one."""
-    keyed = pages.select(host_of(url).alias("host"), F.xxhash64(f"`{page_id}`", f"`{url}`").alias("h"),
-                         F.col(f"`{page}`").alias("page")).where("host IS NOT NULL AND page <> ''")
-    slot = F.pmod("h", F.lit(PAGES)).alias("slot")
-    chosen = keep(keyed.select("host", "h", slot).groupBy("host", "slot").agg(F.min("h").alias("h")), "chosen")
-    found = look_up(keyed.withColumn("slot", slot), chosen, ["host", "slot", "h"], "inner")
-    found = found.groupBy("host", "slot").agg(F.first("page").alias("page"))  # one page of equal hashes
+    keyed = pages.select(host_of(url).alias("host"), F.col(f"`{page}`").alias("page")).where("host IS NOT NULL AND page <> ''")
+    named = look_up(keyed, keep(known_names(keyed), "names"), ["host"])
 
-    def of_host(rows: pd.DataFrame) -> pd.DataFrame:
-        made = induce(rows.sort_values("slot")["page"].tolist())
-        return pd.DataFrame({"host": rows["host"].iloc[:1], "wrapper": [made]})
+    def of_group(rows: pd.DataFrame) -> pd.DataFrame:
+        digest, tree = merge_all(list(zip(rows["digest"], rows["tree"], strict=True)))
+        return pd.DataFrame({"host": rows["host"].iloc[:1], "digest": [digest], "tree": [tree]})
+
+    def of_host(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"host": rows["host"], "wrapper": [induce(unpacked(json.loads(t))) for t in rows["tree"]]})
 
     ship(pages.sparkSession)
-    made = found.groupBy("host").applyInPandas(of_host, "host string, wrapper string")
-    return keep(made.where("wrapper IS NOT NULL"), "wrappers")
+    result = "host string, digest string, tree string"
+    trees = keep(shapes(named).groupBy("host", "digest").applyInPandas(of_group, result), "shapes")
+    while True:  # each time there are a part in GROUP as many
+        many = trees.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        many = keep(many, "groups")
+        if many.isEmpty():
+            break
+        group = F.pmod(F.xxhash64("digest"), F.coalesce("groups", F.lit(1))).alias("group")
+        dealt = look_up(trees, many, ["host"]).select("host", "digest", "tree", group)
+        trees = keep(dealt.groupBy("host", "group").applyInPandas(of_group, result), "trees")
+    return keep(trees.select("host", "tree").mapInPandas(of_host, "host string, wrapper string").where("wrapper IS NOT NULL"), "wrappers")
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", page_id: str = "page_id",
@@ -392,7 +534,7 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", page_id: str
     carry = pages.columns if carry is None else carry
     packed = pages.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("_carried"), host_of(url).alias("host"),
                           F.col(f"`{page}`").alias("_page"))
-    known_hosts = keep(wrappers(pages, url, page, page_id).join(constants(pages, url, page), "host", "full"), "hosts")
+    known_hosts = keep(wrappers(pages, url, page).join(constants(pages, url, page), "host", "full"), "hosts")
     met = look_up(packed, known_hosts, ["host"])
 
     def make():

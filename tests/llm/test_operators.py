@@ -465,6 +465,20 @@ def test_constant_blocks_of_all_pages_go(spark):
     assert counted == {"a.example": plain_constants([p[2] for p in pages[:16]])}
 
 
+def test_wrapper_is_made_from_all_pages(spark, monkeypatch):
+    """A box that differs on one page of many is no template; neither partitions nor groups of shapes change the tree."""
+    form = '<body><div class="menu"><a href="/">Home</a></div><div class="x"><h1>H{0}</h1><div class="y k{0}"><p>Body {0}</p>{2}</div><section class="note"><p>{1}</p></section></div></body>'
+    pages = [(i, "https://a.example/x", form.format(i, "Only here" if i == 17 else "Same", "<table><tr><td>t</table>" * (i % 5) + "<hr>" * (i % 3)))
+             for i in range(40)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.digest(frame).collect()}
+    assert got[17].endswith("Only here") and got[17].startswith("H17 Body 17")
+    assert all(got[i].startswith(f"H{i} Body {i}") and "Same" not in got[i] for i in range(40) if i != 17)
+    monkeypatch.setattr(wrappers, "GROUP", 2, raising=False)
+    made = [[tuple(r) for r in wrappers.wrappers(frame.repartition(n)).collect()] for n in (1, 7)]
+    assert made[0] == made[1] and len(made[0]) == 1
+
+
 def test_shared_folder_and_look_up(spark, docs, monkeypatch):
     assert shared_dir(spark)
     table = keep(spark.createDataFrame([(None, 1), ("s0", 2)], "source string, v int"), "t")
