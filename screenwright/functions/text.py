@@ -7,6 +7,8 @@ Four choices here decide how fast a scan over long prompts is:
 * A keyword, or its longest part without a space, lies inside one word of the normalised text. A frame that holds the
   distinct words of some lengths (``long_words``) has keywords looked for among the words that are long enough for them,
   which are few; the text itself is scanned only where such a part occurs.
+* Most of these parts have a rare letter with two more behind it. One pattern finds the ends of words that start with such
+  a piece (``word_ends``), and keywords are then looked for among those ends, which are fewer still (``Words``).
 * A pattern that cannot match without some literal text is evaluated only where that text occurs (``gate``).
 * A value that is needed more than once is bound once with ``let`` instead of being repeated in every branch.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +30,8 @@ SEPARATORS = r"[.\-_*/|\\+=\[\]{}()]+"
 OTHER_SPACES = ("\t", "\n", "\x0b", "\f", "\r")
 # Words of at least so many bytes are kept apart for keywords that long (see ``long_words``).
 WORD_BYTES = (3, 5, 7, 9, 12)
+# Letters that few words of European languages have, the rarest first; see ``piece_of``.
+RARE_LETTERS = "qxzjkvbywpgfmuc"
 TRIMMED = "".join(chr(c) for c in range(0x21))
 
 
@@ -110,12 +115,65 @@ def tier_of(part: str) -> int:
     return sum(len(part.encode()) >= size for size in WORD_BYTES)
 
 
-def occurs_among(words: Column, entry: Column) -> Column:
-    """Whether the part of a listed keyword (fields ``tier`` and ``part``) lies in a word long enough for it."""
-    return F.contains(F.get(words, entry["tier"]), entry["part"])
+@dataclass(frozen=True)
+class Words:
+    """``long_words`` with ``word_ends`` behind them, and the pieces that expressions count on there."""
 
+    column: Column
+    pieces: set[str] = field(default_factory=set)
 
-def contains_any(text: Column, words: Iterable[str], among: Column | None = None) -> Column:
+
+def piece_of(part: str) -> str:
+    """The end of a keyword's part from its rarest letter on; empty if it has no rare letter with enough behind it."""
+    starts = [i for i in range(max(len(part) - 4, 0) + 1) if part[i:i + 1] and part[i] in RARE_LETTERS]
+    if not starts or len(part) < 3 or not part.isascii():
+        return ""
+    return part[min(starts, key=lambda i: RARE_LETTERS.index(part[i])):]
+
+
+def listed_part(part: str, among: Column | Words | None) -> dict:
+    """What is looked for in place of a keyword's part, and the position in ``among`` of the words to look in."""
+    piece = piece_of(part) if isinstance(among, Words) else ""
+    if not piece:
+        return {"part": part, "tier": tier_of(part)}
+    among.pieces.add(piece)
+    return {"part": piece, "tier": len(WORD_BYTES) + 1}
+
+
+def word_ends(words: Column, pieces: Iterable[str]) -> Column:
+    """The distinct ends of words from the first piece on that occurs in a word; ``words`` are ``long_words``.
+
+    A match is the leftmost one and takes the rest of its word, so whatever piece a word holds lies in its end.
+    """
+    tree: dict = {}
+    for piece in pieces:
+        node = tree
+        for letter in piece:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def spelled(node: dict) -> str:
+        if "" in node:  # what is longer is found with it
+            return ""
+        branches = [re.escape(letter) + spelled(below) for letter, below in sorted(node.items())]
+        return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+    if not tree:
+        return F.lit("")
+    # Alternatives are tried one by one, so they are dealt into groups that one look at the next letter rules out.
+    firsts = sorted(tree)
+    groups = [firsts[i:i + 4] for i in range(0, len(firsts), 4)]
+    dealt = "|".join(f"(?=[{''.join(g)}]){spelled({letter: tree[letter] for letter in g})}" for g in groups)
+    pattern = f"(?=[{''.join(firsts)}])(?:{dealt})[^ ]*"
+    return F.array_join(F.array_distinct(F.regexp_extract_all(F.get(words, F.lit(1)), F.lit(pattern), F.lit(0))), " ")
+
+
+def occurs_among(among: Column | Words, entry: Column) -> Column:
+    """Whether what is looked for of a listed keyword (``listed_part``) lies in the words it can lie in."""
+    return F.contains(F.get(among.column if isinstance(among, Words) else among, entry["tier"]), entry["part"])
+
+
+def contains_any(text: Column, words: Iterable[str], among: Column | Words | None = None) -> Column:
     """Plain substring test against a list; stops at the first word found.
 
     A word that contains another one of the list cannot change the answer and is not looked for. ``among`` are the
@@ -126,7 +184,7 @@ def contains_any(text: Column, words: Iterable[str], among: Column | None = None
     if among is None:
         # Bound, as the optimiser would work out a text that is used once again for each word.
         return let(text, lambda t: F.exists(literals(needed), lambda w: F.contains(t, w)))
-    listed = [{"word": w, "part": part_of(w), "tier": tier_of(part_of(w))} for w in needed]
+    listed = [{"word": w} | listed_part(part_of(w), among) for w in needed]
     return F.exists(parsed(listed, "word:string,part:string,tier:int"),
                     lambda e: occurs_among(among, e) & F.contains(text, e["word"]))
 
@@ -142,7 +200,7 @@ def matches(text: Column, pattern: str) -> Column:
 
 def first_match(
     text: Column, pattern: str, gate: Iterable[str] = (), gate_text: Column | None = None, group: int = 0,
-    among: Column | None = None,
+    among: Column | Words | None = None,
 ) -> Column:
     """First match of ``pattern``, or the empty string.
 
@@ -162,6 +220,6 @@ def first_match(
     return F.when(present, found).otherwise(F.lit(""))
 
 
-def whole_words(text: Column, words: Iterable[str], pattern: str, among: Column | None = None) -> Column:
+def whole_words(text: Column, words: Iterable[str], pattern: str, among: Column | Words | None = None) -> Column:
     """Pattern of words with word boundaries, run only where one of the words occurs at all."""
     return contains_any(text, words, among) & matches(text, pattern)

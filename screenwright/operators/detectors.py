@@ -10,7 +10,7 @@ intent layer also runs where the direct layer found something.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +29,7 @@ from screenwright.functions.detections import (
 )
 from screenwright.functions.reuse import built_once
 from screenwright.functions.text import (
+    Words,
     contains_any,
     first_match,
     is_blank,
@@ -40,6 +41,7 @@ from screenwright.functions.text import (
     normalise,
     regex,
     whole_words,
+    word_ends,
 )
 
 TEXT_COLUMNS = ("_lower", "_norm", "_words", "_longest", "_inquiry", "_personal_inquiry")
@@ -54,7 +56,7 @@ class Text:
     norm: Column
     inquiry: Column
     personal_inquiry: Column
-    words: Column
+    words: Words
     longest: Column
     mode: str = "compact"
 
@@ -364,10 +366,21 @@ CORE = ("injection", "secret", "personal", "health", "keyword")
 EXTRA = ("code", "crypto", "network", "jwt", "database", "cloud")
 
 
-def add_text_columns(df: DataFrame, prompt: str = "prompt") -> DataFrame:
-    """Add the lowered and normalised text, its long words, the length of the longest run without a space and
-    the two inquiry tests, each computed once.
+@built_once
+def org_pieces() -> set[str]:
+    """The pieces that the intent layer of organisations looks for, in either match mode."""
+    among = Words(F.col("_words"))
+    for mode in ("compact", "spaced"):
+        for listed in (C.ORG_CIRCUMVENTION, C.ORG_DATA, C.ORG_SHARING):
+            any_needle(F.col("_norm"), listed, " ", mode, among)
+    return among.pieces
+
+
+def add_text_columns(df: DataFrame, prompt: str = "prompt", pieces: Iterable[str] = ()) -> DataFrame:
+    """Add the lowered and normalised text, its long words with the ends of words from a piece on, the length of the longest
+    run without a space and the two inquiry tests, each computed once.
 
+    ``pieces`` are those of detectors; those of the inquiry tests and of organisations are looked for in any case.
     An inquiry has a question mark, or one of the asking phrases as whole words. The general list is the personal one
     and one more phrase, so its own pattern runs only where that phrase occurs.
     """
@@ -376,36 +389,39 @@ def add_text_columns(df: DataFrame, prompt: str = "prompt") -> DataFrame:
         "_norm": normalise(F.col(prompt)),
         "_longest": F.coalesce(F.array_max(F.transform(F.split(prompt, " "), F.octet_length)), F.lit(0)),
     })
-    norm, words = F.col("_norm"), F.col("_words")
-    df = df.withColumn("_words", long_words(norm))
+    norm, words = F.col("_norm"), Words(F.col("_words"))
     asked = F.contains(F.col("_lower"), F.lit("?"))
-    df = df.withColumn(
-        "_personal_inquiry", asked | whole_words(norm, C.INQUIRY_PHRASES, C.PERSONAL_INQUIRY_PATTERN, words))
-    return df.withColumn(
-        "_inquiry", F.col("_personal_inquiry") | whole_words(norm, (C.INQUIRY_EXTRA_PHRASE,), C.INQUIRY_PATTERN, words))
+    personal = asked | whole_words(norm, C.INQUIRY_PHRASES, C.PERSONAL_INQUIRY_PATTERN, words)
+    general = F.col("_personal_inquiry") | whole_words(norm, (C.INQUIRY_EXTRA_PHRASE,), C.INQUIRY_PATTERN, words)
+    wanted = words.pieces | org_pieces() | set(pieces)
+    df = df.withColumn("_words", let(long_words(norm), lambda w: F.array_append(w, word_ends(w, wanted))))
+    return df.withColumn("_personal_inquiry", personal).withColumn("_inquiry", general)
 
 
 def run_detectors(df: DataFrame, names: tuple[str, ...], prompt: str = "prompt", mode: str = "compact") -> DataFrame:
-    """Add ``_found_<name>`` for each named detector to a frame that has the text columns."""
+    """Add ``_found_<name>`` for each named detector and the text columns."""
     layers = {n: layer_columns(n, prompt, mode) for n in names}
-    df = df.withColumns({f"_direct_{n}": direct for n, (direct, _) in layers.items()})
-    return df.withColumns({f"_found_{n}": found for n, (_, found) in layers.items()}).drop(
+    df = add_text_columns(df, prompt, {piece for *_, pieces in layers.values() for piece in pieces})
+    df = df.withColumns({f"_direct_{n}": direct for n, (direct, *_) in layers.items()})
+    return df.withColumns({f"_found_{n}": found for n, (_, found, _) in layers.items()}).drop(
         *[f"_direct_{n}" for n in names])
 
 
 @built_once
-def layer_columns(name: str, prompt: str, mode: str) -> tuple[Column, Column]:
-    """The direct layer of a detector, and both layers together, which read the former from ``_direct_<name>``."""
+def layer_columns(name: str, prompt: str, mode: str) -> tuple[Column, Column, set[str]]:
+    """The direct layer of a detector, both layers together, which read the former from ``_direct_<name>``, and the pieces
+    that they look for among the ends of words."""
     d = DETECTORS[name]
-    t = Text(F.col(prompt), F.col("_lower"), F.col("_norm"), F.col("_inquiry"), F.col("_personal_inquiry"), F.col("_words"), F.col("_longest"), mode)
+    words = Words(F.col("_words"))
+    t = Text(F.col(prompt), F.col("_lower"), F.col("_norm"), F.col("_inquiry"), F.col("_personal_inquiry"), words, F.col("_longest"), mode)
     blank = is_blank(F.col(prompt))
     direct = F.col(f"_direct_{name}")
     intent = d.intent(t, direct)
     both = F.concat(direct, intent) if d.both_layers else F.when(F.size(direct) > 0, direct).otherwise(intent)
-    return (F.when(blank, no_detections()).otherwise(d.direct(t)), F.when(blank, no_detections()).otherwise(both))
+    return (F.when(blank, no_detections()).otherwise(d.direct(t)), F.when(blank, no_detections()).otherwise(both), words.pieces)
 
 
 def detect(df: DataFrame, name: str, prompt: str = "prompt", mode: str = "compact") -> DataFrame:
     """Run one detector on its own: the input columns plus ``detections``."""
-    scored = run_detectors(add_text_columns(df, prompt), (name,), prompt, mode)
+    scored = run_detectors(df, (name,), prompt, mode)
     return scored.withColumnRenamed(f"_found_{name}", "detections").drop(*TEXT_COLUMNS)

@@ -30,7 +30,7 @@ from screenwright.functions.detections import (
     no_detections,
 )
 from screenwright.functions.reuse import built_once
-from screenwright.functions.text import is_blank, java_trim, let, settled
+from screenwright.functions.text import Words, is_blank, java_trim, let, settled
 from screenwright.operators.lookups import BROADCAST_BYTES, bucket, is_small, lookup_join
 
 POLICY_ROWS = 100_000
@@ -78,7 +78,7 @@ def hit_detection(kind: Column, word: Column, org_key: Column) -> Column:
 @built_once
 def org_signals(mode: str, worded: bool) -> Column:
     """What the intent layer looks for; ``worded`` frames have ``_words``."""
-    norm, words = F.col("_norm"), F.col("_words") if worded else None
+    norm, words = F.col("_norm"), Words(F.col("_words")) if worded else None
     return F.struct(*(any_needle(norm, listed, " ", mode, words).alias(name) for name, listed in (
         ("circumvention", C.ORG_CIRCUMVENTION), ("data", C.ORG_DATA), ("sharing", C.ORG_SHARING))))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenwright.operators.audit import audit_rows
-from screenwright.operators.detectors import CORE, EXTRA, TEXT_COLUMNS, add_text_columns, run_detectors
+from screenwright.operators.detectors import CORE, EXTRA, TEXT_COLUMNS, run_detectors
 from screenwright.operators.lookups import bucket, hot_keys, row_digest
 from screenwright.operators.org_policy import detect_org_keywords, policies_small
 from screenwright.operators.prepare import prepare_requests, users_small, with_org_key
@@ -52,7 +52,7 @@ class Dimensions:
 def find(df: DataFrame, dims: Dimensions, options: Options) -> DataFrame:
     """Add ``detections`` to prepared requests with an ``org_key``."""
     names = PROFILES[options.profile]
-    df = run_detectors(add_text_columns(df), names, mode=options.match_mode)
+    df = run_detectors(df, names, mode=options.match_mode)
     small = options.policy_plan != "join" and dims.policies_small
     df = detect_org_keywords(df, dims.policies, mode=options.match_mode, plan=options.policy_plan, small=small)
     ordered = (*CORE, "org", *names[len(CORE):])

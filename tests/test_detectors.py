@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from screenwright import catalogue as C
-from screenwright.functions.detections import first_keyword
-from screenwright.functions.text import contains_any, long_words, normalise, part_of, tier_of
-from screenwright.operators.detectors import DETECTORS, add_text_columns, detect
+from screenwright.functions.detections import first_keyword, needle
+from screenwright.functions.text import Words, contains_any, listed_part, long_words, normalise, part_of, tier_of, word_ends
+from screenwright.operators.detectors import DETECTORS, add_text_columns, detect, run_detectors
 from screenwright.operators.org_policy import detect_org_keywords
 from screenwright.operators.scoring import decide, total_score
 from screenwright.schemas import POLICIES
@@ -123,6 +123,42 @@ def test_keywords_are_found_among_long_words_as_in_the_text(spark):
     assert all(len(w.encode()) >= 12 for w in among[5].split(" ") if w) and "authentication" in among[5]
 
 
+def test_keywords_are_found_among_the_ends_of_words(spark):
+    """One pattern keeps the end of a word from the first piece on; a keyword is found there wherever it lies in a word."""
+    rnd = random.Random(7)
+    words = ("key", "api key", "password", "secret key", "bypass", "sk-", "my", "token", "kubernetes", "keyboard", "what's wrong with",
+             "passphrase", "ssn", "über key", "otp", "iam")
+    fill = ["xx", "über", "mon", "pass", "phrase", "word", "s.e.c.r.e.t", "\t", "\n", "Key", "пароль", "\u00a0", "a|b", ""]
+    texts = [rnd.choice(["", " ", "-", "'"]).join(rnd.choice([*fill, *words]) for _ in range(rnd.randint(0, 8))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "prompt string").coalesce(1)
+    df = df.select(F.lower("prompt").alias("lower"), normalise(F.col("prompt")).alias("norm"))
+    asked = [(form, listed) for form in ("lower", "norm") for listed in (words[:4], words[4:9], words[9:], ("my",), ("bypass", "pass"))]
+    among = Words(F.col("among"))
+    found = [c for form, listed in asked for c in (contains_any(F.col(form), listed, among), first_keyword(F.col(form), listed, among))]
+    assert among.pieces >= {"key", "kubernetes", "keyboard", "bypass", "word"} and not any(p[0] in "aeinort" for p in among.pieces)
+    kept = df.withColumn("among", F.array_append(long_words(F.col("norm")), word_ends(long_words(F.col("norm")), among.pieces)))
+    for row in kept.select("lower", "norm", "among", *found).collect():
+        ends = set()
+        for word in row.norm.split(" "):
+            starts = [word.find(p) for p in among.pieces if p in word]
+            ends |= {word[min(starts):]} if starts else set()
+        assert set(filter(None, row.among[-1].split(" "))) == ends, row.norm
+        for k, (form, listed) in enumerate(asked):
+            held = [w for w in listed if w in row[form]]
+            assert (row[3 + 2 * k], row[4 + 2 * k]) == (bool(held), held[0] if held else None), (form, listed, row[form])
+
+
+def test_screening_looks_for_most_keywords_among_the_ends_of_words(spark):
+    """The work on a text must not grow with the number of keywords: few are looked for among its words one by one."""
+    df = spark.createDataFrame([("1", "a prompt")], "request_id string, prompt string")
+    plan = run_detectors(df, tuple(DETECTORS))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan
+    listed = [listed_part(part_of(needle(w, " ", "compact")), Words(F.col("_words"))) for name in dir(C)
+              if name.startswith(("KEYWORD_", "HEALTH_", "PERSONAL_S", "DB_ARCH", "CLOUD_INFRA", "NETWORK_I", "GUARDRAIL", "ORG_")) and "PATTERN" not in name
+              for w in getattr(C, name)]
+    assert len(listed) > 200 and sum(entry["tier"] <= 5 for entry in listed) < len(listed) / 5
+
+
 def test_a_text_is_prepared_once_however_many_words_are_looked_for(spark):
     """The optimiser must not put the preparation of a text used once into the search of each word."""
     texts = spark.createDataFrame([("My Pass-Word",), (None,)], "prompt string").select(normalise(F.col("prompt")).alias("norm"))
