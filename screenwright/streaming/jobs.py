@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from screenwright.operators.analytics import count_if
+from screenwright.operators.lookups import bucket
 from screenwright.plans.screening import Dimensions, Options, audit
 from screenwright.sources.tables import write_audit
 from screenwright.streaming.batches import BatchLog
 
 HEARTBEAT_SECONDS = 30
+# Groups of keys in which repeats are looked for.
+REPEAT_BUCKETS = 4096
 
 
 def checkpoint_dir(spark: SparkSession, name: str, given: str | None = None) -> str:
@@ -70,47 +73,68 @@ def screen_stream(
 
 
 def pass_apart(key, batches: Iterator[pd.DataFrame], state, window: int, late: int) -> Iterator[pd.DataFrame]:
-    """Rows of one key whose times are at least ``window`` from those that passed before (microseconds)."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    passed, arrived = sorted(state.get[0]) if state.exists else [], 0
-    for batch in batches:
+    """Rows whose times are at least ``window`` from those of their key that passed before (microseconds).
+
+    The rows are those of a bucket of keys. ``state`` holds per key the times that passed, and when it is forgotten.
+    """
+    known = {k: (due, passed) for k, due, passed in zip(*state.get, strict=True)} if state.exists else {}
+    arrivals: dict[str, int] = {}
+    for batch in () if state.hasTimedOut else batches:
         if batch.empty:
             continue
-        chosen, arrived = [], max(arrived, int(batch["_arrived_ms"].max()))
-        for row, at in batch.sort_values(["_at", "request_id"], na_position="first")["_at"].items():
+        chosen = []
+        columns = (batch[c].tolist() for c in ("_key", "_at", "request_id", "_arrived_ms"))
+        # By key and time; what has no time or no id comes first.
+        for k, at, _, arrived, row in sorted(zip(*columns, range(len(batch)), strict=True), key=lambda r: (
+                r[0], r[1] == r[1], r[1] if r[1] == r[1] else 0, r[2] is not None, r[2] or "")):
+            arrivals[k] = max(arrived, arrivals.get(k, 0))
             if at != at:  # without a time nothing tells a repeat
                 chosen.append(row)
                 continue
+            passed = known.setdefault(k, (0, []))[1]
             i = bisect.bisect_left(passed, at)
             if (i == 0 or at - passed[i - 1] >= window) and (i == len(passed) or passed[i] - at >= window):
                 passed.insert(i, int(at))
                 chosen.append(row)
-        yield batch.loc[chosen].drop(columns=["_key", "_at", "_arrived", "_arrived_ms"])
-    if passed:
-        state.update(([at for at in passed if at >= passed[-1] - late - window],))
-        state.setTimeoutTimestamp(arrived + (late + window) // 1000)
+        if chosen:
+            yield batch.iloc[chosen].drop(columns=["_bucket", "_key", "_at", "_arrived", "_arrived_ms"])
+    now, rest = state.getCurrentWatermarkMs(), late + window
+    kept = []
+    for k, (due, passed) in known.items():
+        if k in arrivals:
+            kept.append((k, arrivals[k] + rest // 1000, [at for at in passed if at >= passed[-1] - rest]))
+        elif due >= now:
+            kept.append((k, due, passed))
+    if kept:
+        state.update(tuple(map(list, zip(*kept, strict=True))))
+        state.setTimeoutTimestamp(max(min(due for _, due, _ in kept), now + 1))
+    elif state.exists:
+        state.remove()
 
 
-def suppress_repeats(requests: DataFrame, window: str = "5 minutes", late: str = "1 hour") -> DataFrame:
+def suppress_repeats(requests: DataFrame, window: str = "5 minutes", late: str = "1 hour", buckets: int = REPEAT_BUCKETS) -> DataFrame:
     """Let a request through once per user, sub-user and prompt within the window.
 
     This drops requests, so it is not part of screening by default. A request passes if none of its key has passed at a
     time less than ``window`` from its own, whatever order they arrive in; what arrives together is taken by time. The
     watermark is one of arrival, so a late request that is no repeat passes too. Per key, the times that passed are remembered until
     they lie ``late`` and a window before the newest, or nothing has come for as long; a repeat later than that passes.
-    Rows without a time pass. The state holds a digest and times, no prompt, and rows go by in Arrow batches, so a key
+    Rows without a time pass. The state holds digests and times, no prompt, and rows go by in Arrow batches, so a key
     of many rows is never held whole.
+
+    A call of Python takes milliseconds, so keys are dealt into ``buckets`` by digest and a call judges the keys of one.
+    The state of a bucket is written anew when one of its keys comes; more buckets make it smaller. A checkpoint holds to
+    its number of buckets.
     """
     parts = [F.coalesce(F.sha2(F.col(c), 256), F.lit("-")) for c in ("user_id", "sub_user", "prompt")]
+    digest = F.sha2(F.concat_ws("|", *parts), 256)
     keyed = requests.withColumns({
-        "_key": F.sha2(F.concat_ws("|", *parts), 256), "_at": F.unix_micros(F.col("ts").cast("timestamp")),
+        "_bucket": bucket(F.xxhash64(digest), F.lit(buckets)), "_key": digest, "_at": F.unix_micros(F.col("ts").cast("timestamp")),
         "_arrived": F.current_timestamp(), "_arrived_ms": F.unix_millis(F.current_timestamp())}).withWatermark("_arrived", "1 minute")
     apart = partial(pass_apart, window=pd.Timedelta(window) // pd.Timedelta("1us"), late=pd.Timedelta(late) // pd.Timedelta("1us"))
-    return keyed.groupBy("_key").applyInPandasWithState(
-        lambda key, batches, state: apart(key, batches, state), requests.schema, "passed array<bigint>", "append",
-        "EventTimeTimeout")
+    return keyed.groupBy("_bucket").applyInPandasWithState(
+        lambda key, batches, state: apart(key, batches, state), requests.schema,
+        "keys array<string>, due array<bigint>, passed array<array<bigint>>", "append", "EventTimeTimeout")
 
 
 def running_counters(actions: DataFrame, user_id: str = "user_id", action: str = "action") -> DataFrame:

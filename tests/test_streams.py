@@ -2,6 +2,7 @@
 
 from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,46 @@ def test_late_requests_that_are_no_repeats_pass(spark, tmp_path):
     assert arrive(("d", "y", 1), ("e", "y", 2), ("f", "x", 95), ("g", "x", 97)) == ["a", "c", "d", "f", "n"]
 
 
+def test_a_call_judges_many_keys_and_forgets_each_in_its_time():
+    """One call of Python a key took milliseconds each, most of the time of a stream of texts that do not repeat."""
+    minute, held = 60_000_000, SimpleNamespace(value=None, due=None)
+
+    class State:
+        hasTimedOut = False
+        now = 0
+        exists = property(lambda self: held.value is not None)
+        get = property(lambda self: held.value)
+
+        def getCurrentWatermarkMs(self):
+            return self.now
+
+        def update(self, value):
+            held.value = value
+
+        def setTimeoutTimestamp(self, due):
+            assert due > self.now
+            held.due = due
+
+        def remove(self):
+            held.value = held.due = None
+
+    def call(*rows, timed_out=False, now=0):
+        state = State()
+        state.hasTimedOut, state.now = timed_out, now
+        frame = pd.DataFrame([(0, k, at, i, now, now) for i, k, at in rows],
+                             columns=["_bucket", "_key", "_at", "request_id", "_arrived", "_arrived_ms"])
+        out = R.pass_apart((0,), iter([frame]), state, 5 * minute, 60 * minute)
+        return sorted(i for b in out for i in b["request_id"])
+
+    assert call(("a", "x", 0), ("b", "y", minute), ("c", "x", 4 * minute), ("d", "x", 5 * minute), ("e", "z", None)) == ["a", "b", "d", "e"]
+    assert sorted(held.value[0]) == ["x", "y"] and held.due == 65 * 60_000
+    assert call(("f", "y", 2 * minute), ("g", "v", 0), now=30 * 60_000) == ["g"]
+    # Of x nothing came for an hour and a window, of y and v later.
+    assert call(timed_out=True, now=66 * 60_000) == [] and sorted(held.value[0]) == ["v", "y"]
+    assert call(("h", "x", minute), ("i", "y", minute), now=67 * 60_000) == ["h"]
+    assert call(timed_out=True, now=600 * 60_000) == [] and held.value is None
+
+
 def test_last_seen_as_a_stream(spark, tmp_path):
     beats = spark.range(6).selectExpr("CAST(id % 2 AS STRING) AS org_label", "'s' AS subUser", "'b' AS browserName",
                                       "timestamp_seconds(1704067200 + id * 60) AS ts")
