@@ -53,17 +53,22 @@ def with_usage(df: DataFrame, prompt: str = "prompt") -> DataFrame:
     }).drop("_in", "_out", "_in_red", "_out_red", "_tokens", "_cost", "_tokens_red", "_cost_red")
 
 
+def audit_id(prompt: str = "prompt") -> Column:
+    """Hash of the key of a prepared request; without a key it is known by its user, sub-user, tool, prompt and time."""
+    parts = [F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("-"))
+             for c in ("user_id", "sub_user", "tool", prompt, "ts")]
+    unnamed = F.concat(F.lit("request|"), F.concat_ws("|", *parts))
+    return F.sha2(F.coalesce(F.col("request_id").cast("string"), unnamed), 256)
+
+
 def audit_rows(df: DataFrame, prompt: str = "prompt") -> DataFrame:
     """Audit rows of screened requests.
 
-    The id is a hash of the request key and the time is that of the request, so that a repeated run gives equal rows.
-    A request without a key is known by its user, sub-user, tool, prompt and time.
+    The id (``audit_id``) is a hash of the request and the time is that of the request, so that a repeated run gives equal
+    rows.
     """
-    parts = [F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("-"))
-             for c in ("user_id", "sub_user", "tool", prompt, "ts")]
-    unnamed = F.concat(F.lit("request|"), F.concat_ws("|", *parts))
     return with_usage(storable(df), prompt).select(
-        F.sha2(F.coalesce(F.col("request_id").cast("string"), unnamed), 256).alias("id"),
+        audit_id(prompt).alias("id"),
         audit_user(F.col("user_id")).alias("user_id"),
         F.coalesce("tool", F.lit("Unknown")).alias("tool"),
         F.coalesce("browser_name", F.lit("Unknown")).alias("browser_name"),

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenwright import schemas
-from screenwright.plans.screening import Dimensions
+from screenwright.operators.audit import audit_id
+from screenwright.operators.prepare import prepare_requests
+from screenwright.plans.screening import Dimensions, Options
+from screenwright.plans.screening import audit as audit_of
 
 
 def read_prompts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -113,6 +116,26 @@ def write_audit(audit: DataFrame, path: str, mode: str = "append", check: bool =
     rows.hint("rebalance", "audit_date").write.mode(mode).partitionBy("audit_date").parquet(path)
 
 
+def unwritten(requests: DataFrame, path: str, options: Options | None = None) -> DataFrame:
+    """The requests whose audit row the table does not hold; those it holds need not be screened."""
+    if not exists(requests.sparkSession, path):
+        return requests
+    columns = requests.columns
+    whole = requests.withColumn("_request", F.struct(*columns))
+    keyed = prepare_requests(whole, (options or Options()).aliases).select(
+        audit_id().alias("id"), F.to_date("ts").alias("audit_date"), "_request")
+    return absent(keyed, path).select("_request.*")
+
+
+def append_screened(requests: DataFrame, dims: Dimensions, path: str, options: Options | None = None) -> None:
+    """Screen requests and append their audit rows, but for those that the table holds.
+
+    The same rows as of ``write_audit(audit(requests, dims, options), path)``, which would screen what it then leaves out: the
+    id of an audit row is known before its request is screened.
+    """
+    write_audit(audit_of(unwritten(requests, path, options), dims, options), path, check=False)
+
+
 def read_audit(spark: SparkSession, path: str, schema: str = schemas.AUDIT) -> DataFrame:
     """The audit table. Pass a schema where it was written with times that have no zone."""
     return spark.read.schema(f"{schema}, audit_date date").parquet(path)

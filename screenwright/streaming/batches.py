@@ -57,6 +57,13 @@ class BatchLog:
             return "begun"
         return "new" if any(n.startswith("written-") for n in names) else "first"
 
+    def unsure(self) -> bool:
+        """Whether rows of the next batch may have been written: nothing is known, or a batch was begun and not finished."""
+        names = self._names()
+        begun = {n.removeprefix("begun-") for n in names if n.startswith("begun-")}
+        written = {n.removeprefix("written-") for n in names if n.startswith("written-")}
+        return not written or bool(begun - written)
+
     def begin(self, batch: int) -> None:
         self._create(f"begun-{batch}")
 

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from screenwright.operators.analytics import count_if
 from screenwright.operators.lookups import bucket
 from screenwright.plans.screening import Dimensions, Options, audit
-from screenwright.sources.tables import write_audit
+from screenwright.sources.tables import append_screened, exists, write_audit
 from screenwright.streaming.batches import BatchLog
 
 HEARTBEAT_SECONDS = 30
@@ -45,12 +45,15 @@ def screen_stream(
     query on the same checkpoint takes the sink over, and the first one fails at its next batch.
 
     Where policies are not broadcast, requests are screened batch by batch, so that hot keys are measured and large
-    organisations are met in chunks.
+    organisations are met in chunks. So they are where the table may hold rows of the next batch: these are left out
+    before they are screened.
     """
-    broadcast = (options or Options()).policy_plan != "join" and dims.policies_small
-    where = checkpoint_dir(requests.sparkSession, name, checkpoint)
-    log = BatchLog(requests.sparkSession, f"{where}/sink")
+    spark = requests.sparkSession
+    where = checkpoint_dir(spark, name, checkpoint)
+    log = BatchLog(spark, f"{where}/sink")
     log.take_over()
+    small = (options or Options()).policy_plan != "join" and dims.policies_small
+    at_once = small and not (log.unsure() and exists(spark, path))  # the whole stream is screened in one plan
 
     def append(rows: DataFrame, batch: int) -> None:
         log.still_mine()
@@ -58,15 +61,21 @@ def screen_stream(
         if state == "written":
             return
         log.begin(batch)
-        again = not broadcast or state != "new"  # whether the batch is read more than once
+        check = state != "new" and exists(spark, path)
+        again = check or not small  # whether the batch is read more than once
         rows = rows.persist() if again else rows
-        write_audit(rows if broadcast else audit(rows, dims, options), path, check=state != "new")
+        if at_once:
+            write_audit(rows, path, check=check)
+        elif check:
+            append_screened(rows, dims, path, options)
+        else:
+            write_audit(audit(rows, dims, options), path, check=False)
         if again:
             rows.unpersist()
         log.written(batch)
 
     return (
-        (audit(requests, dims, options) if broadcast else requests).writeStream.outputMode("append").foreachBatch(append)
+        (audit(requests, dims, options) if at_once else requests).writeStream.outputMode("append").foreachBatch(append)
         .option("checkpointLocation", where)
         .trigger(**(trigger or {"processingTime": "10 seconds"})).start()
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from screenwright import schemas
 from screenwright.plans.screening import Dimensions, audit
+from screenwright.sources import tables as T
 from screenwright.sources.tables import read_audit, read_prompts, read_prompts_stream, write_audit
 from screenwright.streaming import jobs as R
 
@@ -50,6 +51,31 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, folder, dims):
     assert read_audit(spark, str(folder / "out")).count() == 60
 
 
+def test_requests_that_the_table_holds_are_not_screened_again(spark, folder, dims, tmp_path, monkeypatch):
+    """Neither by a batch that comes again after its driver was lost, nor by a batch job: before, all were screened and then left out."""
+    screened, plain = [], T.audit_of
+    monkeypatch.setattr(T, "audit_of", lambda requests, *rest: screened.append(requests.count()) or plain(requests, *rest))
+    source, path, log = str(folder / "in"), str(tmp_path / "out"), tmp_path / "cp"
+
+    def run():
+        R.screen_stream(read_prompts_stream(spark, source), dims, path, checkpoint=str(log), availableNow=True).awaitTermination()
+        return sorted(map(str, read_audit(spark, path).collect()))
+
+    first = run()
+    assert len(first) == 60 and not screened
+    for folder, name in (("commits", "0"), ("sink", "written-0")):
+        (log / folder / name).unlink()
+        (log / folder / f".{name}.crc").unlink(missing_ok=True)
+    assert run() == first and screened == [0]
+    T.append_screened(read_prompts(spark, source, "json"), dims, path)
+    assert screened == [0, 0] and sorted(map(str, read_audit(spark, path).collect())) == first
+    # Without a request id a request is known by its prepared fields; only what is new is screened.
+    nameless = read_prompts(spark, source, "json").withColumns({"request_id": F.lit(None).cast("string"), "sub_user": F.lit(" ")})
+    T.append_screened(nameless.where("ts < timestamp_seconds(1704067200 + 600)"), dims, path)
+    T.append_screened(nameless, dims, path)
+    assert screened == [0, 0, 30, 30] and read_audit(spark, path).count() == 120
+
+
 def test_stream_with_a_large_policy_table(spark, folder, dims, monkeypatch):
     """Above the broadcast bound the stream starts as well and gives the same rows."""
     source = str(folder / "in")

@@ -38,6 +38,7 @@ from screenwright.plans.upkeep import maintain
 from screenwright.schemas import AUDIT as AUDIT_SCHEMA
 from screenwright.schemas import HEARTBEATS_NORMAL, conform_audit
 from screenwright.sources.tables import (
+    append_screened,
     read_audit,
     read_checked,
     read_dims,
@@ -958,7 +959,7 @@ def streamed(spark: SparkSession, sf: str, plan: str) -> DataFrame:
     for _ in range(2):
         R.screen_stream(read_prompts_stream(spark, source, "parquet"), B.dims(spark, sf), f"{path}/audit",
                         checkpoint=f"{path}/checkpoint", options=options, availableNow=True).awaitTermination()
-    write_audit(audit(read_prompts(spark, source), B.dims(spark, sf), options), f"{path}/audit")
+    append_screened(read_prompts(spark, source), B.dims(spark, sf), f"{path}/audit", options)
     return read_audit(spark, f"{path}/audit").select(
         "id", "user_id", "risk_score", "action", "tokens_used", "tokens_saved", stamp("created_at").alias("created_at"))
 
