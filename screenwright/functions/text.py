@@ -27,11 +27,10 @@ from pyspark.sql import functions as F
 # separators that normalising deletes.
 BLANK_CLASS = r"[\t-\r\x{1c}-\x{20}\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{2028}\x{2029}\x{205f}\x{3000}]"
 SEPARATORS = r"[.\-_*/|\\+=\[\]{}()]+"
-OTHER_SPACES = ("\t", "\n", "\x0b", "\f", "\r")
 # Words of at least so many bytes are kept apart for keywords that long (see ``long_words``).
 WORD_BYTES = (3, 5, 7, 9, 12)
-# Letters that few words of European languages have, the rarest first; see ``piece_of``.
-RARE_LETTERS = "qxzjkvbywpgfmuc"
+# Letters that fewer words of European languages have than the commonest ones, the rarest first; see ``piece_of``.
+RARE_LETTERS = "qxzjkvbywpgfmuchdls"
 TRIMMED = "".join(chr(c) for c in range(0x21))
 
 
@@ -73,11 +72,8 @@ def is_blank(text: Column) -> Column:
 def normalise(text: Column) -> Column:
     """Lower-case, delete separators, collapse white space, trim. Null becomes the empty string."""
     spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, "")
-    for space in OTHER_SPACES:
-        spaced = F.replace(spaced, F.lit(space), F.lit(" "))
-    # Single spaces need no rewriting, so the pattern runs only where two meet.
-    collapsed = let(spaced, lambda s: F.when(
-        F.contains(s, F.lit("  ")), F.regexp_replace(s, " {2,}", " ")).otherwise(s))
+    # Single spaces need no rewriting.
+    collapsed = F.regexp_replace(spaced, "[\\t-\\r][\\t-\\r ]*| [\\t-\\r ]+", " ")
     return java_trim(collapsed)
 
 
@@ -124,11 +120,17 @@ class Words:
 
 
 def piece_of(part: str) -> str:
-    """The end of a keyword's part from its rarest letter on; empty if it has no rare letter with enough behind it."""
-    starts = [i for i in range(max(len(part) - 4, 0) + 1) if part[i:i + 1] and part[i] in RARE_LETTERS]
-    if not starts or len(part) < 3 or not part.isascii():
+    """The end of a keyword's part from its rarest letter on; empty if it has no rare letter with enough behind it.
+
+    Four letters are enough, or three where a part has no such end.
+    """
+    if len(part) < 3 or not part.isascii():
         return ""
-    return part[min(starts, key=lambda i: RARE_LETTERS.index(part[i])):]
+    for least in (4, 3):
+        starts = [i for i in range(max(len(part) - least, 0) + 1) if part[i] in RARE_LETTERS]
+        if starts:
+            return part[min(starts, key=lambda i: RARE_LETTERS.index(part[i])):]
+    return ""
 
 
 def listed_part(part: str, among: Column | Words | None) -> dict:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from screenwright import catalogue as C
 from screenwright.functions.detections import first_keyword, needle
-from screenwright.functions.text import Words, contains_any, listed_part, long_words, normalise, part_of, tier_of, word_ends
+from screenwright.functions.text import Words, contains_any, listed_part, long_words, normalise, part_of, piece_of, tier_of, word_ends
+from screenwright.functions.tokens import response_tokens
 from screenwright.operators.detectors import DETECTORS, add_text_columns, detect, run_detectors
 from screenwright.operators.org_policy import detect_org_keywords
 from screenwright.operators.scoring import decide, total_score
@@ -159,6 +160,39 @@ def test_screening_looks_for_most_keywords_among_the_ends_of_words(spark):
     assert len(listed) > 200 and sum(entry["tier"] <= 5 for entry in listed) < len(listed) / 5
 
 
+def test_parts_of_common_letters_have_pieces_too():
+    """Every one of these was looked for in all words of a text."""
+    pieces = [piece_of(part) for part in ("ethics", "history", "identity", "token", "login", "ssn", "share", "table", "my", "otp", "über")]
+    assert pieces == ["hics", "history", "dentity", "ken", "login", "ssn", "hare", "ble", "", "", ""]
+
+
+def test_white_space_collapses_in_one_pass(spark):
+    texts = [" a\tb", "a \n b", "a\x0b\x0c\rb  c d", "a -  - b", "\u00a0 \u00a0", "a b", "\t", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", normalise(F.col("t")).alias("n"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("replace(") == 2
+    assert [r.n for r in df.orderBy("i").collect()] == ["a b", "a b", "a b c d", "a b", "\u00a0 \u00a0", "a b", "", "", ""]
+
+
+def test_expected_answers_up_to_the_limit(spark):
+    def plain(text):
+        size, low = -(-len(text) // 4), text.lower()
+        n = max(300, size * 3)
+        n = max(1200, n * 2) if any(w in low for w in C.LONG_FORM) else n
+        n = max(600, n + 400) if any(w in low for w in C.CODE_FORM) else n
+        n = min(n, max(150, size // 2)) if any(w in low for w in C.SHORT_FORM) else n
+        for phrase, tokens in C.WORD_COUNT_TOKENS:
+            n = tokens if phrase in low else n
+        return min(4000, max(100, n))
+
+    texts = [f"{head} {'z' * n}" for n in (5, 300, 1600, 3900, 5270, 5330, 5340, 5400, 20_000, 40_000)
+             for head in ("x", "Essay", "code", "fix", "essay code", "essay fix", "code fix", "100 words", "2000 words fix essay", "00 words", "500 words 1000 words")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select("t", response_tokens(F.col("t")).alias("n"))
+    assert [r.n for r in df.collect()] == [plain(t) for t in texts]
+    # A text at the limit is not searched for what would only add.
+    chosen = df._jdf.queryExecution().optimizedPlan().toString()
+    assert ">= 4000" in chosen
+
+
 def test_a_text_is_prepared_once_however_many_words_are_looked_for(spark):
     """The optimiser must not put the preparation of a text used once into the search of each word."""
     texts = spark.createDataFrame([("My Pass-Word",), (None,)], "prompt string").select(normalise(F.col("prompt")).alias("norm"))
