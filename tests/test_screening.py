@@ -107,6 +107,52 @@ def test_an_organisation_in_chunks_gives_the_same(spark, policy_case, monkeypatc
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_keywords_are_found_by_equal_pieces(spark, small):
+    """What ``held`` finds is what a comparison of all texts with all keywords finds, long tokens and long parts included."""
+    rng = random.Random(3)
+    syllables = ["a", "th", "é", "on", "ß", "x-y", "_", ".", "-", "漢字", "\t", " ", "  ", "*", "in", "(z)"]
+    prompts = ["".join(rng.choices(syllables, k=rng.randint(1, 30))) for _ in range(60)]
+    prompts += ["A" * 200 + "needle" + "B" * 200, "pre" + "longer-part-than-a-piece" * 3, "one two\nthree", "d-e-l-t-a"]
+    words = {"".join(rng.choices(syllables, k=rng.randint(1, 4))).strip().lower() for _ in range(300)} - {""}
+    words |= {"*", "-", "aneedleb", "longer-part-than-a-piece", "longer-part-than-a-pieces", "two\nthree", "two three", "delta", "a" * 60, "b" * 201}
+    df = add_text_columns(spark.createDataFrame([(f"t{i}", "1", "u", p) for i, p in enumerate(prompts)], "_text string, org_key string, sub_user string, prompt string"))
+    listed = spark.createDataFrame([("1", w) for w in sorted(words)], "org_key string, lower string")
+    got = org_policy.held(df.select("_text", "org_key", "sub_user", "_lower", "_norm"), listed, small).collect()
+    needles = {w: w.replace(" ", "").replace("-", "").replace("_", "") for w in words}
+    texts = {r._text: (r._lower, r._norm) for r in df.collect()}
+    want = {(t, w) for t, (low, n) in texts.items() for w in words if w == "*" or w in low or needles[w] in n}
+    assert {(r._text, r.lower) for r in got} == want and len(got) == len(want) > 500
+
+
+def test_keywords_behind_others_they_hold_are_left_out(spark):
+    """The comparisons of a huge organisation's keywords are few: those that cannot be the first one found are not looked for."""
+    keywords = "in,inside,And,and,an,a-b,ab,a b," + ",".join(f"within{i}" for i in range(500))
+    table = spark.createDataFrame([(1, "1", "*", keywords, False, True, False, False, "")], P)
+    cleaned = org_policy.clean_policies(table).withColumn("_band", F.lit(0))
+    assert [(r.pos, r.word) for r in org_policy.spread_words(cleaned).orderBy("pos").collect()] == [
+        (0, "in"), (2, "And"), (4, "an"), (5, "a-b"), (6, "ab"), (7, "a b")]
+
+
+@pytest.mark.parametrize("rows", [0, 200_000])
+def test_rounds_and_late_stops_give_the_same(spark, monkeypatch, rows):
+    """Stops in several rounds, early and late ones, texts without a stop, long policies; words broadcast or not."""
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in "abcde" for b in "xyz"] + ["by-c", "DZ_ax", "-", "a x"]
+    policies = [(i, org, rng.choice(["*", "user1", "USER2"]), ",".join(rng.choices(words, k=rng.randint(1, 6))), rng.random() < 0.15,
+                 rng.random() < 0.5, rng.random() < 0.5, rng.random() < 0.3, "") for i in range(1, 121) for org in ("1", "2")]
+    policies += [(i, "3", "*", ",".join(rng.choices(words, k=4)), False, True, False, False, "") for i in range(1, 21)]
+    prompts = [(f"r{i}", rng.choice(["1", "2", "3"]), rng.choice(["user1", "user2", "other"]), " ".join(rng.choices([*words, "qq"], k=rng.randint(1, 3))))
+               for i in range(80)] + [("none", "1", "other", "qq")]
+    df = add_text_columns(spark.createDataFrame(prompts, "request_id string, org_key string, sub_user string, prompt string"))
+    table = spark.createDataFrame(policies, P)
+    want = detect_org_keywords(df, table, plan="broadcast").select("request_id", "_found_org").collect()
+    for name, value in (("CHUNK_WORDS", 20), ("ROUND_WORDS", 2), ("EARLY", 0.5), ("MET_ROWS", rows), ("HEADS", 16)):
+        monkeypatch.setattr(org_policy, name, value)
+    got = detect_org_keywords(df, table, plan="join").select("request_id", "_found_org").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and max(len(r._found_org) for r in want) > 3
+
+
 def test_policies_need_an_organisation_and_a_sub_user(spark):
     df = spark.createDataFrame([("a", None, "u", "alpha"), ("b", "1", None, "alpha")],
                                "request_id string, org_key string, sub_user string, prompt string")
