@@ -53,7 +53,7 @@ HEADS = 256
 # Policies with so many keywords are read anew by each step instead of being kept, and so many keywords that can come first
 # are broadcast.
 KEPT_WORDS = 5_000_000
-MET_ROWS = 200_000
+MET_ROWS = 100_000
 # Policies that allow are looked at in rounds by id: first about so many keywords, then each time eight times as many. A text
 # that has its stop leaves.
 ROUND_WORDS = 50_000
